@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .mixing import OP8_SQL, op8_mix_sources
+from .quality_rules import OP4_SQL, op4_quality_rules
 
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_mix_sources": op8_mix_sources,
 }
 ORACLES = {
+    "op4_quality_rules": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op8_mix_sources": OP8_SQL,
 }
