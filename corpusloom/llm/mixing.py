@@ -9,7 +9,7 @@ from .common import spread, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one task sorts at most, near enough; the number of parts follows from the table's size.
-PART_ROWS = 50_000
+PART_ROWS = 8_192
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...], budget_percent: int, max_passes: int) -> DataFrame:
