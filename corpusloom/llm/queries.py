@@ -6,12 +6,14 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .mixing import OP8_SQL, op8_mix_sources
 from .packing import op10_best_fit_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
+from .substring_dedup import op7_substring_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
