@@ -108,33 +108,37 @@ def question(chunk: int, hashes: np.ndarray, n_buckets: int, with_it: Callable[[
         )
 
 
-def answered(questions: DataFrame, n_hashes: int, answer: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """chunk, answers: for each chunk that asked, array<struct<bucket, said>> with answer's arrays, packed.
-
-    answer gets the hashes that each chunk asked of one bucket, what went along, and the chunks' numbers.
-    """
+def per_bucket(questions: DataFrame, n_hashes: int, handle: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What handle makes of each bucket's QUESTION rows, one bucket in memory at a time."""
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            if held:
-                asked = [unpacked(r["asked"]) for r in held]
-                along = [unpacked(r["with_it"]) for r in held if r["with_it"] is not None]
-                said = answer(asked, along, np.array([r["chunk"] for r in held]))
-                columns = [pa.array([r["chunk"] for r in held], pa.int64()), pa.array([held[0]["bucket"]] * len(held), pa.int64()), pa.array([packed(x) for x in said], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "said"])
-                held.clear()
-
         for row in rows_of(batches):
             if held and held[0]["bucket"] != row["bucket"]:
-                yield from close()
+                yield from handle(held)
+                held = []
             held.append(row)
-        yield from close()
+        if held:
+            yield from handle(held)
+
+    dealt = questions.repartition(spread(n_hashes, BUCKET_HASHES), "bucket").sortWithinPartitions("bucket", "chunk")
+    return dealt.mapInArrow(by_bucket, schema)
+
+
+def answered(questions: DataFrame, n_hashes: int, answer: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """chunk, answers: for each chunk that asked, array<struct<bucket, said>> with answer's arrays, packed.
+
+    answer gets the hashes that each chunk asked of one bucket, what went along, and the chunks' numbers.
+    """
+
+    def handle(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        asked = [unpacked(r["asked"]) for r in held]
+        along = [unpacked(r["with_it"]) for r in held if r["with_it"] is not None]
+        said = answer(asked, along, np.array([r["chunk"] for r in held]))
+        columns = [pa.array([r["chunk"] for r in held], pa.int64()), pa.array([held[0]["bucket"]] * len(held), pa.int64()), pa.array([packed(x) for x in said], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "said"])
 
-    n = spread(n_hashes, BUCKET_HASHES)
-    dealt = questions.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
-    said = dealt.mapInArrow(by_bucket, "chunk long, bucket long, said binary")
+    said = per_bucket(questions, n_hashes, handle, "chunk long, bucket long, said binary")
     return said.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "said")).alias("answers"))
 
 
