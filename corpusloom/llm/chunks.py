@@ -90,8 +90,8 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 QUESTION = "bucket long, chunk long, asked binary, with_it binary"
 
 
-def question(chunk: int, hashes: np.ndarray, n_buckets: int, with_it: Callable[[slice], np.ndarray] | None = None, kind=np.uint64) -> Iterator[pa.RecordBatch]:
-    """QUESTION rows for hashes, sorted and distinct; with_it gives what goes along with the hashes of a slice."""
+def question(chunk: int, hashes: np.ndarray, n_buckets: int, with_it: Callable[[slice], np.ndarray] | None = None, kind=np.uint64, bits: int = 64) -> Iterator[pa.RecordBatch]:
+    """QUESTION rows for sorted hashes, of which the lower bits are sent; with_it gives what goes along with those of a slice."""
     buckets = ((hashes >> np.uint64(32)) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
     present, starts = np.unique(buckets, return_index=True)
     ends = np.append(starts[1:], len(hashes))
@@ -101,7 +101,7 @@ def question(chunk: int, hashes: np.ndarray, n_buckets: int, with_it: Callable[[
             [
                 pa.array(present),
                 pa.array([chunk] * len(pieces), pa.int64()),
-                pa.array([packed(hashes[s].astype(kind)) for s in pieces], pa.binary()),
+                pa.array([packed((hashes[s] & np.uint64((1 << bits) - 1)).astype(kind)) for s in pieces], pa.binary()),
                 pa.array([packed(with_it(s)) if with_it else None for s in pieces], pa.binary()),
             ],
             names=["bucket", "chunk", "asked", "with_it"],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .jaccard_join import op3_jaccard_join
 from .mixing import OP8_SQL, op8_mix_sources
 from .packing import op10_best_fit_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
@@ -11,6 +12,7 @@ from .token_files import op2_token_files
 
 QUERIES = {
     "op2_token_files": op2_token_files,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
