@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op3_jaccard_join
+from .language_id import op1_language_id
 from .mixing import OP8_SQL, op8_mix_sources
 from .packing import op10_best_fit_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .substring_dedup import op7_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_token_files": op2_token_files,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES = {
