@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import crc_mod, text_slices
 
@@ -75,7 +76,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     """
     names, added = list(dictionaries), [x.split()[0] for x in RESULT.split(", ")]
     rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), RESULT])
+    schema = StructType([*rest, *StructType.fromDDL(RESULT).fields])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = compressors(dictionaries)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .jaccard_join import op3_jaccard_join
 from .language_id import op1_language_id
+from .lm_scoring import op5_lm_scoring
 from .mixing import OP8_SQL, op8_mix_sources
 from .packing import op10_best_fit_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
