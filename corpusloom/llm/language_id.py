@@ -29,7 +29,7 @@ def letters_only(texts: pa.Array) -> pa.Array:
 
 
 def fit_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
-    """A dictionary for each language from a bounded sample of labelled rows (text, lang).
+    """A dictionary for each language from a bounded sample of labelled rows (text, lang), the most frequent language first.
 
     About SAMPLE_DOCS distinct texts of a language are picked by a hash of the text, whatever the table's size.
     """
@@ -48,11 +48,11 @@ def fit_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
 
     rows = picked.mapInArrow(cut, "lang string, place long, piece binary").groupBy("lang", "place").agg(F.min("piece").alias("piece")).collect()
     out = {}
-    for lang in {r["lang"] for r in rows}:
+    for lang in [r["lang"] for r in counts]:
         data = b" ".join(bytes(r["piece"]) for r in sorted(rows, key=lambda r: r["place"]) if r["lang"] == lang)[:DICTIONARY_BYTES]
         if len(data) >= 8:
             out[lang] = data
-    return dict(sorted(out.items()))
+    return out
 
 
 def compressors(dictionaries: dict[str, bytes]) -> list:
@@ -67,7 +67,7 @@ def compressors(dictionaries: dict[str, bytes]) -> list:
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002) -> DataFrame:
     """docs' other columns and RESULT, from text alone.
 
-    The language whose dictionary compresses the text best; margin is how much smaller that is than the second
+    The language whose dictionary compresses the text best (the first of equal ones); margin is how much smaller that is than the second
     best. Rejected: texts without a letter (und, score 0), and those with a margin under min_margin. The score compares
     the languages' sizes, a byte more halving a language's weight.
 
