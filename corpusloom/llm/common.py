@@ -7,40 +7,20 @@ counts as an empty one.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one step inside a task works on.
-SLICE_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        sc.setCheckpointDir(path)
-    return path
-
+from ..sources.storage import new_path, shared_dir, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SLICE_BYTES", "Words", "crc_mod", "mix64", "new_path", "shared_dir", "spread", "text_slices", "window_hashes", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later steps reread it, and lost executors recompute nothing before it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Bytes of text that one step inside a task works on.
+SLICE_BYTES = 8 << 20
 
 
 def spread(n_rows: int, per_part: int) -> int:
@@ -111,11 +91,6 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix64(out)
 
 
-def buckets_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Even buckets 0..n-1 by the upper 32 bits."""
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of an id written as text, modulo n: the folds that training and held-out rows are told apart by."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -270,7 +270,7 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
     nearest = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
     links = verified(nearest.select("a", "b"), "nearest")
     tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    component = connected_components(links, written, "a", "b")
+    component = connected_components(links, "a", "b")
     labelled = members.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     open_lists = labelled.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
     rest = labelled.join(open_lists.select("list", "n"), "list").join(sets.select("set_id", "sketch"), "set_id")
@@ -318,7 +318,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     empty table gives an empty result; other columns are ignored.
     """
     described, links = shingle_links(docs, width, percent)
-    component = connected_components(links, written, "a", "b")
+    component = connected_components(links, "a", "b")
     least = described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
