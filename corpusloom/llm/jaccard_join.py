@@ -8,11 +8,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .chunks import BUCKET_HASHES, QUESTION, Chunk, per_bucket, question, rows_of, unpacked, word_chunks
+from .chunks import BUCKET_HASHES, QUESTION, Chunk, answered, packed, per_bucket, question, rows_of, unpacked, word_chunks
 from .common import mix64, spread, window_hashes, written
 
 #: Sets of one size band and the next share signatures of a tag. Up to this size they are all subsets that leave
@@ -23,7 +24,7 @@ PARTS, LEFT_OUT = 3, 1
 #: Partitionings tried for sets that have an empty signature; the last one's empty signatures count.
 SCHEMES = 3
 #: Places of a set's sketch.
-SKETCH = 256
+SKETCH = 512
 
 
 def bands(percent: int, upto: int) -> list[tuple[int, int]]:
@@ -149,7 +150,7 @@ def sketches(sets: Sets) -> list[bytes]:
 
     Two sets differ in at least as many elements as their sketches' distance.
     """
-    place = np.repeat(np.arange(len(sets.sizes)), sets.sizes) * SKETCH + (mix64(sets.values) >> np.uint64(56)).astype(np.int64)
+    place = np.repeat(np.arange(len(sets.sizes)), sets.sizes) * SKETCH + (mix64(sets.values) >> np.uint64(55)).astype(np.int64)
     counts = np.minimum(np.bincount(place, minlength=len(sets.sizes) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
     return [x.tobytes() for x in counts]
 
@@ -165,94 +166,116 @@ def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray, percent: int
     return apart * (100 + percent) <= (nx + ny) * (100 - percent)
 
 
+def cells(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket and one of 2^24 cells in it of sorted hashes, sorted too."""
+    place = (hashes >> np.uint64(32)) * np.uint64(n_buckets)
+    return (place >> np.uint64(32)).astype(np.int64), ((place & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64)
+
+
+def shared_cells(asked: list[np.ndarray], along: list[np.ndarray], _chunks: np.ndarray) -> list[np.ndarray]:
+    """For each cell that chunks ask about, whether two sets or more have elements in it."""
+    keys = [np.cumsum(x.astype(np.int64)) for x in asked]
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    several = np.bincount(which, weights=np.concatenate(along))[which] > 1
+    return [np.packbits(x) for x in np.split(several, np.cumsum([len(x) for x in keys])[:-1])]
+
+
+def own_cells(sets: Sets, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bucket, cell and number of elements of each cell that the sets touch, and the cell of each element of sets.values."""
+    distinct, which = np.unique(sets.values, return_inverse=True)
+    bucket, cell = cells(distinct, n_buckets)
+    new = np.ones(len(distinct), bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])
+    number = np.cumsum(new) - 1
+    return bucket[new], cell[new], np.bincount(number[which], minlength=int(new.sum())), number[which]
+
+
 def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, n_shingles, set_id for each document; and the links a, b found between sets.
 
-    Documents with equal sets are one node. The links are enough to connect all sets that links connect: each member
-    of a signature group is compared with the group's first; then groups that still have several
-    components compare the members of different components, in blocks, ruling pairs out by sketches; every
-    pair left is compared on whole sets.
+    Documents with equal sets are one node. A set can link only if percent of its elements are in other sets too;
+    sets for which a count of elements by hash cells (never too low) rules that out have no links, and signatures are made
+    for the others alone. The links are enough to connect all sets that links connect: each member of a signature
+    group is compared with the group's first; then groups that still have several components compare the members of
+    different components, in blocks, ruling pairs out by sketches; every pair left is compared on whole sets.
     """
     chunks = word_chunks(docs, lower=True)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     n_buckets = spread(n_words, BUCKET_HASHES)
 
+    def ask_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            bucket, cell, n, _ = own_cells(Sets(Chunk(row), width), n_buckets)
+            present, starts = np.unique(bucket, return_index=True)
+            pieces = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=False)]
+            if pieces:
+                steps = [packed(np.diff(cell[p], prepend=0).astype(np.uint32)) for p in pieces]
+                counts = [packed(np.minimum(n[p], 2).astype(np.uint8)) for p in pieces]
+                columns = [pa.array(present), pa.array([row["chunk"]] * len(pieces), pa.int64()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "asked", "with_it"])
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk(row)
             sets = Sets(chunk, width)
-            sketch = [None] * len(chunk.doc_ids)
-            for d, x in zip(sets.documents, sketches(sets), strict=True):
-                sketch[d] = x
+            bucket, _, _, number = own_cells(sets, n_buckets)
+            bits = {x["bucket"]: unpacked(x["said"]) for x in row["answers"] or []}
+            present, counts = np.unique(bucket, return_counts=True)
+            several = np.concatenate([np.unpackbits(bits[b], count=c) for b, c in zip(present.tolist(), counts.tolist(), strict=True)] or [np.empty(0, np.uint8)])
+            owner = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
+            common = np.bincount(owner, weights=several[number], minlength=len(sets.sizes))
+            may = np.flatnonzero(100 * common >= percent * sets.sizes)
+            elements, sketch = [None] * len(chunk.doc_ids), [None] * len(chunk.doc_ids)
+            drawn = sketches(sets)
+            for k in may.tolist():
+                d = int(sets.documents[k])
+                elements[d], sketch[d] = sets.values[sets.bounds[k] : sets.bounds[k + 1]].tobytes(), drawn[k]
             ids = pa.array(sets.ids, mask=sets.n_shingles == 0)
             yield pa.RecordBatch.from_arrays(
-                [chunk.ids(), pa.array(sets.n_shingles.astype(np.int64)), ids, pa.array([chunk.number] * len(ids), pa.int64()), pa.array(np.arange(len(ids))), pa.array(sketch, pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "chunk", "slot", "sketch"],
+                [chunk.ids(), pa.array(sets.n_shingles.astype(np.int64)), ids, pa.array(sketch, pa.binary()), pa.array(elements, pa.binary())],
+                names=["doc_id", "n_shingles", "set_id", "sketch", "elements"],
             )
 
-    described = written(chunks.mapInArrow(describe, "doc_id long, n_shingles long, set_id long, chunk long, slot long, sketch binary"), "shingle-sets")
+    asked = answered(chunks.mapInArrow(ask_cells, QUESTION), n_words, shared_cells)
+    described = written(chunks.join(asked, "chunk", "left").mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, elements binary"), "shingle-sets")
+    sets = written(described.where("elements is not null").select("set_id", "n_shingles", "sketch", "elements").dropDuplicates(["set_id"]), "distinct-sets")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            chunk = Chunk(row)
-            sets = Sets(chunk, width)
-            sigs, who = signatures(sets.values, sets.bounds, percent)
-            # 40 bits of a signature in its bucket are enough: those that only seem equal are compared in vain.
-            order = np.lexsort((who, sigs))
-            sigs, who = sigs[order], sets.documents[who[order]].astype(np.uint32)
-            new = np.ones(len(sigs), bool)
-            new[1:] = (sigs[1:] != sigs[:-1]) | (who[1:] != who[:-1])
-            sigs, who = sigs[new], who[new]
-            yield from question(chunk.number, sigs, n_buckets, lambda s, who=who: who[s], bits=40)
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                raw = part["elements"].to_pylist()
+                bounds = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw])))
+                sigs, who = signatures(np.frombuffer(b"".join(raw), np.uint64), bounds, percent)
+                order = np.argsort(sigs, kind="stable")
+                ids = part["set_id"].to_numpy()[who[order]]
+                number += 1
+                # 40 bits of a signature in its bucket are enough: those that only seem equal are compared in vain.
+                yield from question(number, sigs[order], n_buckets, lambda s, ids=ids: ids[s], bits=40)
 
     def group(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        """Signature groups of one bucket: the distinct lists of members."""
-        asked = [unpacked(r["asked"]) for r in held]
-        sigs, slots = np.concatenate(asked), np.concatenate([unpacked(r["with_it"]) for r in held])
-        chunk = np.repeat([r["chunk"] for r in held], [len(x) for x in asked])
-        order = np.argsort(sigs, kind="stable")  # rows are in the order of chunks, and slots in theirs
-        sigs, slots, chunk = sigs[order], slots[order], chunk[order]
+        """Each member of the bucket's signature groups with the group's first, and how often."""
+        sigs, ids = np.concatenate([unpacked(r["asked"]) for r in held]), np.concatenate([unpacked(r["with_it"]) for r in held])
+        order = np.lexsort((ids, sigs))
+        sigs, ids = sigs[order], ids[order]
         starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
-        sizes = np.diff(np.append(starts, len(sigs)))
-        starts, sizes = starts[sizes > 1], sizes[sizes > 1]
-        member = mix64(chunk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + slots)
-        seen, lists, rows = set(), [], []
-        for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-            name = xxhash.xxh3_64_intdigest(member[a : a + n].tobytes())
-            if name not in seen:
-                seen.add(name)
-                lists.append(name)
-                rows.append((a, n))
-        if rows:
-            at = np.concatenate([np.arange(a, a + n) for a, n in rows])
-            names = np.repeat(np.array(lists, np.uint64).view(np.int64), [n for _, n in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(chunk[at]), pa.array(slots[at].astype(np.int64))], names=["list", "chunk", "slot"])
-
-    groups = per_bucket(chunks.mapInArrow(ask, QUESTION), n_words, group, "list long, chunk long, slot long")
-    members = written(
-        groups.distinct().join(described.select("chunk", "slot", "set_id", "n_shingles"), ["chunk", "slot"]).select("list", "set_id", "n_shingles").distinct(),
-        "signature-lists",
-    )
-    sets = described.where("sketch is not null").groupBy("set_id").agg(F.min_by(F.struct("chunk", "slot", "n_shingles", "sketch"), F.struct("chunk", "slot")).alias("at")).select("set_id", "at.*")
+        firsts = np.repeat(ids[starts], np.diff(np.append(starts, len(sigs))))
+        pairs = np.stack((ids, firsts), axis=1)[ids != firsts]
+        if len(pairs):
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
+            counts = np.diff(np.append(new, len(pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[new, 1]), pa.array(pairs[new, 0]), pa.array(counts)], names=["a", "b", "n"])
+
+    met = per_bucket(sets.mapInArrow(ask, QUESTION), n_words, group, "a long, b long, n long")
+    star = written(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "first-members")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Those of the pairs a, b (set ids) that are linked, by their whole sets."""
-        pairs = written(pairs, f"{name}-pairs")
-        wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-        places = sets.drop("sketch").join(wanted, "set_id").groupBy("chunk").agg(F.collect_list(F.struct("slot", "set_id")).alias("wanted"))
-
-        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for row in rows_of(batches):
-                found = Sets(Chunk(row), width)
-                at = {d: k for k, d in enumerate(found.documents.tolist())}
-                for i in range(0, len(row["wanted"]), 1000):
-                    some = row["wanted"][i : i + 1000]
-                    values = [found.values[found.bounds[k] : found.bounds[k + 1]].tobytes() for k in (at[w["slot"]] for w in some)]
-                    yield pa.RecordBatch.from_arrays([pa.array([w["set_id"] for w in some], pa.int64()), pa.array(values, pa.binary())], names=["set_id", "elements"])
-
-        whole = written(chunks.join(places, "chunk").mapInArrow(extract, "set_id long, elements binary"), f"{name}-sets")
-        left = pairs.join(whole.select(F.col("set_id").alias("b"), F.col("elements").alias("theirs")), "b")
-        both = left.join(whole.select(F.col("set_id").alias("a"), F.col("elements").alias("ours")), "a")
+        left = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("theirs")), "b")
+        both = left.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("ours")), "a")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -264,30 +287,30 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
 
         return written(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
 
-    # Each set with the first set of the lists that it is in: one comparison a set, then one for each other first set.
-    first = members.groupBy("list").agg(F.min("set_id").alias("a"))
-    star = members.join(first, "list").where("a <> set_id").groupBy(F.col("set_id").alias("b"), "a").agg(F.count("*").alias("n"))
-    nearest = star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
-    links = verified(nearest.select("a", "b"), "nearest")
+    # Each set with the first set that it shares most signatures with: one comparison a set.
+    nearest = written(star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "nearest")
+    links = verified(nearest, "nearest")
     tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     component = connected_components(links, "a", "b")
-    labelled = members.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    open_lists = labelled.groupBy("list").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
-    rest = labelled.join(open_lists.select("list", "n"), "list").join(sets.select("set_id", "sketch"), "set_id")
-    pairs = across_components(written(rest, "open-lists"), percent).distinct().join(tried, ["a", "b"], "left_anti")
+    # Members of a signature group are all in the circle of the group's first.
+    circles = star.select(F.col("a").alias("circle"), F.col("b").alias("set_id")).union(star.select("a", "a").distinct())
+    labelled = circles.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    still_open = labelled.groupBy("circle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
+    rest = labelled.join(still_open.select("circle", "n"), "circle").join(sets.select("set_id", "n_shingles", "sketch"), "set_id")
+    pairs = across_components(rest, percent).distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(pairs, "across"))
     return described.select("doc_id", "n_shingles", "set_id"), links
 
 
 def across_components(rest: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs a < b of one list (list, set_id, n_shingles, sketch, component, n) and different components that sketches allow.
+    """Pairs a < b of one circle (circle, set_id, n_shingles, sketch, component, n) and different components that sketches allow.
 
-    Long lists are compared block by block, each pair of blocks in a group of its own, so that a task holds two blocks at most.
+    Large circles are compared block by block, each pair of blocks in a group of its own, so that a task holds two blocks at most.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     placed = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("list", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "n_shingles", "sketch", "component")
+    dealt = dealt.select("circle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "n_shingles", "sketch", "component")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, n, mine = (group[c].to_numpy() for c in ("set_id", "n_shingles", "mine"))
@@ -303,7 +326,7 @@ def across_components(rest: DataFrame, percent: int, block: int = 1024) -> DataF
             b.append(np.maximum(ids[x], ids[others]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return dealt.groupBy("list", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
