@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import search_jobs, usage_jobs
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+JOBS = (search_jobs, usage_jobs)
+QUERIES = {name: query for job in JOBS for name, query in job.QUERIES.items()}
+ORACLES = {name: sql for job in JOBS for name, sql in job.ORACLES.items()}

@@ -9,6 +9,10 @@ from ..functions import fixed_values as V
 from ..functions.text import deprecated_name, name_tokens, query_tokens, query_tokens_of
 
 
+def begins_with(t: Column):
+    return lambda x: x.startswith(t) | t.startswith(x)
+
+
 def hit_points(query: str, name: Column, path: Column | None = None, host: Column | None = None, props: Column | None = None) -> Column:
     """Points of the query's tokens in thousandths: each token counts once for the name (whole or prefix), and for props, path and host.
 
@@ -18,7 +22,7 @@ def hit_points(query: str, name: Column, path: Column | None = None, host: Colum
     names = name_tokens(name)
     for token in query_tokens_of(query):
         t = F.lit(token)
-        prefix = F.exists(names, lambda x, t=t: x.startswith(t) | t.startswith(x))
+        prefix = F.exists(names, begins_with(t))
         total = total + F.when(F.array_contains(names, t), V.NAME_EXACT).when(prefix, V.NAME_PREFIX).otherwise(0)
         if props is not None:
             total = total + F.when(F.array_contains(props, t), V.PROP_HIT).otherwise(0)
