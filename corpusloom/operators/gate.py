@@ -54,7 +54,7 @@ def check_citations(citations: DataFrame, lines: DataFrame, reach: int = 2) -> D
     files = lines.groupBy("file").agg(F.max("line").alias("last_line"))
     text = lines.select("file", F.col("line").alias("near"), F.col("text").alias("near_text"))
     both = wide.join(text, ["file", "near"], "left")
-    pattern = F.concat(F.lit(r"\b"), F.regexp_replace("symbol", r"([^A-Za-z0-9_])", r"\\$1"), F.lit(r"\b"))
+    pattern = F.concat(F.lit("(^|[^A-Za-z0-9_])"), F.regexp_replace("symbol", r"([^A-Za-z0-9_])", r"\\$1"), F.lit("([^A-Za-z0-9_]|$)"))
     found = F.coalesce(F.bool_or(F.col("symbol").isNull() | F.rlike("near_text", pattern)), F.lit(False))
     judged = both.groupBy("cite", "file", "line", "symbol").agg(found.alias("found")).join(files, "file", "left")
     verdict = (

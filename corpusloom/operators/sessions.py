@@ -11,7 +11,7 @@ from ..functions.fixed_values import LEASE_MINUTES
 def lease_gaps(beats: DataFrame, holder: str, at: str, key: str, minutes: int = LEASE_MINUTES) -> DataFrame:
     """Each heartbeat but a holder's first, with gap_seconds since the one before and whether the lease had expired."""
     before = F.lag(at).over(Window.partitionBy(holder).orderBy(at, key))
-    gap = (F.unix_micros(at) - F.unix_micros("_before")) / 1_000_000
+    gap = F.timestamp_diff("MICROSECOND", F.col("_before"), F.col(at)) / 1_000_000
     rows = beats.withColumn("_before", before).where("_before is not null")
     return rows.withColumn("gap_seconds", F.floor(gap)).withColumn("expired", gap >= minutes * 60).drop("_before")
 
