@@ -17,8 +17,7 @@ from .common import mix64, spread, window_hashes, written
 
 #: Suffixes that one task sorts, about.
 PART_SUFFIXES = 400_000
-SUFFIX = "head long, key long, ahead long, behind long, chunk long, slot int, places array<int>"
-SIDE = "a_chunk long, a_slot int, b_chunk long, b_slot int"
+SUFFIX = "key long, ahead int, behind int, chunk long, slot int, places array<int>"
 
 
 def word_hashes(chunk: Chunk) -> np.ndarray:
@@ -50,11 +49,11 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
     Suffixes are kept where the window of `width` words that they begin with is a minimiser, the least hash
     among `span` windows; width + span - 1 = min_words, so that any passage of min_words shared by two documents has a suffix
-    kept in both. Suffixes are sorted over the whole table by their words (as hashes: `width` words and eight more), those
-    before them, and their place; each is compared with both neighbours, across the parts of the sort too, and inside a part with its
-    neighbours by the words before. A passage that a neighbour shares in part only may so be found a few words short. Since width > span, neighbours that agree at
-    consecutive places of one alignment agree on all between, and only the ends of an alignment are extended word by word, by
-    less than span words each way: had more words agreed, there would be another kept suffix.
+    kept in both. Suffixes are sorted over the whole table, by a hash of their first `width` words, then by the words after
+    and before these, and their place. Each is compared with both neighbours, across the parts of the sort too, and inside a part
+    with its neighbours by the words before. Kept places at most `width` apart cover all between them, and the first and last ones of
+    such a stretch are extended left and right word by word, by less than span words: had more words
+    agreed, there would be another kept suffix. Where no neighbour shares all of a passage, it may be found a few words short.
 
     The order is total, so that a passage in a third of all documents is cut into even parts. Words are told apart by 64-bit hashes.
 
@@ -76,17 +75,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             first = np.ones(len(at), bool)
             first[1:] = (keys[1:] != keys[:-1]) | (slots[1:] != slots[:-1])
             heads = np.flatnonzero(first)
-            # The first four words in 16 bits each, then the hash of all of them.
-            lead = np.zeros(len(heads), np.uint64)
-            for k in range(4):
-                lead = (lead << np.uint64(16)) | (words[at[heads] + k] >> np.uint64(48))
             first_at, d = at[heads], slots[heads]
             ahead = context(words, first_at + width, chunk.bounds[d + 1], 1)
             behind = context(words, first_at - 1, chunk.bounds[d], -1)
             places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)), pa.array((at - chunk.bounds[slots]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(lead.view(np.int64)),
                     pa.array(keys[heads].view(np.int64)),
                     pa.array(ahead),
                     pa.array(behind),
@@ -98,18 +92,20 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             )
 
     kept = written(chunks.mapInArrow(suffixes, SUFFIX), "suffixes")
-    order = ["head", "key", "ahead", "behind", "chunk", "slot"]
+    order = ["key", "ahead", "behind", "chunk", "slot"]
     parts = spread(kept.count(), PART_SUFFIXES)
-    pair_kind = f"part int, edge int, {SUFFIX}, other_chunk long, other_slot int, other_place int"
+    pair_kind = f"part int, edge int, way int, {SUFFIX}, other_chunk long, other_slot int, other_place int"
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each suffix with either neighbour that agrees with it; and the part's first and last suffix, for the parts beside it."""
+        """Each suffix with either neighbour that agrees with it: by the words after (way 1) and by those before (way 0); and
+        the part's first and last suffix, for the parts beside it."""
         part, names, last = TaskContext.get().partitionId(), [x.split()[0] for x in pair_kind.split(", ")], None
 
-        def out(rows: pa.RecordBatch, others: pa.RecordBatch | None, edge: int) -> pa.RecordBatch:
+        def out(rows: pa.RecordBatch, others: pa.RecordBatch | None, edge: int, way: int = 1) -> pa.RecordBatch:
             n = rows.num_rows
             other = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32())] if others is None else [others["chunk"], others["slot"], first_places(others)]
-            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([edge] * n, pa.int32()), *(rows[c] for c in names[2:9]), *other], names=names)
+            numbers = [pa.array([x] * n, pa.int32()) for x in (part, edge, way)]
+            return pa.RecordBatch.from_arrays([*numbers, *(rows[c] for c in names[3:9]), *other], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -117,19 +113,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             if last is None:
                 yield out(batch.slice(0, 1), None, 1)
             both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            head, key = both["head"].to_numpy(), both["key"].to_numpy()
-            same = np.flatnonzero((head[1:] == head[:-1]) & (key[1:] == key[:-1]))
-            if len(same):
-                left, right = both.take(pa.array(same)), both.take(pa.array(same + 1))
-                yield out(left, right, 0)
-                yield out(right, left, 0)
-                # Those that agree once more, by the words before them: neighbours of this order agree furthest back.
-                group = np.concatenate(([0], np.cumsum((head[1:] != head[:-1]) | (key[1:] != key[:-1]))))
-                back = np.lexsort((both["behind"].to_numpy(), group))
-                near = np.flatnonzero((group[back][1:] == group[back][:-1]) & (np.abs(np.diff(back)) > 1))
-                left, right = both.take(pa.array(back[near])), both.take(pa.array(back[near + 1]))
-                yield out(left, right, 0)
-                yield out(right, left, 0)
+            key = both["key"].to_numpy()
+            group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
+            for way, order in ((1, np.arange(len(key))), (0, np.lexsort((both["behind"].to_numpy(), group)))):
+                same = np.flatnonzero(group[order][1:] == group[order][:-1])
+                if len(same):
+                    left, right = both.take(pa.array(order[same])), both.take(pa.array(order[same + 1]))
+                    yield out(left, right, 0, way)
+                    yield out(right, left, 0, way)
             last = batch.slice(batch.num_rows - 1)
         if last is not None:
             yield out(last, None, 2)
@@ -138,70 +129,63 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     found = written(sorted_.mapInArrow(neighbours, pair_kind), "suffix-neighbours")
     edges = found.where("edge > 0")
     along = Window.orderBy("part", "edge")
-    here = F.struct(*order, "places")
+    here = F.struct("key", "chunk", "slot", "places")
     beside = edges.select("edge", here.alias("a"), F.lead("edge").over(along).alias("next_edge"), F.lead(here).over(along).alias("b"))
-    beside = beside.where("edge = 2 and next_edge = 1 and a.head = b.head and a.key = b.key")
-    directed = lambda x, y: beside.select(F.col(f"{x}.chunk").alias("chunk"), F.col(f"{x}.slot").alias("slot"), F.col(f"{x}.places").alias("places"), F.col(f"{y}.chunk").alias("other_chunk"), F.col(f"{y}.slot").alias("other_slot"), F.col(f"{y}.places")[0].alias("other_place"))
-    inside = found.where("edge = 0").select("chunk", "slot", "places", "other_chunk", "other_slot", "other_place")
-    pairs = inside.union(directed("a", "b")).union(directed("b", "a"))
-    placed = pairs.select(
-        F.col("chunk").alias("a_chunk"),
-        F.col("slot").alias("a_slot"),
-        F.col("other_chunk").alias("b_chunk"),
-        F.col("other_slot").alias("b_slot"),
-        F.explode("places").alias("place"),
-        "other_place",
-    ).withColumn("shift", F.col("other_place") - F.col("place"))
-    # Kept places of one alignment that are at most `width` apart agree on all words between them.
-    side = [x.split()[0] for x in SIDE.split(", ")]
-    line = Window.partitionBy(*side, "shift").orderBy("place")
-    runs = placed.distinct().withColumn("new", (F.col("place") - F.lag("place", 1, -width - 1).over(line) > width).cast("int"))
-    runs = runs.withColumn("run", F.sum("new").over(line)).groupBy(*side, "shift", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    runs = written(runs.withColumn("id", F.monotonically_increasing_id()), "suffix-runs")
-
-    ask = lambda s, shift: runs.select(F.col(f"{s}_chunk").alias("chunk"), F.struct(F.col("id"), F.lit(s == "b").alias("other"), F.col(f"{s}_slot").alias("slot"), (F.col("first") + shift).alias("first"), (F.col("last") + shift).alias("last")).alias("ask"))
-    asked = ask("a", F.lit(0)).union(ask("b", F.col("shift")))
-    # A chunk is asked in portions, so that a row holds a bounded number of questions, however often a document is a neighbour.
-    portions = asked.withColumn("portion", F.pmod(F.xxhash64("ask.id"), F.lit(8))).groupBy("chunk", "portion").agg(F.collect_list("ask").alias("asks"))
+    beside = beside.where("edge = 2 and next_edge = 1 and a.key = b.key")
+    directed = lambda x, y: beside.select(F.col(f"{x}.chunk").alias("chunk"), F.col(f"{x}.slot").alias("slot"), F.col(f"{x}.places").alias("places"), F.col(f"{y}.chunk").alias("other_chunk"), F.col(f"{y}.slot").alias("other_slot"), F.col(f"{y}.places")[0].alias("other_place"), F.lit(1).alias("way"))
+    inside = found.where("edge = 0").select("chunk", "slot", "places", "other_chunk", "other_slot", "other_place", "way")
+    pairs = inside.union(directed("a", "b")).union(directed("b", "a")).withColumn("place", F.explode("places")).drop("places")
+    # Places of one document that are at most `width` apart cover all words between them.
+    line = Window.partitionBy("chunk", "slot").orderBy("place")
+    starts = (F.col("place") - F.lag("place", 1, -width - 1).over(line) > width).cast("int")
+    placed = pairs.select("chunk", "slot", "place").distinct().withColumn("island", starts).withColumn("island", F.sum("island").over(line))
+    whole = Window.partitionBy("chunk", "slot", "island")
+    placed = placed.withColumn("first", F.min("place").over(whole)).withColumn("last", F.max("place").over(whole))
+    near_end = ((F.col("way") == 0) & (F.col("place") - F.col("first") < span)) | ((F.col("way") == 1) & (F.col("last") - F.col("place") < span))
+    asks = pairs.join(placed, ["chunk", "slot", "place"]).where(near_end).distinct()
+    asks = written(asks.withColumn("id", F.monotonically_increasing_id()), "suffix-asks")
+
+    question = lambda s, other: asks.select(F.col(f"{s}chunk").alias("chunk"), F.struct("id", F.lit(other).alias("other"), "way", F.col(f"{s}slot").alias("slot"), F.col(f"{s}place").alias("place")).alias("ask"))
+    asked = question("", False).union(question("other_", True)).groupBy("chunk").agg(F.collect_list("ask").alias("asks"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            chunk = Chunk(row)
-            words = word_hashes(chunk)
-            out = []
-            for q in row["asks"]:
-                a, b = int(chunk.bounds[q["slot"]]), int(chunk.bounds[q["slot"] + 1])
-                before = words[max(a, a + q["first"] - span) : a + q["first"]]
-                after = words[a + q["last"] + width : min(b, a + q["last"] + width + span)]
-                doc = int(chunk.doc_ids[q["slot"]]) if chunk.valid[q["slot"]] else None
-                out.append((q["id"], q["other"], doc, before.tobytes(), after.tobytes()))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "other", "doc_id", "before", "after"])
-
-    around = chunks.join(portions, "chunk").mapInArrow(ends, "id long, other boolean, doc_id long, before binary, after binary")
-    around = written(around, "suffix-ends")
-    own, theirs = around.where("not other").drop("other"), around.where("other").select("id", F.col("doc_id").alias("partner_id"), F.col("before").alias("b_before"), F.col("after").alias("b_after"))
-    ready = own.join(theirs, "id").join(runs.select("id", "a_chunk", "a_slot", "first", "last"), "id")
+        """Of each place that is asked about: the words before it, nearest first, or those after it; as 32 bits each."""
+        for batch in batches:
+            for i in range(batch.num_rows):
+                chunk = Chunk({c: batch[c][i].as_py() for c in batch.schema.names if c != "asks"})
+                words = (word_hashes(chunk) >> np.uint64(32)).astype(np.uint32)
+                q = batch["asks"][i].values
+                way, slot, place = (q.field(c).to_numpy() for c in ("way", "slot", "place"))
+                low, high = chunk.bounds[slot], chunk.bounds[slot + 1]
+                at = low + place
+                out = []
+                for w, a, b, p in zip(way.tolist(), low.tolist(), high.tolist(), at.tolist(), strict=True):
+                    out.append((words[max(a, p - span) : p][::-1] if w == 0 else words[p + width : min(b, p + width + span)]).tobytes())
+                yield pa.RecordBatch.from_arrays([q.field("id"), q.field("other"), chunk.ids().take(pa.array(slot)), pa.array(out, pa.binary())], names=["id", "other", "doc_id", "words"])
+
+    around = written(chunks.join(asked, "chunk").mapInArrow(ends, "id long, other boolean, doc_id long, words binary"), "suffix-ends")
+    theirs = around.where("other").select("id", F.col("doc_id").alias("partner_id"), F.col("words").alias("other_words"))
+    ready = around.where("not other").drop("other").join(theirs, "id").join(asks.select("id", "chunk", "slot", "island", "place", "way", "first", "last"), "id")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = [], []
-            for x, y, u, v in zip(*(batch[c].to_pylist() for c in ("before", "b_before", "after", "b_after")), strict=True):
-                left.append(agreeing(x[::-1], y[::-1]))
-                right.append(agreeing(u, v))
-            start = batch["first"].to_numpy() - np.array(left, np.int64)
-            end = batch["last"].to_numpy() + width + np.array(right, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch["a_chunk"], batch["a_slot"], batch["doc_id"], pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), batch["partner_id"]],
-                names=["a_chunk", "a_slot", "doc_id", "start_word", "end_word", "partner_id"],
-            )
-
-    spans = ready.mapInArrow(extend, "a_chunk long, a_slot int, doc_id long, start_word long, end_word long, partner_id long")
-    by_start = Window.partitionBy("a_chunk", "a_slot").orderBy("start_word", "end_word")
+            more = np.array([agreeing(x, y) for x, y in zip(batch["words"].to_pylist(), batch["other_words"].to_pylist(), strict=True)], np.int64)
+            place, way = batch["place"].to_numpy().astype(np.int64), batch["way"].to_numpy()
+            reach = np.where(way == 0, place - more, place + width + more)
+            names = ["chunk", "slot", "island", "doc_id", "partner_id", "way", "first", "last"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(reach)], names=[*names, "reach"])
+
+    reached = ready.mapInArrow(extend, "chunk long, slot int, island long, doc_id long, partner_id long, way int, first int, last int, reach long")
+    spans = reached.groupBy("chunk", "slot", "island").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.least(F.min("first"), F.min(F.when(F.col("way") == 0, F.col("reach")))).alias("start_word"),
+        F.greatest(F.max("last") + width, F.max(F.when(F.col("way") == 1, F.col("reach")))).alias("end_word"),
+        F.min_by("partner_id", F.struct(F.when(F.col("way") == 0, F.col("reach")).otherwise(F.col("first")), "partner_id")).alias("partner_id"),
+    )
+    by_start = Window.partitionBy("chunk", "slot").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("new", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_start))
-    merged = islands.groupBy("a_chunk", "a_slot", "island").agg(
+    merged = islands.groupBy("chunk", "slot", "island").agg(
         F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min_by("partner_id", F.struct("start_word", "partner_id")).alias("partner_id")
     )
     n = F.col("end_word") - F.col("start_word")
@@ -209,13 +193,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
 
 
 def context(words: np.ndarray, start: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
-    """Eight words from start on, towards end, in 8 bits each: equal contexts have equal numbers, and sort beside each other."""
-    out = np.zeros(len(start), np.uint64)
+    """Eight words from start on, towards end, in 4 bits each: equal contexts have equal numbers, and sort beside each other."""
+    out = np.zeros(len(start), np.uint32)
     for k in range(8):
         at = start + k * step
         inside = at < end if step > 0 else at >= end
-        out = (out << np.uint64(8)) | np.where(inside, words[np.where(inside, at, 0)] >> np.uint64(56), 0)
-    return out.view(np.int64)
+        out = (out << np.uint32(4)) | np.where(inside, words[np.where(inside, at, 0)] >> np.uint64(60), 0).astype(np.uint32)
+    return out.view(np.int32)
 
 
 def first_places(rows: pa.RecordBatch) -> pa.Array:
@@ -224,9 +208,9 @@ def first_places(rows: pa.RecordBatch) -> pa.Array:
 
 
 def agreeing(x: bytes, y: bytes) -> int:
-    """How many leading 8-byte words agree."""
-    n = min(len(x), len(y)) // 8
-    differ = np.frombuffer(x[: 8 * n], np.uint64) != np.frombuffer(y[: 8 * n], np.uint64)
+    """How many leading 4-byte words agree."""
+    n = min(len(x), len(y)) // 4
+    differ = np.frombuffer(x[: 4 * n], np.uint32) != np.frombuffer(y[: 4 * n], np.uint32)
     return int(differ.argmax()) if differ.any() else n
 
 
