@@ -159,11 +159,10 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
-def may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
-    """Whether x's sketch and size allow a link with each row of y. False only where a link is impossible."""
+def distances(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """How many elements x must differ in from each row of y at least, by their sketches and sizes."""
     apart = np.abs(y.astype(np.int16) - x.astype(np.int16)).sum(axis=1)
-    apart = np.maximum(apart, np.abs(ny - nx))
-    return apart * (100 + percent) <= (nx + ny) * (100 - percent)
+    return np.maximum(apart, np.abs(ny - nx))
 
 
 def cells(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,9 +194,10 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
 
     Documents with equal sets are one node. A set can link only if percent of its elements are in other sets too;
     sets for which a count of elements by hash cells (never too low) rules that out have no links, and signatures are made
-    for the others alone. The links are enough to connect all sets that links connect: each member of a signature
-    group is compared with the group's first; then groups that still have several components compare the members of
-    different components, in blocks, ruling pairs out by sketches; every pair left is compared on whole sets.
+    for the others alone. The links are enough to connect all sets that links connect: each set is compared
+    with the first member of a signature group that it shares most signatures with, then with its nearest one of another component,
+    then with all of other components among the members of its groups; the last two rule pairs out by
+    sketches, block by block, and pairs that are left are compared on whole sets.
     """
     chunks = word_chunks(docs, lower=True)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
@@ -290,43 +290,68 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
     # Each set with the first set that it shares most signatures with: one comparison a set.
     nearest = written(star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "nearest")
     links = verified(nearest, "nearest")
-    tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    component = connected_components(links, "a", "b")
     # Members of a signature group are all in the circle of the group's first.
     circles = star.select(F.col("a").alias("circle"), F.col("b").alias("set_id")).union(star.select("a", "a").distinct())
-    labelled = circles.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    still_open = labelled.groupBy("circle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
-    rest = labelled.join(still_open.select("circle", "n"), "circle").join(sets.select("set_id", "n_shingles", "sketch"), "set_id")
-    pairs = across_components(rest, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    mine = circles.groupBy("set_id").agg(F.sort_array(F.collect_list("circle")).alias("circles"))
+    known = written(sets.select("set_id", "n_shingles", "sketch").join(mine, "set_id"), "circle-members")
+
+    def still_open() -> DataFrame:
+        """The circles that have several components, with what is compared of their members."""
+        component = connected_components(links, "a", "b")
+        labelled = circles.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+        several = labelled.groupBy("circle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
+        return labelled.join(several.select("circle", "n"), "circle").join(known, "set_id")
+
+    # Each set with the one of another component that its circles have nearest by their sketches; then all that are left.
+    near = across_components(still_open(), percent, nearest=True).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    links = links.unionByName(verified(near, "near"))
+    tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(near)
+    pairs = across_components(still_open(), percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(pairs, "across"))
     return described.select("doc_id", "n_shingles", "set_id"), links
 
 
-def across_components(rest: DataFrame, percent: int, block: int = 1024) -> DataFrame:
-    """Pairs a < b of one circle (circle, set_id, n_shingles, sketch, component, n) and different components that sketches allow.
+def across_components(rest: DataFrame, percent: int, nearest: bool = False, block: int = 1024) -> DataFrame:
+    """Pairs a, b (and how far apart their sketches are) of one circle and different components that sketches allow to link.
 
-    Large circles are compared block by block, each pair of blocks in a group of its own, so that a task holds two blocks at most.
+    rest has circle, n (its members), set_id, n_shingles, sketch, circles (all that the set is in) and component. Large circles are
+    compared block by block, each pair of blocks in a group of its own, so that a task holds two blocks at most. A pair comes
+    from the first circle that both are in, with a < b; with `nearest`, each set comes with its nearest one in a circle alone.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     placed = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("circle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "n_shingles", "sketch", "component")
+    dealt = dealt.select("circle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "n_shingles", "sketch", "circles", "component")
 
     def compare(group: pa.Table) -> pa.Table:
         ids, n, mine = (group[c].to_numpy() for c in ("set_id", "n_shingles", "mine"))
+        circle, circles = group["circle"][0].as_py(), group["circles"].to_pylist()
+        inside = [set(x) for x in circles]
         component = group["component"].to_numpy()
         sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH)
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for x in left:
-            others = right[(component[right] != component[x]) & ((ids[right] > ids[x]) | (i != j))]
-            others = others[may_link(sketch[x], n[x], sketch[others], n[others], percent)]
-            a.append(np.minimum(ids[x], ids[others]))
-            b.append(np.maximum(ids[x], ids[others]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return dealt.groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long")
+        out: list[tuple[int, int, float]] = []
+        for x in np.union1d(left, right) if nearest else left:
+            across = right if mine[x] == i else left
+            others = across[component[across] != component[x]]
+            if not nearest and i == j:
+                others = others[ids[others] > ids[x]]
+            apart = distances(sketch[x], n[x], sketch[others], n[others])
+            may = apart * (100 + percent) <= (n[x] + n[others]) * (100 - percent)
+            others, apart = others[may], (apart / (n[x] + n[others]))[may]
+            if nearest and len(others):
+                best = int(apart.argmin())
+                out.append((int(ids[x]), int(ids[others[best]]), float(apart[best])))
+            elif not nearest:
+                for y, far in zip(others.tolist(), apart.tolist(), strict=True):
+                    if next(c for c in circles[x] if c in inside[y]) == circle:
+                        out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), far))
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "apart": pa.array(columns[2], pa.float64())})
+
+    return dealt.groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long, apart double")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

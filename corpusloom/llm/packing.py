@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import spread, text_slices, written
-from .tokens import coder
+from .tokens import SLICE, coder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
 #: Pieces that are packed together; a group leaves at most one bin or so less full than it could.
@@ -24,7 +24,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int | None, capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.array([] if end_id is None else [end_id], np.uint32)
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             ids = coder(tokenizer_path).encode(part["text"])
             rows = []
             for doc_id, a, b in zip(part["doc_id"].to_pylist(), ids.bounds, ids.bounds[1:], strict=False):

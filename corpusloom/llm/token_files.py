@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, spread, text_slices
-from .tokens import Ragged, coder
+from .tokens import SLICE, Ragged, coder
 
 MAGIC = b"CLTOK1\n\0"
 SHARDS = "shard int, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long"
@@ -67,7 +67,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None) -
     picked = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < int(rate * 1_000_000))
 
     def serialize(batches):
-        for part in text_slices(batches):
+        for part in text_slices(batches, limit=SLICE):
             kind = id_type(coder(tokenizer_path).n_ids)
             data = [x[: SAMPLE_BYTES // kind.itemsize].astype(kind).tobytes() for x in ended(coder(tokenizer_path).encode(part["text"]), end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["ids"])
@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         ids, present, sizes, counts = [], [], [], []
         with store.open_output_stream(f"{mine}.tok") as out:
             out.write(MAGIC + digest + bytes([kind.itemsize]))
-            for part in text_slices(batches):
+            for part in text_slices(batches, limit=SLICE):
                 ids.append(part["doc_id"].fill_null(0).to_numpy(zero_copy_only=False))
                 present.append(part["doc_id"].is_valid().to_numpy(zero_copy_only=False))
                 for x in ended(coder(tokenizer_path).encode(part["text"]), end_id):

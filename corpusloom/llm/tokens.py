@@ -24,8 +24,10 @@ ODD_BLANKS = (
     r"|\x{2028}|\x{2029}|\x{202f}|\x{205f}|\x{3000}"
 )
 #: Distinct pieces whose ids a worker remembers from one slice to the next, at most.
-REMEMBERED = 400_000
-ENCODED_AT_ONCE = 20_000
+REMEMBERED = 250_000
+ENCODED_AT_ONCE = 5_000
+#: Bytes of text encoded as one.
+SLICE = 4 << 20
 
 
 class Ragged:
