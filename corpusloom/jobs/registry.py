@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import gate_jobs, graph_jobs, search_jobs, stream_jobs, usage_jobs
+from . import audit_jobs, gate_jobs, graph_jobs, search_jobs, stream_jobs, usage_jobs
 
-JOBS = (search_jobs, usage_jobs, graph_jobs, gate_jobs, stream_jobs)
+JOBS = (search_jobs, usage_jobs, graph_jobs, gate_jobs, stream_jobs, audit_jobs)
 QUERIES = {name: query for job in JOBS for name, query in job.QUERIES.items()}
 ORACLES = {name: sql for job in JOBS for name, sql in job.ORACLES.items()}

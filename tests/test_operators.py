@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import estimated_tokens, file_class, name_tokens, package_of, query_tokens_of
-from corpusloom.operators import cluster, conventions, gate, graph, resolve, rules, search, sessions, usage
+from corpusloom.operators import audit, cluster, conventions, gate, graph, resolve, rules, search, sessions, usage
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.incremental import reuse
 
@@ -118,3 +118,18 @@ def test_sessions_and_reuse(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "p string, h string")
     before = spark.createDataFrame([("a", "1"), ("b", "9"), ("d", "4")], "p string, h string")
     assert [sorted(r.p for r in x.collect()) for x in reuse(now, before, ["p", "h"])] == [["a"], ["b", "c"], ["b", "d"]]
+
+
+def test_audits(spark):
+    rules = ["node_modules/", "*.log", "!keep.log", "/root.txt", "a/**/z", "# no", ""]
+    paths = {"x/node_modules/y.js": True, "a.log": True, "d/keep.log": False, "root.txt": True, "d/root.txt": False, "a/z": True, "a/b/c/z": True, "b.txt": False}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", audit.ignored(F.col("p"), rules).alias("i")).collect()
+    assert {r.p: r.i for r in got} == paths
+    m = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "p string, h string")
+    d = spark.createDataFrame([("a", "1"), ("b", "9"), ("e", "5"), ("c", None)], "p string, h string")
+    assert {(r.p, r.state) for r in audit.drift(m, d, "p", "h").collect()} == {("b", "modified"), ("e", "unmanaged")}
+    assert one(spark, audit.complexity, "if (a && b) { x = c ? 1 : 2 } else for (;;) {}") == 5
+    files = spark.createDataFrame([("s", "loading"), ("s", "error"), ("t", "other")], "s string, k string")
+    assert {tuple(r) for r in audit.missing_siblings(files, "s", "k", ["loading", "error", "not-found"]).collect()} == {("s", "not-found"), ("t", "loading"), ("t", "error"), ("t", "not-found")}
+    traps = spark.createDataFrame([(["isOpen", "has_x", "island", "show"],)], "n array<string>")
+    assert traps.select(audit.boolean_traps(F.col("n"))).first()[0] == 2
