@@ -161,7 +161,7 @@ def linked(common: int, a: int, b: int, percent: int) -> bool:
 
 def distances(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
     """How many elements x must differ in from each row of y at least, by their sketches and sizes."""
-    apart = np.abs(y.astype(np.int16) - x.astype(np.int16)).sum(axis=1)
+    apart = np.abs(y - x).sum(axis=1, dtype=np.int64)
     return np.maximum(apart, np.abs(ny - nx))
 
 
@@ -303,11 +303,14 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
         return labelled.join(several.select("circle", "n"), "circle").join(known, "set_id")
 
     # Each set with the one of another component that its circles have nearest by their sketches; then all that are left.
-    near = across_components(still_open(), percent, nearest=True).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    found = written(across_components(still_open(), percent, nearest=True), "near-found")
+    near = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
+    # A pair not tried yet is the nearest of neither, so that both have other candidates.
+    several = found.groupBy(F.col("a").alias("set_id")).agg(F.max("several").alias("several"), F.min("b").alias("x"), F.max("b").alias("y")).where("several or x < y")
     links = links.unionByName(verified(near, "near"))
     tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(near)
-    pairs = across_components(still_open(), percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = across_components(still_open().join(several.select("set_id"), "set_id", "left_semi"), percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(verified(pairs, "across"))
     return described.select("doc_id", "n_shingles", "set_id"), links
 
@@ -317,7 +320,7 @@ def across_components(rest: DataFrame, percent: int, nearest: bool = False, bloc
 
     rest has circle, n (its members), set_id, n_shingles, sketch, circles (all that the set is in) and component. Large circles are
     compared block by block, each pair of blocks in a group of its own, so that a task holds two blocks at most. A pair comes
-    from the first circle that both are in, with a < b; with `nearest`, each set comes with its nearest one in a circle alone.
+    from the first circle that both are in, with a < b; with `nearest`, each set comes with its nearest one in a circle alone, and whether it has several.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
     placed = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
@@ -329,10 +332,10 @@ def across_components(rest: DataFrame, percent: int, nearest: bool = False, bloc
         circle, circles = group["circle"][0].as_py(), group["circles"].to_pylist()
         inside = [set(x) for x in circles]
         component = group["component"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH)
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH).astype(np.int16)
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, float, bool]] = []
         for x in np.union1d(left, right) if nearest else left:
             across = right if mine[x] == i else left
             others = across[component[across] != component[x]]
@@ -343,15 +346,16 @@ def across_components(rest: DataFrame, percent: int, nearest: bool = False, bloc
             others, apart = others[may], (apart / (n[x] + n[others]))[may]
             if nearest and len(others):
                 best = int(apart.argmin())
-                out.append((int(ids[x]), int(ids[others[best]]), float(apart[best])))
+                out.append((int(ids[x]), int(ids[others[best]]), float(apart[best]), len(others) > 1))
             elif not nearest:
                 for y, far in zip(others.tolist(), apart.tolist(), strict=True):
                     if next(c for c in circles[x] if c in inside[y]) == circle:
-                        out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), far))
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "apart": pa.array(columns[2], pa.float64())})
+                        out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), far, False))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = {"a": pa.int64(), "b": pa.int64(), "apart": pa.float64(), "several": pa.bool_()}
+        return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items(), strict=True)})
 
-    return dealt.groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long, apart double")
+    return dealt.groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long, apart double, several boolean")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
