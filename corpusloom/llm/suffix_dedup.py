@@ -132,7 +132,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     here = F.struct("key", "chunk", "slot", "places")
     beside = edges.select("edge", here.alias("a"), F.lead("edge").over(along).alias("next_edge"), F.lead(here).over(along).alias("b"))
     beside = beside.where("edge = 2 and next_edge = 1 and a.key = b.key")
-    directed = lambda x, y: beside.select(F.col(f"{x}.chunk").alias("chunk"), F.col(f"{x}.slot").alias("slot"), F.col(f"{x}.places").alias("places"), F.col(f"{y}.chunk").alias("other_chunk"), F.col(f"{y}.slot").alias("other_slot"), F.col(f"{y}.places")[0].alias("other_place"), F.lit(1).alias("way"))
+    directed = lambda x, y: beside.select(F.col(f"{x}.chunk").alias("chunk"), F.col(f"{x}.slot").alias("slot"), F.col(f"{x}.places").alias("places"), F.col(f"{y}.chunk").alias("other_chunk"), F.col(f"{y}.slot").alias("other_slot"), F.col(f"{y}.places")[0].alias("other_place"), F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
     inside = found.where("edge = 0").select("chunk", "slot", "places", "other_chunk", "other_slot", "other_place", "way")
     pairs = inside.union(directed("a", "b")).union(directed("b", "a")).withColumn("place", F.explode("places")).drop("places")
     # Places of one document that are at most `width` apart cover all words between them.

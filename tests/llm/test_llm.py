@@ -206,6 +206,40 @@ def test_suffix_dedup(spark, docs, rows):
     assert suffix_dedup.repeated_passages(docs).where("n_words < 50").count() == 0
 
 
+def shared_words(texts, n=50):
+    """For each text, the places of words that n-word passages cover which stand in another text too."""
+    at = {}
+    for k, t in enumerate(texts):
+        w = split(t)
+        for i in range(len(w) - n + 1):
+            at.setdefault(tuple(w[i : i + n]), set()).add(k)
+    out = {}
+    for k, t in enumerate(texts):
+        w = split(t)
+        out[k] = {i + j for i in range(len(w) - n + 1) if len(at[tuple(w[i : i + n])]) > 1 for j in range(n)}
+    return out
+
+
+def suffix_covered(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    out = {k: set() for k in range(len(texts))}
+    for r in suffix_dedup.repeated_passages(docs).collect():
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_suffix_dedup_across_parts(spark, monkeypatch):
+    """Pairs that a boundary between parts of the sort splits are extended on both sides."""
+    rng, texts = random.Random(11), []
+    for _ in range(60):
+        passage = words(rng, 50)
+        texts += [words(rng, rng.randint(5, 30)) + " " + passage + " " + words(rng, rng.randint(5, 30)) for _ in range(2)]
+    monkeypatch.setattr(suffix_dedup, "PART_SUFFIXES", 20)
+    covered = suffix_covered(spark, texts)
+    for k, need in shared_words(texts).items():
+        assert need and need <= covered[k]
+
+
 def test_lm_scoring(docs, rows):
     got = lm_scoring.score_texts(docs).collect()
     assert len(got) == len(rows)
