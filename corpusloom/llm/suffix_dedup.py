@@ -8,16 +8,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunk, rows_of, word_chunks
+from .chunks import QUESTION, Chunk, answered, in_order, question, rows_of, seen_twice, word_chunks
 from .common import mix64, spread, window_hashes, written
 
 #: Suffixes that one task sorts, about.
-PART_SUFFIXES = 400_000
-SUFFIX = "key long, ahead int, behind int, chunk long, slot int, places array<int>"
+PART_SUFFIXES = 2_000_000
+RESULT = "doc_id long, start_word long, end_word long, n_words long, partner_id long"
+LIVE = "chunk long, n_live long, live binary"
 
 
 def word_hashes(chunk: Chunk) -> np.ndarray:
@@ -25,193 +25,138 @@ def word_hashes(chunk: Chunk) -> np.ndarray:
     return own[chunk.index]
 
 
-def minimisers(chunk: Chunk, words: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose window of `width` words has the least hash among `span` neighbouring windows of the document, and their hashes."""
-    starts = chunk.starts(width)
+def minimisers(chunk: Chunk, words: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows of width + span - 1 words; for each the place of the window of `width` words that has the least hash
+    among the `span` inside it; and these windows' hashes."""
+    starts = chunk.starts(width + span - 1)
     if not len(starts):
-        return starts, np.empty(0, np.uint64)
+        return starts, starts, np.empty(0, np.uint64)
     hashes = window_hashes(words, width)
-    order = np.full(len(hashes) + span - 1, np.iinfo(np.uint64).max, np.uint64)
-    order[starts] = mix64(hashes[starts] ^ np.uint64(0xA5A5A5A5))
-    chosen = np.arange(len(hashes)) + sliding_window_view(order, span).argmin(axis=1)
-    valid = np.zeros(len(order), bool)
-    valid[starts] = True
-    places = np.unique(chosen[valid[: len(chosen)] & valid[np.minimum(np.arange(len(chosen)) + span - 1, len(order) - 1)]])
-    places = places[valid[places]]
-    return places, hashes[places]
+    order = mix64(hashes ^ np.uint64(0xA5A5A5A5))
+    places = starts + sliding_window_view(order, span)[starts].argmin(axis=1)
+    return starts, places, hashes[places]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Passages that documents share with others: doc_id, start_word, end_word, n_words, partner_id.
 
-    One row for each maximal stretch [start_word, end_word) of a document, min_words or longer, that is covered by words which also stand in
-    another document; partner_id is one that has the first of them.
+    One row for each maximal stretch [start_word, end_word) of a document that is covered by passages of min_words words which
+    also stand in another document; partner_id is the least one that has the first of them, a null id if no other has.
 
-    Suffixes are kept where the window of `width` words that they begin with is a minimiser, the least hash
-    among `span` windows; width + span - 1 = min_words, so that any passage of min_words shared by two documents has a suffix
-    kept in both. Suffixes are sorted over the whole table, by a hash of their first `width` words, then by the words after
-    and before these, and their place. Each is compared with both neighbours, across the parts of the sort too, and inside a part
-    with its neighbours by the words before. Kept places at most `width` apart cover all between them, and the first and last ones of
-    such a stretch are extended left and right word by word, by less than span words: had more words
-    agreed, there would be another kept suffix. Where no neighbour shares all of a passage, it may be found a few words short.
+    A suffix begins at each word, and its head are its first min_words words. The stretches are those of suffixes whose head another
+    document's suffix shares. The `width` words with the least hash among the `span` windows of a head, its core, are the same wherever
+    the head stands; width + span - 1 = min_words. Cores are compared over the whole table first, one of some ten suffixes
+    being new to them, and only suffixes whose core stands in another document too are sorted by their heads' hashes, in parts. All heads
+    are compared, not only neighbours, so that how many other documents share a core hides no passage.
 
-    The order is total, so that a passage in a third of all documents is cut into even parts. Words are told apart by 64-bit hashes.
+    A chunk sends each head once, with the least document that has it, so that a passage in a third of all documents is
+    no large group. Heads are told apart by 64-bit hashes; cores by 32 bits within a bucket, where a chance collision only keeps
+    a suffix for the sort.
 
-    Cases: null and empty texts and those under `width` words give no row; repeats inside one document alone don't count; rows
+    Cases: null and empty texts and those under min_words words give no row; repeats inside one document alone don't count; rows
     that repeat are documents of their own; null ids stay null; an empty table gives an empty result; other columns are ignored.
     """
     width = (3 * min_words + 4) // 5 + 1
     span = min_words - width + 1
     chunks = word_chunks(docs)
+    n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
+    n_cores = spread(2 * n_words, span + 1)
+    core_parts = spread(n_cores, PART_SUFFIXES)
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             chunk = Chunk(row)
-            words = word_hashes(chunk)
-            at, keys = minimisers(chunk, words, width, span)
-            slots = chunk.owner[at]
-            order = np.lexsort((at, keys, slots))
-            at, keys, slots = at[order], keys[order], slots[order]
-            first = np.ones(len(at), bool)
-            first[1:] = (keys[1:] != keys[:-1]) | (slots[1:] != slots[:-1])
-            heads = np.flatnonzero(first)
-            first_at, d = at[heads], slots[heads]
-            ahead = context(words, first_at + width, chunk.bounds[d + 1], 1)
-            behind = context(words, first_at - 1, chunk.bounds[d], -1)
-            places = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)), pa.array((at - chunk.bounds[slots]).astype(np.int32)))
+            yield from question(chunk.number, np.unique(minimisers(chunk, word_hashes(chunk), width, span)[2]), core_parts, kind=np.uint32)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which words of a chunk begin suffixes whose core another document has."""
+        for row in rows_of(batches):
+            chunk = Chunk(row)
+            starts, _, keys = minimisers(chunk, word_hashes(chunk), width, span)
+            distinct, which = np.unique(keys, return_inverse=True)
+            owner = chunk.owner[starts]
+            # Starts are in the order of their documents: another document than the first one that has the core.
+            first = np.full(len(distinct), len(chunk.doc_ids))
+            np.minimum.at(first, which, owner)
+            shared = in_order(row["answers"]).astype(bool)
+            shared[which[owner != first[which]]] = True
+            live = np.zeros(len(chunk.index), bool)
+            live[starts] = shared[which]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys[heads].view(np.int64)),
-                    pa.array(ahead),
-                    pa.array(behind),
-                    pa.array(np.full(len(heads), chunk.number)),
-                    pa.array(slots[heads].astype(np.int32)),
-                    places,
-                ],
-                names=[x.split()[0] for x in SUFFIX.split(", ")],
+                [pa.array([chunk.number]), pa.array([int(live.sum())]), pa.array([np.packbits(live).tobytes()], pa.binary())], names=[x.split()[0] for x in LIVE.split(", ")]
             )
 
-    kept = written(chunks.mapInArrow(suffixes, SUFFIX), "suffixes")
-    order = ["key", "ahead", "behind", "chunk", "slot"]
-    parts = spread(kept.count(), PART_SUFFIXES)
-    pair_kind = f"part int, edge int, way int, {SUFFIX}, other_chunk long, other_slot int, other_place int"
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each suffix with either neighbour that agrees with it: by the words after (way 1) and by those before (way 0); and
-        the part's first and last suffix, for the parts beside it."""
-        part, names, last = TaskContext.get().partitionId(), [x.split()[0] for x in pair_kind.split(", ")], None
-
-        def out(rows: pa.RecordBatch, others: pa.RecordBatch | None, edge: int, way: int = 1) -> pa.RecordBatch:
-            n = rows.num_rows
-            other = [pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int32())] if others is None else [others["chunk"], others["slot"], first_places(others)]
-            numbers = [pa.array([x] * n, pa.int32()) for x in (part, edge, way)]
-            return pa.RecordBatch.from_arrays([*numbers, *(rows[c] for c in names[3:9]), *other], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is None:
-                yield out(batch.slice(0, 1), None, 1)
-            both = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            key = both["key"].to_numpy()
-            group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-            for way, order in ((1, np.arange(len(key))), (0, np.lexsort((both["behind"].to_numpy(), group)))):
-                same = np.flatnonzero(group[order][1:] == group[order][:-1])
-                if len(same):
-                    left, right = both.take(pa.array(order[same])), both.take(pa.array(order[same + 1]))
-                    yield out(left, right, 0, way)
-                    yield out(right, left, 0, way)
-            last = batch.slice(batch.num_rows - 1)
-        if last is not None:
-            yield out(last, None, 2)
-
-    sorted_ = kept.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    found = written(sorted_.mapInArrow(neighbours, pair_kind), "suffix-neighbours")
-    edges = found.where("edge > 0")
-    along = Window.orderBy("part", "edge")
-    here = F.struct("key", "chunk", "slot", "places")
-    beside = edges.select("edge", here.alias("a"), F.lead("edge").over(along).alias("next_edge"), F.lead(here).over(along).alias("b"))
-    beside = beside.where("edge = 2 and next_edge = 1 and a.key = b.key")
-    directed = lambda x, y: beside.select(F.col(f"{x}.chunk").alias("chunk"), F.col(f"{x}.slot").alias("slot"), F.col(f"{x}.places").alias("places"), F.col(f"{y}.chunk").alias("other_chunk"), F.col(f"{y}.slot").alias("other_slot"), F.col(f"{y}.places")[0].alias("other_place"), F.explode(F.array(F.lit(0), F.lit(1))).alias("way"))
-    inside = found.where("edge = 0").select("chunk", "slot", "places", "other_chunk", "other_slot", "other_place", "way")
-    pairs = inside.union(directed("a", "b")).union(directed("b", "a")).withColumn("place", F.explode("places")).drop("places")
-    # Places of one document that are at most `width` apart cover all words between them.
-    line = Window.partitionBy("chunk", "slot").orderBy("place")
-    starts = (F.col("place") - F.lag("place", 1, -width - 1).over(line) > width).cast("int")
-    placed = pairs.select("chunk", "slot", "place").distinct().withColumn("island", starts).withColumn("island", F.sum("island").over(line))
-    whole = Window.partitionBy("chunk", "slot", "island")
-    placed = placed.withColumn("first", F.min("place").over(whole)).withColumn("last", F.max("place").over(whole))
-    near_end = ((F.col("way") == 0) & (F.col("place") - F.col("first") < span)) | ((F.col("way") == 1) & (F.col("last") - F.col("place") < span))
-    asks = pairs.join(placed, ["chunk", "slot", "place"]).where(near_end).distinct()
-    asks = written(asks.withColumn("id", F.monotonically_increasing_id()), "suffix-asks")
-
-    question = lambda s, other: asks.select(F.col(f"{s}chunk").alias("chunk"), F.struct("id", F.lit(other).alias("other"), "way", F.col(f"{s}slot").alias("slot"), F.col(f"{s}place").alias("place")).alias("ask"))
-    asked = question("", False).union(question("other_", True)).groupBy("chunk").agg(F.collect_list("ask").alias("asks"))
-
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each place that is asked about: the words before it, nearest first, or those after it; as 32 bits each."""
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk({c: batch[c][i].as_py() for c in batch.schema.names if c != "asks"})
-                words = (word_hashes(chunk) >> np.uint64(32)).astype(np.uint32)
-                q = batch["asks"][i].values
-                way, slot, place = (q.field(c).to_numpy() for c in ("way", "slot", "place"))
-                low, high = chunk.bounds[slot], chunk.bounds[slot + 1]
-                at = low + place
-                out = []
-                for w, a, b, p in zip(way.tolist(), low.tolist(), high.tolist(), at.tolist(), strict=True):
-                    out.append((words[max(a, p - span) : p][::-1] if w == 0 else words[p + width : min(b, p + width + span)]).tobytes())
-                yield pa.RecordBatch.from_arrays([q.field("id"), q.field("other"), chunk.ids().take(pa.array(slot)), pa.array(out, pa.binary())], names=["id", "other", "doc_id", "words"])
-
-    around = written(chunks.join(asked, "chunk").mapInArrow(ends, "id long, other boolean, doc_id long, words binary"), "suffix-ends")
-    theirs = around.where("other").select("id", F.col("doc_id").alias("partner_id"), F.col("words").alias("other_words"))
-    ready = around.where("not other").drop("other").join(theirs, "id").join(asks.select("id", "chunk", "slot", "island", "place", "way", "first", "last"), "id")
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = np.array([agreeing(x, y) for x, y in zip(batch["words"].to_pylist(), batch["other_words"].to_pylist(), strict=True)], np.int64)
-            place, way = batch["place"].to_numpy().astype(np.int64), batch["way"].to_numpy()
-            reach = np.where(way == 0, place - more, place + width + more)
-            names = ["chunk", "slot", "island", "doc_id", "partner_id", "way", "first", "last"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(reach)], names=[*names, "reach"])
-
-    reached = ready.mapInArrow(extend, "chunk long, slot int, island long, doc_id long, partner_id long, way int, first int, last int, reach long")
-    spans = reached.groupBy("chunk", "slot", "island").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.least(F.min("first"), F.min(F.when(F.col("way") == 0, F.col("reach")))).alias("start_word"),
-        F.greatest(F.max("last") + width, F.max(F.when(F.col("way") == 1, F.col("reach")))).alias("end_word"),
-        F.min_by("partner_id", F.struct(F.when(F.col("way") == 0, F.col("reach")).otherwise(F.col("first")), "partner_id")).alias("partner_id"),
-    )
-    by_start = Window.partitionBy("chunk", "slot").orderBy("start_word", "end_word")
-    reach = F.max("end_word").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.coalesce((F.col("start_word") > reach).cast("int"), F.lit(1))).withColumn("island", F.sum("new").over(by_start))
-    merged = islands.groupBy("chunk", "slot", "island").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min_by("partner_id", F.struct("start_word", "partner_id")).alias("partner_id")
-    )
-    n = F.col("end_word") - F.col("start_word")
-    return merged.where(n >= min_words).select("doc_id", "start_word", "end_word", n.alias("n_words"), "partner_id")
-
-
-def context(words: np.ndarray, start: np.ndarray, end: np.ndarray, step: int) -> np.ndarray:
-    """Eight words from start on, towards end, in 4 bits each: equal contexts have equal numbers, and sort beside each other."""
-    out = np.zeros(len(start), np.uint32)
-    for k in range(8):
-        at = start + k * step
-        inside = at < end if step > 0 else at >= end
-        out = (out << np.uint32(4)) | np.where(inside, words[np.where(inside, at, 0)] >> np.uint64(60), 0).astype(np.uint32)
-    return out.view(np.int32)
-
-
-def first_places(rows: pa.RecordBatch) -> pa.Array:
-    lists = rows["places"]
-    return lists.values.take(pa.array(lists.offsets.to_numpy()[:-1]))
-
-
-def agreeing(x: bytes, y: bytes) -> int:
-    """How many leading 4-byte words agree."""
-    n = min(len(x), len(y)) // 4
-    differ = np.frombuffer(x[: 4 * n], np.uint32) != np.frombuffer(y[: 4 * n], np.uint32)
-    return int(differ.argmax()) if differ.any() else n
+    cores = answered(chunks.mapInArrow(ask_cores, QUESTION), n_cores, seen_twice)
+    state = written(chunks.join(cores, "chunk").mapInArrow(sieve, LIVE), "suffix-cores")
+    n_live = state.agg(F.sum("n_live")).first()[0] or 0
+    parts = spread(n_live, PART_SUFFIXES)
+    kept = chunks.join(state.where("n_live > 0").select("chunk", "live"), "chunk")
+
+    def ask_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            chunk = Chunk(row)
+            _, _, distinct, _, least, _ = heads(chunk, row["live"], min_words)
+            along = np.stack((~chunk.valid[least], chunk.doc_ids[least]), axis=1).astype(np.int64)
+            yield from question(chunk.number, distinct, parts, lambda s, along=along: along[s].reshape(-1))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            chunk = Chunk(row)
+            starts, owner, _, which, least, second = heads(chunk, row["live"], min_words)
+            kind, ids = in_order(row["answers"]).reshape(-1, 2)[which].T
+            near = np.where(owner == least[which], second[which], least[which])
+            inside = near >= 0
+            # 0 for an id, 1 for a null id, 2 for no other document: the least of the chunk's own and the other chunks'.
+            near_kind, near_id = np.where(inside, (~chunk.valid[near]).astype(np.int64), 2), np.where(inside, chunk.doc_ids[near], 0)
+            nearer = (near_kind < kind) | ((near_kind == kind) & (near_id < ids))
+            kind, ids = np.where(nearer, near_kind, kind), np.where(nearer, near_id, ids)
+            found = kind < 2
+            starts, owner, kind, ids = starts[found], owner[found], kind[found], ids[found]
+            new = np.ones(len(starts), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (starts[1:] > starts[:-1] + min_words)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(starts))[: len(first)] - 1
+            base = chunk.bounds[owner[first]]
+            begin, end = starts[first] - base, starts[last] + min_words - base
+            columns = [pa.array(begin), pa.array(end), pa.array(end - begin), pa.array(ids[first], mask=kind[first] == 1)]
+            yield pa.RecordBatch.from_arrays([chunk.ids().take(pa.array(owner[first])), *columns], names=[x.split()[0] for x in RESULT.split(", ")])
+
+    said = answered(kept.mapInArrow(ask_heads, QUESTION), n_live, least_other)
+    return kept.join(said, "chunk").mapInArrow(finish, RESULT)
+
+
+def heads(chunk: Chunk, live: bytes, width: int) -> tuple[np.ndarray, ...]:
+    """Of the suffixes kept: starts and documents; the distinct hashes of their first words and each one's place among
+    these; and for each hash the least document of the chunk that has it, and the second or -1. Null ids come last."""
+    starts = np.flatnonzero(np.unpackbits(np.frombuffer(live, np.uint8), count=len(chunk.index)))
+    hashes, owner = window_hashes(word_hashes(chunk), width)[starts], chunk.owner[starts]
+    by_id = np.lexsort((chunk.doc_ids, ~chunk.valid))
+    rank = np.empty(len(by_id), np.int64)
+    rank[by_id] = np.arange(len(by_id))
+    distinct, which = np.unique(hashes, return_inverse=True)
+    least = np.full(len(distinct), len(by_id))
+    np.minimum.at(least, which, rank[owner])
+    other = rank[owner] != least[which]
+    second = np.full(len(distinct), len(by_id))
+    np.minimum.at(second, which[other], rank[owner[other]])
+    return starts, owner, distinct, which, by_id[least], np.append(by_id, -1)[second]
+
+
+def least_other(asked: list[np.ndarray], along: list[np.ndarray], chunks: np.ndarray) -> list[np.ndarray]:
+    """For each hash a chunk asks, the least document of the other chunks that ask it: 0 and its id, 1 and 0 for a null id, 2 and 0 for none."""
+    hashes, (null, ids) = np.concatenate(asked), np.concatenate(along).reshape(-1, 2).T
+    order = np.lexsort((np.where(null == 1, 0, ids), null, hashes))
+    ordered = hashes[order]
+    # Each chunk asks a hash once: the others' least is the group's first, and for that itself the one after it.
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    at = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    at[first] += 1
+    alone = np.append(first, True)[at] & first
+    best = order[np.minimum(at, len(order) - 1)]
+    out = np.empty((len(order), 2), np.int64)
+    out[order, 0] = np.where(alone, 2, null[best])
+    out[order, 1] = np.where(alone | (null[best] == 1), 0, ids[best])
+    return [x.reshape(-1) for x in np.split(out, np.cumsum([len(x) for x in asked])[:-1])]
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:

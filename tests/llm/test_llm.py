@@ -240,6 +240,26 @@ def test_suffix_dedup_across_parts(spark, monkeypatch):
         assert need and need <= covered[k]
 
 
+def test_suffix_dedup_around_common_cores(spark):
+    """A core in thousands of documents hides no passage around it, and a second occurrence in a document counts as the first."""
+    import xxhash
+
+    rng = random.Random(12)
+    own = lambda w: np.array([xxhash.xxh3_64_intdigest(x) for x in split(w)], np.uint64)
+    # The least by the order of minimisers, so that it is kept in all passages around it.
+    core = min((words(rng, 31) for _ in range(3000)), key=lambda w: int(common.mix64(common.window_hashes(own(w), 31) ^ np.uint64(0xA5A5A5A5))[0]))
+    texts = [words(rng, rng.randint(0, 24)) + " " + core + " " + words(rng, rng.randint(0, 24)) for _ in range(3000)]
+    for k in range(20):
+        passage = words(rng, k) + " " + core + " " + words(rng, 19 - k)
+        texts += [words(rng, 25) + " " + passage + " " + words(rng, 25) for _ in range(2)]
+    again = words(rng, 9) + " " + core + " " + words(rng, 10)
+    texts += [words(rng, 7) + " " + core + " " + words(rng, 40) + " " + again + " " + words(rng, 9), again]
+    rng.shuffle(texts)
+    need = shared_words(texts)
+    assert sum(map(bool, need.values())) == 42
+    assert suffix_covered(spark, texts) == need
+
+
 def test_lm_scoring(docs, rows):
     got = lm_scoring.score_texts(docs).collect()
     assert len(got) == len(rows)
