@@ -54,6 +54,29 @@ def test_convention_verdicts(spark):
     assert got == {"d": ("DOMINANT", "x"), "c": ("COMPETING", "x"), "n": ("NONE-FOUND", None), "o": ("DOMINANT", "x")}
 
 
+def test_elements_with_any_form_of_attribute(spark):
+    forms = {
+        "<input disabled autofocus>": ("input", ["disabled", "autofocus"]),
+        "<IMG SRC='x y' Alt=''/>": ("img", ["src", "alt"]),
+        "<meta charset=utf-8>": ("meta", ["charset"]),
+        '<use x1="1" xlink:href="#a" data-v2=b _c = "d">': ("use", ["x1", "xlink:href", "data-v2", "_c"]),
+        "<p onClick={() => { f({a: 1}) }} {...rest} id=>": ("p", ["onclick", "id"]),
+        '<my-card title="a b=c > href=\'d\'" @x="y">': ("my-card", ["title", "@x"]),
+        "<br/>": ("br", []),
+        "<a href=/b?c=d/ >": ("a", ["href"]),
+    }
+    pages = spark.createDataFrame([(1, "text < 3 ".join(forms) + "</p><!-- x -->")], "id long, html string")
+    found = rules.elements(pages, "id", "html")
+    assert [(r.tag, r.attrs) for r in found.orderBy("place").collect()] == list(forms.values())
+    long = "<p" + "".join(f" a{k}={{{k}}}" for k in range(300)) + " b={" + "x" * 200000 + "}>"
+    assert len(rules.elements(spark.createDataFrame([(1, long)], "id long, html string"), "id", "html").first().attrs) == 301
+    html = "<input autofocus id=a><img src='x'><p tabindex='2'><p tabIndex={3}><p title=' tabindex=\"4\"'><a class=c target=_blank href=http://x><a class='c' TARGET={\"_blank\"} rel='noopener'>"
+    pages = spark.createDataFrame([(1, html)], "id long, html string")
+    got = rules.element_findings(rules.elements(pages, "id", "html"), "id").collect()
+    want = [("A11Y-AUTOFOCUS", 0), ("A11Y-IMG-ALT", 1), ("NEXT-RAW-IMG", 1), ("A11Y-POSITIVE-TABINDEX", 2), ("A11Y-POSITIVE-TABINDEX", 3), ("SEC-TARGET-BLANK", 5), ("SEC-HREF-HTTP", 5)]
+    assert sorted((r.rule, r.place) for r in got) == sorted(want)
+
+
 def test_element_rules_and_secrets(spark):
     html = '<html><body><img src="a"><a onclick="f()">x</a><div onclick="g()" role="button">y</div><input type="hidden"><select><a href="x" class="c" target="_blank">z</a><p tabindex="3">'
     pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
