@@ -22,6 +22,11 @@ def missing_languages(spark, d) -> DataFrame:
     return A.missing_siblings(docs, "source", "lang", ["en", "fr", "de", "es", "it"])
 
 
+def missing_languages_all(spark, d) -> DataFrame:
+    """Languages that a source has no document in at all."""
+    return A.missing_siblings(table(spark, d, "documents"), "source", "lang", ["en", "fr", "de", "es", "it"])
+
+
 def manifest_drift(spark, d) -> DataFrame:
     """Labelled documents as the manifest of good ones' first words, against documents as they are."""
     docs = table(spark, d, "documents").select("doc_id", F.md5("lang").alias("digest"))
@@ -44,6 +49,7 @@ def text_complexity(spark, d) -> DataFrame:
 QUERIES = {
     "ignored_pages": ignored_pages,
     "missing_languages": missing_languages,
+    "missing_languages_all": missing_languages_all,
     "manifest_drift": manifest_drift,
     "feature_sizes": feature_sizes,
     "text_complexity": text_complexity,
@@ -56,6 +62,9 @@ SELECT page_id, CASE WHEN regexp_matches(path, '^c/') THEN true WHEN regexp_matc
     "missing_languages": """
 SELECT source, lang FROM (SELECT DISTINCT source FROM documents WHERE n_chars % 7 = 0 OR lang = 'en'), (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) AS w(lang)
 WHERE (source, lang) NOT IN (SELECT (source, lang) FROM documents WHERE n_chars % 7 = 0 OR lang = 'en')""",
+    "missing_languages_all": """
+SELECT source, w.lang FROM (SELECT DISTINCT source FROM documents) AS s, (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) AS w(lang)
+WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source IS NOT DISTINCT FROM s.source AND x.lang = w.lang)""",
     "manifest_drift": """
 WITH m AS (SELECT CASE WHEN quality = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id, CASE WHEN toxic = 1 THEN 'xx' ELSE 'en' END AS lang FROM labels)
 SELECT coalesce(m.doc_id, d.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN m.doc_id IS NULL THEN 'unmanaged' ELSE 'modified' END AS state

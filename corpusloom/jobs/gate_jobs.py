@@ -51,6 +51,14 @@ def baseline_diff(spark, d) -> DataFrame:
     return G.new_findings(found.where(F.col("event") > half), changed, found.where(F.col("event") <= half), "file", ["rule", "file", "line"]).select("rule", "severity", "file", "line", "event")
 
 
+def baseline_diff_all(spark, d) -> DataFrame:
+    """Findings of users with events in the later half that the first half of events doesn't have."""
+    found = events_as_findings(spark, d).select("rule", "severity", "file", (F.col("line") % 100).alias("line"), F.col("line").alias("event"))
+    half = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    later = found.where(F.col("event") > half)
+    return G.new_findings(later, later.select("file"), found.where(F.col("event") <= half), "file", ["rule", "file", "line"]).select("rule", "severity", "file", "line", "event")
+
+
 def citation_check(spark, d) -> DataFrame:
     """Citations of labelled documents' second word, at lines that may not be there."""
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -145,6 +153,7 @@ QUERIES = {
     "ownership": ownership,
     "footprint": footprint,
     "baseline_diff": baseline_diff,
+    "baseline_diff_all": baseline_diff_all,
     "citation_check": citation_check,
     "gate_verdict": gate_verdict,
     "added_lines": added_lines,
@@ -171,6 +180,10 @@ WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 2 =
     "baseline_diff": f"""WITH {FINDINGS}, half AS (SELECT max(event_id) // 2 AS middle FROM events)
 SELECT rule, severity, file, line % 100 AS line, line AS event FROM findings f
 WHERE line > (SELECT middle FROM half) AND CAST(file AS BIGINT) % 2 = 0 AND NOT EXISTS (
+  SELECT 1 FROM findings g WHERE g.line <= (SELECT middle FROM half) AND g.rule = f.rule AND g.file = f.file AND g.line % 100 = f.line % 100)""",
+    "baseline_diff_all": f"""WITH {FINDINGS}, half AS (SELECT max(event_id) // 2 AS middle FROM events)
+SELECT rule, severity, file, line % 100 AS line, line AS event FROM findings f
+WHERE line > (SELECT middle FROM half) AND NOT EXISTS (
   SELECT 1 FROM findings g WHERE g.line <= (SELECT middle FROM half) AND g.rule = f.rule AND g.file = f.file AND g.line % 100 = f.line % 100)""",
     "citation_check": r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),

@@ -54,6 +54,18 @@ def test_convention_verdicts(spark):
     assert got == {"d": ("DOMINANT", "x"), "c": ("COMPETING", "x"), "n": ("NONE-FOUND", None), "o": ("DOMINANT", "x")}
 
 
+def test_whole_tables_are_judged(spark, tmp_path):
+    """No document and no user is left out, whatever their numbers."""
+    from corpusloom.jobs import audit_jobs, gate_jobs
+
+    docs = [("a", "fr", 8), ("a", "en", 3), ("b", "de", 5)]
+    spark.createDataFrame(docs, "source string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.source, r.lang) for r in audit_jobs.missing_languages_all(spark, str(tmp_path)).collect()) == [("a", "de"), ("a", "es"), ("a", "it"), ("b", "en"), ("b", "es"), ("b", "fr"), ("b", "it")]
+    events = [(1, 1, "error", 1.0), (2, 2, "error", 1.0), (300, 1, "error", 1.0), (301, 1, "error", 1.0), (302, 2, "error", 1.0), (303, 3, "click", 1.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted((r.file, r.event) for r in gate_jobs.baseline_diff_all(spark, str(tmp_path)).collect()) == [("1", 300), ("3", 303)]
+
+
 def test_elements_with_any_form_of_attribute(spark):
     forms = {
         "<input disabled autofocus>": ("input", ["disabled", "autofocus"]),
