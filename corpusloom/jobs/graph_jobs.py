@@ -9,6 +9,8 @@ from ..functions.text import name_tokens, package_of
 from ..operators import cluster as C
 from ..operators import graph as G
 from ..operators import resolve as R
+from ..operators.components import connected_components
+from ..sources.storage import written
 from ..sources.tables import table
 
 
@@ -88,6 +90,16 @@ def contract_similarity(spark, d) -> DataFrame:
     return both.select(F.col("q_s_suppkey").alias("asked"), F.col("s_suppkey").alias("other"), similar.alias("similarity"))
 
 
+def supplier_pairs(spark, d) -> DataFrame:
+    """All pairs of suppliers that are .55 or more alike by brands, types and sizes of what they deliver, and the cluster that they are in."""
+    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
+    sets = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("brands"), F.collect_set("p_type").alias("types"), F.collect_set("p_size").alias("sizes"))
+    suppliers = sets.join(table(spark, d, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey")
+    pairs = written(C.weighted_pairs(suppliers, "s_suppkey", [("brands", 50), ("types", 30), ("sizes", 20)]), "supplier-pairs")
+    return pairs.join(connected_components(pairs, "a", "b").withColumnRenamed("component", "cluster"), F.col("a") == F.col("node")).drop("node")
+
+
 def module_resolution(spark, d) -> DataFrame:
     """Orders as files in folders of their customers; each refers to the customer's folder and to its next order."""
     orders = table(spark, d, "orders").select(F.concat(F.lit("src/c"), "o_custkey", F.lit("/o"), "o_orderkey", F.lit(".ts")).alias("path"), "o_custkey", "o_orderkey")
@@ -171,6 +183,7 @@ QUERIES = {
     "near_dup_clusters": near_dup_clusters,
     "dropped_blocks": dropped_blocks,
     "contract_similarity": contract_similarity,
+    "supplier_pairs": supplier_pairs,
     "module_resolution": module_resolution,
     "package_extract": package_extract,
     "owner_spans": owner_spans,
@@ -209,6 +222,15 @@ GROUP BY token""",
     "contract_similarity": f"""WITH {SIMILAR}
 SELECT x.s_suppkey AS asked, y.s_suppkey AS other, {share("brands", 50)} + {share("types", 30)} + {share("sizes", 20)} AS similarity
 FROM sets x JOIN sets y ON x.nation = y.nation AND x.s_suppkey <> y.s_suppkey WHERE x.s_suppkey % 20 = 0""",
+    "supplier_pairs": f"""WITH RECURSIVE {SIMILAR},
+pairs AS (
+  SELECT x.s_suppkey AS a, y.s_suppkey AS b, {share("brands", 50)} + {share("types", 30)} + {share("sizes", 20)} AS similarity
+  FROM sets x JOIN sets y ON x.s_suppkey < y.s_suppkey),
+near AS (SELECT * FROM pairs WHERE similarity >= 550),
+linked AS (SELECT a, b FROM near UNION SELECT b, a FROM near),
+closed AS (SELECT a AS node, a AS other FROM linked UNION SELECT node, b FROM closed JOIN linked ON a = other),
+labels AS (SELECT node, min(other) AS cluster FROM closed GROUP BY node)
+SELECT a, b, similarity, cluster FROM near JOIN labels ON node = a""",
     "module_resolution": """
 WITH files AS (SELECT o_custkey AS c, o_orderkey AS o FROM orders),
 refs AS (

@@ -72,3 +72,27 @@ def weighted_similarity(parts: list[tuple[Column, Column, int]]) -> Column:
         common, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
         total = total + F.when(union > 0, F.floor(common * (weight * 10) / union + 0.5)).otherwise(0)
     return total.cast("long")
+
+
+def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]], least: int = 550) -> DataFrame:
+    """a, b (a < b), similarity: all pairs whose weighted_similarity over array columns, heaviest first, is `least` or more.
+
+    What the other columns can't make up for must come from the heaviest: candidates share one of its rarer members, by a prefix
+    filter with that bound. There is no limit on pairs: where most entities are alike, the result grows with the square of the table.
+    """
+    (heavy, weight), *others = parts
+    rest = sum(w for _, w in others) * 10
+    # Half a thousandth less, as similarities are rounded each.
+    bound = (least - rest - 0.5) / (weight * 10)
+    if bound <= 0:
+        raise ValueError("the heaviest column must be needed to reach the least similarity")
+    sets = written(entities.select(F.col(key).alias("key"), *[F.array_distinct(c).alias(c) for c, _ in parts]), "weighted-sets")
+    terms = sets.select("key", F.size(heavy).alias("n"), F.explode(heavy).alias("t"))
+    rarity = terms.groupBy("t").agg(F.count("*").alias("df"))
+    placed = terms.join(rarity, "t").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "t")))
+    rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound) + 1)
+    candidates = rare.select("t", F.col("key").alias("a")).join(rare.select("t", F.col("key").alias("b")), "t").where("a < b").select("a", "b").distinct()
+    side = lambda k, s: sets.select(F.col("key").alias(k), *[F.col(c).alias(f"{s}_{c}") for c, _ in parts])
+    both = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    similar = weighted_similarity([(F.col(f"x_{c}"), F.col(f"y_{c}"), w) for c, w in parts])
+    return both.select("a", "b", similar.alias("similarity")).where(F.col("similarity") >= least)

@@ -66,6 +66,19 @@ def test_whole_tables_are_judged(spark, tmp_path):
     assert sorted((r.file, r.event) for r in gate_jobs.baseline_diff_all(spark, str(tmp_path)).collect()) == [("1", 300), ("3", 303)]
 
 
+def test_weighted_pairs_finds_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    pick = lambda n: rng.sample("abcdefghij", rng.randint(0, n))
+    rows = [(k, pick(6), pick(4), pick(3)) for k in range(120)]
+    like = lambda x, y, w: int(len(set(x) & set(y)) * w * 10 / len(set(x) | set(y)) + 0.5) if x or y else 0
+    want = {(p[0], q[0], s) for p in rows for q in rows if p[0] < q[0] and (s := like(p[1], q[1], 50) + like(p[2], q[2], 30) + like(p[3], q[3], 20)) >= 550}
+    e = spark.createDataFrame(rows, "id long, x array<string>, y array<string>, z array<string>")
+    got = cluster.weighted_pairs(e, "id", [("x", 50), ("y", 30), ("z", 20)]).collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_elements_with_any_form_of_attribute(spark):
     forms = {
         "<input disabled autofocus>": ("input", ["disabled", "autofocus"]),
