@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import written
+from ..sources.storage import discarded, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -13,18 +13,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Every round, a node takes the least label of its neighbours and then that label's own label, so that labels
     travel at least twice as far each round. Labels are written to shared storage, which
-    cuts the lineage; a hub's rows meet only in partial minima and in joins that adaptive execution can split.
+    cuts the lineage, and those of the round before are deleted; a hub's rows meet only in partial minima and in joins that adaptive execution can split.
 
     Edges with a null end are ignored; loops make a node a component; repeated edges do no harm.
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = written(ends.union(ends.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
+    labels = held = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         lower = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
         moved = written(lower.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
-        labels = moved.select("node", "label")
+        discarded(held)
+        held, labels = moved, moved.select("node", "label")
         if moved.where("moved").isEmpty():
+            discarded(both)
             return labels.select("node", F.col("label").alias("component"))
