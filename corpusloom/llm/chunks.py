@@ -18,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, spread, text_slices, written
+from .common import Words, text_slices, written
 
 CHUNK = "chunk long, n_words long, doc_ids binary, valid binary, bounds binary, index binary, vocabulary binary"
-#: Hashes of one bucket, about.
-BUCKET_HASHES = 2_000_000
+#: Text of a chunk and hashes of a bucket, about. Rows on the way are chunks times buckets at most: larger ones of both keep these few on
+#: a larger table, and take more of a task's memory.
+CHUNK_BYTES, BUCKET_HASHES = 8 << 20, 2_000_000
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -37,7 +38,7 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
-def word_chunks(docs: DataFrame, lower: bool = False, limit: int = 8 << 20) -> DataFrame:
+def word_chunks(docs: DataFrame, lower: bool = False, limit: int = CHUNK_BYTES) -> DataFrame:
     """CHUNK rows of docs (doc_id, text), written, so that a chunk stays the same chunk whatever is lost later."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def question(chunk: int, hashes: np.ndarray, n_buckets: int, with_it: Callable[[
         )
 
 
-def per_bucket(questions: DataFrame, n_hashes: int, handle: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def per_bucket(questions: DataFrame, n_buckets: int, handle: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """What handle makes of each bucket's QUESTION rows, one bucket in memory at a time."""
 
     def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,11 +122,11 @@ def per_bucket(questions: DataFrame, n_hashes: int, handle: Callable[[list[dict]
         if held:
             yield from handle(held)
 
-    dealt = questions.repartition(spread(n_hashes, BUCKET_HASHES), "bucket").sortWithinPartitions("bucket", "chunk")
+    dealt = questions.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "chunk")
     return dealt.mapInArrow(by_bucket, schema)
 
 
-def answered(questions: DataFrame, n_hashes: int, answer: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], list[np.ndarray]]) -> DataFrame:
+def answered(questions: DataFrame, n_buckets: int, answer: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], list[np.ndarray]]) -> DataFrame:
     """chunk, answers: for each chunk that asked, array<struct<bucket, said>> with answer's arrays, packed.
 
     answer gets the hashes that each chunk asked of one bucket, what went along, and the chunks' numbers.
@@ -138,7 +139,7 @@ def answered(questions: DataFrame, n_hashes: int, answer: Callable[[list[np.ndar
         columns = [pa.array([r["chunk"] for r in held], pa.int64()), pa.array([held[0]["bucket"]] * len(held), pa.int64()), pa.array([packed(x) for x in said], pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["chunk", "bucket", "said"])
 
-    said = per_bucket(questions, n_hashes, handle, "chunk long, bucket long, said binary")
+    said = per_bucket(questions, n_buckets, handle, "chunk long, bucket long, said binary")
     return said.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "said")).alias("answers"))
 
 

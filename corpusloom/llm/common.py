@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import functions as F
 
-from ..sources.storage import new_path, shared_dir, written
+from ..sources.storage import discarded, new_path, shared_dir, written
 
-__all__ = ["SLICE_BYTES", "Words", "crc_mod", "mix64", "new_path", "shared_dir", "spread", "text_slices", "window_hashes", "written"]
+__all__ = ["SLICE_BYTES", "Words", "crc_mod", "discarded", "mix64", "new_path", "shared_dir", "spread", "text_slices", "window_hashes", "written"]
 
 #: Bytes of text that one step inside a task works on.
 SLICE_BYTES = 8 << 20

@@ -7,14 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .chunks import BUCKET_HASHES, QUESTION, Chunk, answered, packed, per_bucket, question, rows_of, unpacked, word_chunks
-from .common import mix64, spread, window_hashes, written
+from .chunks import BUCKET_HASHES, CHUNK_BYTES, QUESTION, Chunk, answered, packed, question, rows_of, unpacked, word_chunks
+from .common import discarded, mix64, spread, window_hashes, written
 
 #: Sets of one size band and the next share signatures of a tag. Up to this size they are all subsets that leave
 #: out as few elements as linked sets may differ by; above, those of a partitioned domain.
@@ -23,8 +23,13 @@ SMALL_SET = 9
 PARTS, LEFT_OUT = 3, 1
 #: Partitionings tried for sets that have an empty signature; the last one's empty signatures count.
 SCHEMES = 3
-#: Places of a set's sketch.
-SKETCH = 512
+#: Bits of a set's sketch for each of its elements, at least, and of any sketch.
+SKETCH_BITS, LEAST_BITS = 2, 256
+#: Elements of the sets that are signed at once, about.
+SIGNED_ELEMENTS = 1 << 18
+#: Keys that the members of a circle are dealt by when they are joined to what is known of it.
+SALTS = 16
+SET_CHUNK = "chunk long, doc_ids binary, valid binary, n_shingles binary, set_ids binary, own_ids binary, own_sizes binary, elements binary"
 
 
 def bands(percent: int, upto: int) -> list[tuple[int, int]]:
@@ -145,24 +150,44 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np
     return np.concatenate(sigs), np.concatenate(who)
 
 
-def sketches(sets: Sets) -> list[bytes]:
-    """How many elements of each set fall into each of SKETCH parts of the domain, 255 at most.
+def sketches(values: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Whether the number of each set's elements is odd in each of a power of two of parts of the domain, as bits.
 
-    Two sets differ in at least as many elements as their sketches' distance.
+    Two sets differ in at least as many elements as their sketches in bits. A sketch's halves xored are the sketch over half as many parts.
     """
-    place = np.repeat(np.arange(len(sets.sizes)), sets.sizes) * SKETCH + (mix64(sets.values) >> np.uint64(55)).astype(np.int64)
-    counts = np.minimum(np.bincount(place, minlength=len(sets.sizes) * SKETCH), 255).astype(np.uint8).reshape(-1, SKETCH)
-    return [x.tobytes() for x in counts]
+    bits = 1 << np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) * SKETCH_BITS)), int(LEAST_BITS).bit_length() - 1).astype(np.int64)
+    ends = np.cumsum(bits)
+    place = np.repeat(ends - bits, sizes) + (mix64(values) & np.repeat(bits - 1, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits((np.bincount(place, minlength=int(ends[-1]) if len(ends) else 0) & 1).astype(np.uint8), bitorder="little")
+    return [odd[(e - b) // 8 : e // 8].tobytes() for e, b in zip(ends.tolist(), bits.tolist(), strict=True)]
 
 
-def linked(common: int, a: int, b: int, percent: int) -> bool:
-    return 100 * common >= percent * (a + b - common)
+class Sketches:
+    """Sketches of several lengths, compared over as many parts as the shortest has."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.bits = raw, np.array([8 * len(x) for x in raw], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def over(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """The sketches of at least so many bits, folded to so many; and each one's row among these."""
+        if bits not in self.folded:
+            which = np.flatnonzero(self.bits >= bits)
+            row = np.zeros(len(self.raw), np.int64)
+            row[which] = np.arange(len(which))
+            fold = [np.bitwise_xor.reduce(np.frombuffer(self.raw[k], np.uint64).reshape(-1, bits // 64), axis=0) for k in which.tolist()]
+            self.folded[bits] = np.stack(fold), row
+        return self.folded[bits]
+
+    def apart(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many elements x must differ in from each of the others at least."""
+        bits = min(int(self.bits[others].min()), int(self.bits[x]))
+        matrix, row = self.over(bits)
+        return np.bitwise_count(matrix[row[others]] ^ matrix[row[x]]).sum(axis=1, dtype=np.int64)
 
 
-def distances(x: np.ndarray, nx: int, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
-    """How many elements x must differ in from each row of y at least, by their sketches and sizes."""
-    apart = np.abs(y - x).sum(axis=1, dtype=np.int64)
-    return np.maximum(apart, np.abs(ny - nx))
+def linked(common: int, a: int, b: int, percent: int) -> bool:
+    return 100 * common >= percent * (a + b - common)
 
 
 def cells(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +196,7 @@ def cells(hashes: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (place >> np.uint64(32)).astype(np.int64), ((place & np.uint64(0xFFFFFFFF)) >> np.uint64(8)).astype(np.int64)
 
 
-def shared_cells(asked: list[np.ndarray], along: list[np.ndarray], _chunks: np.ndarray) -> list[np.ndarray]:
+def shared_cells(asked: list[np.ndarray], along: list[np.ndarray]) -> list[np.ndarray]:
     """For each cell that chunks ask about, whether two sets or more have elements in it."""
     keys = [np.cumsum(x.astype(np.int64)) for x in asked]
     _, which = np.unique(np.concatenate(keys), return_inverse=True)
@@ -179,6 +204,21 @@ def shared_cells(asked: list[np.ndarray], along: list[np.ndarray], _chunks: np.n
     return [np.packbits(x) for x in np.split(several, np.cumsum([len(x) for x in keys])[:-1])]
 
 
+def first_chunks(asked: list[np.ndarray], chunks: np.ndarray) -> list[np.ndarray]:
+    """For each set that chunks ask about, whether a chunk is the first one that has it."""
+    _, which = np.unique(np.concatenate(asked), return_inverse=True)
+    sizes = [len(x) for x in asked]
+    who = np.repeat(chunks, sizes)
+    least = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, which, who)
+    return np.split((who == least[which]).astype(np.uint8), np.cumsum(sizes)[:-1])
+
+
+def cells_or_sets(asked: list[np.ndarray], along: list[np.ndarray], chunks: np.ndarray) -> list[np.ndarray]:
+    """A bucket holds cells, as steps of 32 bits, or whole hashes of sets."""
+    return first_chunks(asked, chunks) if asked[0].dtype == np.uint64 else shared_cells(asked, along)
+
+
 def own_cells(sets: Sets, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """bucket, cell and number of elements of each cell that the sets touch, and the cell of each element of sets.values."""
     distinct, which = np.unique(sets.values, return_inverse=True)
@@ -189,23 +229,80 @@ def own_cells(sets: Sets, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return bucket[new], cell[new], np.bincount(number[which], minlength=int(new.sum())), number[which]
 
 
-def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def listed(values: np.ndarray) -> np.ndarray:
+    """An array as its distinct values and their places, of which few bytes are left when packed."""
+    distinct, which = np.unique(values, return_inverse=True)
+    return np.concatenate(([len(distinct)], distinct.view(np.int64), which)).astype(np.int64)
+
+
+def unlisted(data: np.ndarray) -> np.ndarray:
+    n = int(data[0])
+    return data[1 : n + 1][data[n + 1 :]]
+
+
+def least_first(asked: list[np.ndarray], along: list[np.ndarray], _chunks: np.ndarray) -> list[np.ndarray]:
+    """For each signature a chunk asks, listed: the least set that any chunk has for it; 0 where no other chunk asks."""
+    _, which, counts = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+    ids = np.concatenate([unlisted(x) for x in along])
+    least = np.full(len(counts), np.iinfo(np.int64).max)
+    np.minimum.at(least, which, ids)
+    said = np.where(counts > 1, least, 0)[which]
+    return [listed(x) for x in np.split(said, np.cumsum([len(x) for x in asked])[:-1])]
+
+
+class OwnSets:
+    """The distinct sets that a chunk keeps for all others, from a row with own_ids, own_sizes and elements."""
+
+    def __init__(self, row: dict):
+        self.ids = unpacked(row["own_ids"])
+        self.bounds = np.concatenate(([0], np.cumsum(unpacked(row["own_sizes"]).astype(np.int64))))
+        self.values = np.frombuffer(row["elements"], np.uint64)
+
+    def signatures(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct signatures of the sets, sorted; then for each signature of a set its place among these, and the set."""
+        sigs, who, start = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        while start < len(self.ids):
+            stop = max(start + 1, int(np.searchsorted(self.bounds, self.bounds[start] + SIGNED_ELEMENTS, side="right")) - 1)
+            part = self.bounds[start : stop + 1]
+            found = signatures(self.values[part[0] : part[-1]], part - part[0], percent)
+            sigs.append(found[0])
+            who.append(found[1] + start)
+            start = stop
+        distinct, which = np.unique(np.concatenate(sigs), return_inverse=True)
+        return distinct, which, np.concatenate(who)
+
+
+def set_documents(described: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_id of each document, from the chunks that describe() makes."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            n = unpacked(row["n_shingles"])
+            columns = [pa.array(unpacked(row["doc_ids"]), mask=~unpacked(row["valid"]).astype(bool)), pa.array(n), pa.array(unpacked(row["set_ids"]), mask=n == 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_id"])
+
+    return described.select("doc_ids", "valid", "n_shingles", "set_ids").mapInArrow(rows, "doc_id long, n_shingles long, set_id long")
+
+
+def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, n_shingles, set_id for each document; and the links a, b found between sets.
 
-    Documents with equal sets are one node. A set can link only if percent of its elements are in other sets too;
-    sets for which a count of elements by hash cells (never too low) rules that out have no links, and signatures are made
-    for the others alone. The links are enough to connect all sets that links connect: each set is compared
-    with the first member of a signature group that it shares most signatures with, then with its nearest one of another component,
-    then with all of other components among the members of its groups; the last two rule pairs out by
-    sketches, block by block, and pairs that are left are compared on whole sets.
+    Documents with equal sets are one node, kept by the first chunk that has it. A set can link only if percent of its elements are in
+    other sets too; sets for which a count of elements by hash cells (never too low) rules that out have no links, and signatures are made
+    for the others alone. A chunk asks each signature once, with its least set, so that one in a third of all sets is one
+    row for a chunk. The answers are the signature group's first (least) set. The links are enough to connect all sets that links
+    connect: each set is compared with the first that it shares most groups with, then with its nearest one of another component, then with all
+    of other components among the members of its firsts' circles; the last two rule pairs out by sketches, block by block, and
+    pairs that are left are compared on whole sets.
     """
-    chunks = word_chunks(docs, lower=True)
+    chunks = word_chunks(docs, lower=True, limit=chunk_bytes)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
-    n_buckets = spread(n_words, BUCKET_HASHES)
+    n_buckets = spread(n_words, bucket_hashes)
 
     def ask_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            bucket, cell, n, _ = own_cells(Sets(Chunk(row), width), n_buckets)
+            sets = Sets(Chunk(row), width)
+            bucket, cell, n, _ = own_cells(sets, n_buckets)
             present, starts = np.unique(bucket, return_index=True)
             pieces = [slice(a, b) for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=False)]
             if pieces:
@@ -213,6 +310,8 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
                 counts = [packed(np.minimum(n[p], 2).astype(np.uint8)) for p in pieces]
                 columns = [pa.array(present), pa.array([row["chunk"]] * len(pieces), pa.int64()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["bucket", "chunk", "asked", "with_it"])
+            for batch in question(row["chunk"], np.sort(sets.ids[sets.documents].view(np.uint64)), n_buckets):
+                yield batch.set_column(0, "bucket", pc.add(batch["bucket"], n_buckets))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -224,58 +323,74 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
             several = np.concatenate([np.unpackbits(bits[b], count=c) for b, c in zip(present.tolist(), counts.tolist(), strict=True)] or [np.empty(0, np.uint8)])
             owner = np.repeat(np.arange(len(sets.sizes)), sets.sizes)
             common = np.bincount(owner, weights=several[number], minlength=len(sets.sizes))
-            may = np.flatnonzero(100 * common >= percent * sets.sizes)
-            elements, sketch = [None] * len(chunk.doc_ids), [None] * len(chunk.doc_ids)
-            drawn = sketches(sets)
-            for k in may.tolist():
-                d = int(sets.documents[k])
-                elements[d], sketch[d] = sets.values[sets.bounds[k] : sets.bounds[k + 1]].tobytes(), drawn[k]
-            ids = pa.array(sets.ids, mask=sets.n_shingles == 0)
-            yield pa.RecordBatch.from_arrays(
-                [chunk.ids(), pa.array(sets.n_shingles.astype(np.int64)), ids, pa.array(sketch, pa.binary()), pa.array(elements, pa.binary())],
-                names=["doc_id", "n_shingles", "set_id", "sketch", "elements"],
-            )
-
-    asked = answered(chunks.mapInArrow(ask_cells, QUESTION), n_words, shared_cells)
-    described = written(chunks.join(asked, "chunk", "left").mapInArrow(describe, "doc_id long, n_shingles long, set_id long, sketch binary, elements binary"), "shingle-sets")
-    sets = written(described.where("elements is not null").select("set_id", "n_shingles", "sketch", "elements").dropDuplicates(["set_id"]), "distinct-sets")
+            first = np.concatenate([bits[b] for b in sorted(bits) if b >= n_buckets] or [np.empty(0, np.uint8)]).astype(bool)
+            own = np.empty(len(sets.sizes), bool)
+            own[np.argsort(sets.ids[sets.documents].view(np.uint64))] = first
+            own &= 100 * common >= percent * sets.sizes
+            columns = [
+                row["chunk"],
+                row["doc_ids"],
+                row["valid"],
+                packed(sets.n_shingles.astype(np.int64)),
+                packed(sets.ids),
+                packed(sets.ids[sets.documents][own]),
+                packed(sets.sizes[own].astype(np.uint32)),
+                sets.values[np.repeat(own, sets.sizes)].tobytes(),
+            ]
+            kinds = [pa.int64()] + [pa.binary()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SET_CHUNK.split(", ")])
+
+    asked = answered(chunks.mapInArrow(ask_cells, QUESTION), 2 * n_buckets, cells_or_sets)
+    described = written(chunks.join(asked, "chunk", "left").mapInArrow(describe, SET_CHUNK), "shingle-sets")
+    discarded(chunks)
+    own = described.select("chunk", "own_ids", "own_sizes", "elements").where("length(elements) > 0")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
-                raw = part["elements"].to_pylist()
-                bounds = np.concatenate(([0], np.cumsum([len(x) // 8 for x in raw])))
-                sigs, who = signatures(np.frombuffer(b"".join(raw), np.uint64), bounds, percent)
-                order = np.argsort(sigs, kind="stable")
-                ids = part["set_id"].to_numpy()[who[order]]
-                number += 1
-                # 40 bits of a signature in its bucket are enough: those that only seem equal are compared in vain.
-                yield from question(number, sigs[order], n_buckets, lambda s, ids=ids: ids[s], bits=40)
-
-    def group(held: list[dict]) -> Iterator[pa.RecordBatch]:
-        """Each member of the bucket's signature groups with the group's first, and how often."""
-        sigs, ids = np.concatenate([unpacked(r["asked"]) for r in held]), np.concatenate([unpacked(r["with_it"]) for r in held])
-        order = np.lexsort((ids, sigs))
-        sigs, ids = sigs[order], ids[order]
-        starts = np.flatnonzero(np.concatenate(([True], sigs[1:] != sigs[:-1])))
-        firsts = np.repeat(ids[starts], np.diff(np.append(starts, len(sigs))))
-        pairs = np.stack((ids, firsts), axis=1)[ids != firsts]
-        if len(pairs):
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1))))
+        for row in rows_of(batches):
+            sets = OwnSets(row)
+            distinct, which, who = sets.signatures(percent)
+            least = np.full(len(distinct), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, sets.ids[who])
+            # 40 bits of a signature in its bucket are enough: those that only seem equal are compared in vain.
+            yield from question(row["chunk"], distinct, n_buckets, lambda s, least=least: listed(least[s]), bits=40)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each set that shares a signature, with the first of all its groups: the one of most groups, and all of them."""
+        for row in rows_of(batches):
+            sets = OwnSets(row)
+            distinct, which, who = sets.signatures(percent)
+            said = np.concatenate([unlisted(unpacked(x["said"])) for x in sorted(row["answers"] or [], key=lambda x: x["bucket"])] or [np.empty(0, np.int64)])
+            least = np.full(len(distinct), np.iinfo(np.int64).max)
+            np.minimum.at(least, which, sets.ids[who])
+            several = (np.bincount(which, minlength=len(distinct)) > 1) | (said != 0)
+            least = np.where(said != 0, np.minimum(said, least), least)
+            used = several[which]
+            pairs = np.stack((who[used], least[which[used]]), axis=1)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            new = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]).any(axis=1)))) if len(pairs) else np.empty(0, np.int64)
             counts = np.diff(np.append(new, len(pairs)))
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[new, 1]), pa.array(pairs[new, 0]), pa.array(counts)], names=["a", "b", "n"])
-
-    met = per_bucket(sets.mapInArrow(ask, QUESTION), n_words, group, "a long, b long, n long")
-    star = written(met.groupBy("a", "b").agg(F.sum("n").alias("n")), "first-members")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Those of the pairs a, b (set ids) that are linked, by their whole sets."""
-        left = pairs.join(sets.select(F.col("set_id").alias("b"), F.col("elements").alias("theirs")), "b")
-        both = left.join(sets.select(F.col("set_id").alias("a"), F.col("elements").alias("ours")), "a")
+            pairs = pairs[new]
+            met = np.unique(pairs[:, 0])
+            ends = np.searchsorted(pairs[:, 0], met, side="right")
+            starts = np.searchsorted(pairs[:, 0], met)
+            other = pairs[:, 1] != sets.ids[pairs[:, 0]]
+            most = np.where(other, counts, 0)
+            best = [int(a + most[a:b].argmax()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            best = np.array(best, np.int64)
+            circles = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]).astype(np.int32)), pa.array(pairs[:, 1])) if len(met) else pa.array([], pa.list_(pa.int64()))
+            sizes = np.diff(sets.bounds)[met]
+            elements = [sets.values[sets.bounds[s] : sets.bounds[s + 1]].tobytes() for s in met.tolist()]
+            columns = [pa.array(sets.ids[met]), pa.array(sizes), pa.array(pairs[best, 1], mask=~other[best]), circles, pa.array(elements, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["set_id", "n", "nearest", "circles", "elements"])
+
+    firsts = answered(own.mapInArrow(ask, QUESTION), n_buckets, least_first)
+    known = written(own.join(firsts, "chunk").mapInArrow(meet, "set_id long, n long, nearest long, circles array<long>, elements binary"), "circle-members")
+    documents = written(set_documents(described), "set-documents")
+    discarded(described)
+
+    def verified(pairs: DataFrame, ours: DataFrame, name: str) -> DataFrame:
+        """Those of the pairs a, b (set ids; theirs has b's elements) that are linked, by their whole sets."""
+        both = pairs.join(ours.select(F.col("set_id").alias("a"), F.col("elements").alias("ours")), "a")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -287,78 +402,111 @@ def shingle_links(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[D
 
         return written(both.mapInArrow(compare, "a long, b long"), f"{name}-links")
 
-    # Each set with the first set that it shares most signatures with: one comparison a set.
-    nearest = written(star.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b"), "nearest")
-    links = verified(nearest, "nearest")
-    # Members of a signature group are all in the circle of the group's first.
-    circles = star.select(F.col("a").alias("circle"), F.col("b").alias("set_id")).union(star.select("a", "a").distinct())
-    mine = circles.groupBy("set_id").agg(F.sort_array(F.collect_list("circle")).alias("circles"))
-    known = written(sets.select("set_id", "n_shingles", "sketch").join(mine, "set_id"), "circle-members")
-
-    def still_open() -> DataFrame:
-        """The circles that have several components, with what is compared of their members."""
-        component = connected_components(links, "a", "b")
-        labelled = circles.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-        several = labelled.groupBy("circle").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most")
-        return labelled.join(several.select("circle", "n"), "circle").join(known, "set_id")
-
-    # Each set with the one of another component that its circles have nearest by their sketches; then all that are left.
-    found = written(across_components(still_open(), percent, nearest=True), "near-found")
+    def with_theirs(pairs: DataFrame) -> DataFrame:
+        return pairs.join(known.select(F.col("set_id").alias("b"), F.col("elements").alias("theirs")), "b")
+
+    # Each set with the first set that it shares most groups with: one comparison a set, and the set itself is at hand.
+    nearest = known.where("nearest is not null").select(F.col("nearest").alias("a"), F.col("set_id").alias("b"), F.col("elements").alias("theirs"))
+    links = verified(nearest, known.where(F.array_contains("circles", F.col("set_id"))), "nearest")
+
+    # Each set that isn't of its circle's largest component with the one of another component that the circle has nearest
+    # by their sketches. A pair not tried then has a set among them with several candidates; all pairs of those come last.
+    found = written(across_components(open_circles(known, links), percent, nearest=True), "near-found")
     near = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
     near = written(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
-    # A pair not tried yet is the nearest of neither, so that both have other candidates.
     several = found.groupBy(F.col("a").alias("set_id")).agg(F.max("several").alias("several"), F.min("b").alias("x"), F.max("b").alias("y")).where("several or x < y")
-    links = links.unionByName(verified(near, "near"))
-    tried = nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(near)
-    pairs = across_components(still_open().join(several.select("set_id"), "set_id", "left_semi"), percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(pairs, "across"))
-    return described.select("doc_id", "n_shingles", "set_id"), links
+    more = links.unionByName(verified(with_theirs(near), known, "near"))
+    tried = known.where("nearest is not null").select(F.least("nearest", "set_id").alias("a"), F.greatest("nearest", "set_id").alias("b")).union(near)
+    pairs = across_components(open_circles(known, more, several.select("set_id")), percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    links = more.unionByName(verified(with_theirs(pairs), known, "across"))
+    return documents, links
+
+
+def open_circles(known: DataFrame, links: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """The members of circles that have several components: circle, n, n_ask, asks (only's sets; without only, those outside the
+    circle's largest component), and the members' set_id, n_shingles, component, circles and sketch.
+
+    A circle is counted by component and then as one, so that a circle in a third of all sets meets in partial
+    counts alone; its members find its count by circle and salt.
+    """
+    component = connected_components(links, "a", "b")
+    labelled = known.select("set_id", "circles").join(component.withColumnRenamed("node", "set_id"), "set_id", "left")
+    if only is not None:
+        labelled = labelled.join(only.withColumn("chosen", F.lit(1)), "set_id", "left")
+    chosen = F.coalesce("chosen", F.lit(0)) if only is not None else F.lit(0)
+    labelled = written(labelled.select("set_id", "circles", F.coalesce("component", "set_id").alias("component"), chosen.alias("chosen")), "labelled-members")
+    placed = labelled.select(F.explode("circles").alias("circle"), "set_id", "component", "chosen")
+    counts = placed.groupBy("circle", "component").agg(F.count("*").alias("n"), F.sum("chosen").alias("chosen"))
+    several = counts.groupBy("circle").agg(F.sum("n").alias("n"), F.sum("chosen").alias("n_chosen"), F.max(F.struct("n", "component")).alias("most"))
+    n_ask = F.col("n") - F.col("most.n") if only is None else F.col("n_chosen")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    several = several.where("most.n < n").select("circle", "n", n_ask.alias("n_ask"), F.col("most.component").alias("largest"), salts.alias("salt")).where("n_ask > 0")
+    members = placed.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).join(several, ["circle", "salt"])
+    asks = F.col("component") != F.col("largest") if only is None else F.col("chosen") > 0
+    members = written(members.select("circle", "n", "n_ask", asks.alias("asks"), "set_id", "component"), "open-members")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch["elements"].to_pylist()
+            sizes = np.array([len(x) // 8 for x in raw], np.int64)
+            drawn = sketches(np.frombuffer(b"".join(raw), np.uint64), sizes)
+            yield pa.RecordBatch.from_arrays([batch["set_id"], pa.array(sizes), batch["circles"], pa.array(drawn, pa.binary())], names=["set_id", "n_shingles", "circles", "sketch"])
+
+    still = known.select("set_id", "circles", "elements").join(members.select("set_id").distinct(), "set_id", "left_semi")
+    return members.join(still.mapInArrow(sketch, "set_id long, n_shingles long, circles array<long>, sketch binary"), "set_id")
 
 
-def across_components(rest: DataFrame, percent: int, nearest: bool = False, block: int = 1024) -> DataFrame:
+def across_components(rest: DataFrame, percent: int, nearest: bool = False, block: int = 4096) -> DataFrame:
     """Pairs a, b (and how far apart their sketches are) of one circle and different components that sketches allow to link.
 
-    rest has circle, n (its members), set_id, n_shingles, sketch, circles (all that the set is in) and component. Large circles are
-    compared block by block, each pair of blocks in a group of its own, so that a task holds two blocks at most. A pair comes
-    from the first circle that both are in, with a < b; with `nearest`, each set comes with its nearest one in a circle alone, and whether it has several.
+    rest is as open_circles() gives it; pairs are those of a set that asks with any other, so that a circle's largest component isn't
+    compared with itself. Circles of more than `block` sets are dealt to blocks of those that ask and blocks of all, each pair of blocks in a group
+    of its own, so that a task holds two blocks at most. A pair comes from the first circle that both are in, with a < b;
+    with `nearest`, each set that asks comes with its nearest one in a circle alone, and whether it has several.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
-    placed = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("circle", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_id", "n_shingles", "sketch", "circles", "component")
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("set_id"), blocks(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    columns = ["set_id", "n_shingles", "sketch", "component", "asks", *([] if nearest else ["circles"])]
+    large = rest.where(F.col("n") > block)
+    among = rest.where(F.col("n") <= block).select("circle", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("asks").alias("left"), F.lit(True).alias("right"), *columns)
+    among = among.unionByName(large.select("circle", upto("n_ask").alias("i"), mine("n").alias("j"), F.lit(False).alias("left"), F.lit(True).alias("right"), *columns))
+    asking = large.where("asks").select("circle", mine("n_ask").alias("i"), upto("n").alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), *columns)
 
     def compare(group: pa.Table) -> pa.Table:
-        ids, n, mine = (group[c].to_numpy() for c in ("set_id", "n_shingles", "mine"))
-        circle, circles = group["circle"][0].as_py(), group["circles"].to_pylist()
-        inside = [set(x) for x in circles]
-        component = group["component"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), SKETCH).astype(np.int16)
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        out: list[tuple[int, int, float, bool]] = []
-        for x in np.union1d(left, right) if nearest else left:
-            across = right if mine[x] == i else left
-            others = across[component[across] != component[x]]
-            if not nearest and i == j:
-                others = others[ids[others] > ids[x]]
-            apart = distances(sketch[x], n[x], sketch[others], n[others])
+        ids, n, component = (group[c].to_numpy() for c in ("set_id", "n_shingles", "component"))
+        left, right, asks = (group[c].to_numpy().astype(bool) for c in ("left", "right", "asks"))
+        circle, drawn = group["circle"][0].as_py(), Sketches(group["sketch"].to_pylist())
+        circles = None if nearest else [set(x) for x in group["circles"].to_pylist()]
+        order = np.flatnonzero(right)
+        order = order[np.lexsort((ids[order], n[order]))]
+        sizes, out = n[order], []
+        for x in np.flatnonzero(left).tolist():
+            low, high = np.searchsorted(sizes, -(-n[x] * percent // 100)), np.searchsorted(sizes, n[x] * 100 // percent, side="right")
+            others = order[low:high]
+            others = others[component[others] != component[x]]
+            if not nearest:
+                others = others[~asks[others] | (ids[others] > ids[x])]
+            if not len(others):
+                continue
+            apart = drawn.apart(x, others)
             may = apart * (100 + percent) <= (n[x] + n[others]) * (100 - percent)
             others, apart = others[may], (apart / (n[x] + n[others]))[may]
             if nearest and len(others):
-                best = int(apart.argmin())
+                best = np.lexsort((ids[others], apart))[0]
                 out.append((int(ids[x]), int(ids[others[best]]), float(apart[best]), len(others) > 1))
             elif not nearest:
                 for y, far in zip(others.tolist(), apart.tolist(), strict=True):
-                    if next(c for c in circles[x] if c in inside[y]) == circle:
+                    if min(circles[x] & circles[y]) == circle:
                         out.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y])), far, False))
-        columns = list(zip(*out, strict=True)) or [()] * 4
+        made = list(zip(*out, strict=True)) or [()] * 4
         kinds = {"a": pa.int64(), "b": pa.int64(), "apart": pa.float64(), "several": pa.bool_()}
-        return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds.items(), strict=True)})
+        return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(made, kinds.items(), strict=True)})
 
-    return dealt.groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long, apart double, several boolean")
+    return asking.unionByName(among).groupBy("circle", "i", "j").applyInArrow(compare, "a long, b long, apart double, several boolean")
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     A set holds the distinct `width`-word shingles of the text, A-Z in lower case; a text with fewer words is one
@@ -369,7 +517,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     take part, and a component of them alone is null; rows that repeat are linked with each other; an
     empty table gives an empty result; other columns are ignored.
     """
-    described, links = shingle_links(docs, width, percent)
+    described, links = shingle_links(docs, width, percent, chunk_bytes, bucket_hashes)
     component = connected_components(links, "a", "b")
     least = described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))

@@ -12,8 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BUCKET_HASHES, CHUNK, QUESTION, Chunk, answered, in_order, packed, question, rows_of, seen_twice, word_chunks
-from .common import spread, window_hashes, written
+from .chunks import BUCKET_HASHES, CHUNK, CHUNK_BYTES, QUESTION, Chunk, answered, in_order, packed, question, rows_of, seen_twice, word_chunks
+from .common import discarded, spread, window_hashes, written
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 STATE = f"{CHUNK}, live binary"
@@ -102,7 +102,7 @@ def state_batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, first: int = 10) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 20, first: int = 5, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256, spans (removed words, [start, end)).
 
     A word is removed when a window of `window` words covers it whose words also start earlier: in a smaller doc_id,
@@ -117,13 +117,13 @@ def substring_dedup(docs: DataFrame, window: int = 20, first: int = 10) -> DataF
     Cases: null and empty texts have no words (kept_sha256 is that of no bytes); null ids count as the smallest; rows
     that repeat one id are told apart by their place in the input; an empty table gives an empty result; other columns are ignored.
     """
-    chunks = word_chunks(docs)
+    chunks = word_chunks(docs, limit=chunk_bytes)
     widths = widths_of(window, first)
-    state = chunks.withColumn("live", F.lit(None).cast("binary"))
+    state = chunks_live = chunks.withColumn("live", F.lit(None).cast("binary"))
     done: list[DataFrame] = []
     for width, longer in zip(widths, widths[1:], strict=False):
         n_words = state.agg(F.sum("n_words")).first()[0] or 0
-        n_buckets = spread(n_words, BUCKET_HASHES)
+        n_buckets = spread(n_words, bucket_hashes)
 
         def ask(batches: Iterator[pa.RecordBatch], width=width, n_buckets=n_buckets) -> Iterator[pa.RecordBatch]:
             for row in rows_of(batches):
@@ -143,13 +143,15 @@ def substring_dedup(docs: DataFrame, window: int = 20, first: int = 10) -> DataF
                 yield state_and_results(chunk, row, alive, live)
 
         asked = state.mapInArrow(ask, QUESTION)
-        both = state.join(answered(asked, n_words, seen_twice), "chunk", "left")
+        both = state.join(answered(asked, n_buckets, seen_twice), "chunk", "left")
         split = written(both.mapInArrow(extend, f"{STATE}, result array<struct<{', '.join(x.replace(' ', ':', 1) for x in RESULT.split(', '))}>>"), f"windows-{longer}")
+        if state is chunks_live:
+            discarded(chunks)  # all that later levels need of it is in the new state
         done.append(split.select(F.inline("result")))
         state = split.drop("result").where("doc_ids is not null")
 
     n_words = state.agg(F.sum("n_words")).first()[0] or 0
-    n_buckets = spread(n_words, BUCKET_HASHES)
+    n_buckets = spread(n_words, bucket_hashes)
 
     def ask_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -177,7 +179,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, first: int = 10) -> DataF
                 removed = np.cumsum(edges)[:-1] > 0
             yield results(chunk, np.arange(len(chunk.doc_ids)), removed)
 
-    last = state.join(answered(state.mapInArrow(ask_last, QUESTION), n_words, is_earliest), "chunk", "left")
+    last = state.join(answered(state.mapInArrow(ask_last, QUESTION), n_buckets, is_earliest), "chunk", "left")
     out = last.mapInArrow(finish, RESULT)
     for df in done:
         out = out.unionByName(df)

@@ -11,11 +11,9 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import QUESTION, Chunk, answered, in_order, question, rows_of, seen_twice, word_chunks
+from .chunks import BUCKET_HASHES, CHUNK_BYTES, QUESTION, Chunk, answered, in_order, question, rows_of, seen_twice, word_chunks
 from .common import mix64, spread, window_hashes, written
 
-#: Suffixes that one task sorts, about.
-PART_SUFFIXES = 2_000_000
 RESULT = "doc_id long, start_word long, end_word long, n_words long, partner_id long"
 LIVE = "chunk long, n_live long, live binary"
 
@@ -37,7 +35,7 @@ def minimisers(chunk: Chunk, words: np.ndarray, width: int, span: int) -> tuple[
     return starts, places, hashes[places]
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
     """Passages that documents share with others: doc_id, start_word, end_word, n_words, partner_id.
 
     One row for each maximal stretch [start_word, end_word) of a document that is covered by passages of min_words words which
@@ -58,10 +56,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     width = (3 * min_words + 4) // 5 + 1
     span = min_words - width + 1
-    chunks = word_chunks(docs)
+    chunks = word_chunks(docs, limit=chunk_bytes)
     n_words = chunks.agg(F.sum("n_words")).first()[0] or 0
     n_cores = spread(2 * n_words, span + 1)
-    core_parts = spread(n_cores, PART_SUFFIXES)
+    core_parts = spread(n_cores, bucket_hashes)
 
     def ask_cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
@@ -86,10 +84,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
                 [pa.array([chunk.number]), pa.array([int(live.sum())]), pa.array([np.packbits(live).tobytes()], pa.binary())], names=[x.split()[0] for x in LIVE.split(", ")]
             )
 
-    cores = answered(chunks.mapInArrow(ask_cores, QUESTION), n_cores, seen_twice)
+    cores = answered(chunks.mapInArrow(ask_cores, QUESTION), core_parts, seen_twice)
     state = written(chunks.join(cores, "chunk").mapInArrow(sieve, LIVE), "suffix-cores")
     n_live = state.agg(F.sum("n_live")).first()[0] or 0
-    parts = spread(n_live, PART_SUFFIXES)
+    parts = spread(n_live, bucket_hashes)
     kept = chunks.join(state.where("n_live > 0").select("chunk", "live"), "chunk")
 
     def ask_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +119,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             columns = [pa.array(begin), pa.array(end), pa.array(end - begin), pa.array(ids[first], mask=kind[first] == 1)]
             yield pa.RecordBatch.from_arrays([chunk.ids().take(pa.array(owner[first])), *columns], names=[x.split()[0] for x in RESULT.split(", ")])
 
-    said = answered(kept.mapInArrow(ask_heads, QUESTION), n_live, least_other)
+    said = answered(kept.mapInArrow(ask_heads, QUESTION), parts, least_other)
     return kept.join(said, "chunk").mapInArrow(finish, RESULT)
 
 
