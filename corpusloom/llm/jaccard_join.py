@@ -507,9 +507,9 @@ def across_components(rest: DataFrame, percent: int, nearest: bool = False, bloc
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75, chunk_bytes: int = CHUNK_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    """One row per document: doc_id, n_shingles, component_id, set_id, component.
 
-    A set holds the distinct `width`-word shingles of the text, A-Z in lower case; a text with fewer words is one
+    set_id and component (null for empty sets) tell sets and components apart even where doc_ids repeat or are null. A set holds the distinct `width`-word shingles of the text, A-Z in lower case; a text with fewer words is one
     shingle. Documents link when 100 * intersection >= percent * union; component_id is the least doc_id that
     links lead to. Shingles and sets are told apart by 64-bit hashes.
 
@@ -522,10 +522,11 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75, chunk_by
     least = described.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     named = least.join(component.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = written(named.join(smallest, "component").select(F.col("set_id").alias("class_set"), "component_id"), "classes")
+    classes = written(named.join(smallest, "component").select(F.col("set_id").alias("class_set"), "component_id", "component"), "classes")
     out = described.join(classes, F.col("set_id") == F.col("class_set"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    least_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", least_id.alias("component_id"), "set_id", "component")
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")

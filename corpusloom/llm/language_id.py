@@ -15,8 +15,6 @@ from .common import crc_mod, text_slices
 
 #: Bytes of a language's dictionary, of what one document gives to it at most, and the expected number of documents sampled for it.
 DICTIONARY_BYTES, PIECE_BYTES, SAMPLE_DOCS = 32 << 10, 1500, 400
-#: Languages that are learned at most, the most frequent ones.
-MAX_LANGUAGES = 256
 #: Texts are compressed in blocks, each with the dictionary at hand, so that it counts as much at the end of a long text.
 BLOCK_BYTES = 2048
 LEVEL = 7
@@ -28,28 +26,30 @@ def letters_only(texts: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.string())), r"[^\pL\pM]+", " "), " ")
 
 
-def fit_dictionaries(labelled: DataFrame) -> dict[str, bytes]:
+def fit_dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language from a bounded sample of labelled rows (text, lang), the most frequent language first.
 
-    About SAMPLE_DOCS distinct texts of a language are picked by a hash of the text, whatever the table's size.
+    About sample_docs distinct texts of a language are picked by a hash of the text, whatever the table's size; each gives its first
+    piece_bytes, and a dictionary has dictionary_bytes at most. All languages are learned, whose number bounds what goes to the driver.
+    Of equally frequent languages the lesser comes first. Rows with a null text or language teach nothing; no rows give no dictionary.
     """
     known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, SAMPLE_DOCS / r["count"]) * (1 << 62)))])
+    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, sample_docs / r["count"]) * (1 << 62)))])
     place = F.shiftrightunsigned(F.xxhash64("text"), 2)
     picked = known.withColumn("place", place).where(F.col("place") <= F.try_element_at(rate, F.col("lang")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
-            pieces = [x.encode()[:PIECE_BYTES] for x in letters_only(part["text"]).to_pylist()]
+            pieces = [x.encode()[:piece_bytes] for x in letters_only(part["text"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([part["lang"], part["place"], pa.array(pieces, pa.binary())], names=["lang", "place", "piece"])
 
     rows = picked.mapInArrow(cut, "lang string, place long, piece binary").groupBy("lang", "place").agg(F.min("piece").alias("piece")).collect()
     out = {}
     for lang in [r["lang"] for r in counts]:
-        data = b" ".join(bytes(r["piece"]) for r in sorted(rows, key=lambda r: r["place"]) if r["lang"] == lang)[:DICTIONARY_BYTES]
+        data = b" ".join(bytes(r["piece"]) for r in sorted(rows, key=lambda r: r["place"]) if r["lang"] == lang)[:dictionary_bytes]
         if len(data) >= 8:
             out[lang] = data
     return out
@@ -71,19 +71,19 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     best. Rejected: texts without a letter (und, score 0), and those with a margin under min_margin. The score compares
     the languages' sizes, a byte more halving a language's weight.
 
-    Cases: null and empty texts and those without letters are und; without dictionaries all are; rows that repeat get
-    equal results; clashing names must be renamed by the caller.
+    Cases: null and empty texts and those without letters (marks alone are none) are und; without dictionaries all are; rows that repeat get
+    equal results; an empty table gives an empty result; a column with a name of RESULT gives way to the result.
     """
     names, added = list(dictionaries), [x.split()[0] for x in RESULT.split(", ")]
-    rest = [f for f in docs.schema.fields if f.name != "text"]
+    rest = [f for f in docs.schema.fields if f.name not in ("text", *added)]
     schema = StructType([*rest, *StructType.fromDDL(RESULT).fields])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packers = compressors(dictionaries)
         for part in text_slices(batches):
-            rows = []
-            for text in letters_only(part["text"]).to_pylist():
-                raw = text.encode() if text else b""
+            rows, texts = [], letters_only(part["text"])
+            for text, has_letter in zip(texts.to_pylist(), pc.match_substring_regex(texts, r"\pL").to_pylist(), strict=True):
+                raw = text.encode() if has_letter else b""
                 if not raw or not names:
                     rows.append(("und", 0.0, 0.0, True))
                     continue

@@ -70,7 +70,7 @@ def mix_sources(
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"),
     )
-    sized = written(sized.withColumn("row_id", F.monotonically_increasing_id()), "mix-sized")
+    sized = written(sized.withColumn("row_id", F.monotonically_increasing_id()), "mix-sized")  # so that row_id stays the same
     targets = written(source_targets(sized, weights, budget_percent, max_passes), "mix-targets")
     rows, words = sized.agg(F.count("*"), F.sum("size")).first()
     budget = (words or 0) * budget_percent // 100
@@ -86,9 +86,11 @@ def mix_sources(
     placed = placed.join(before, ["rank", "part"]).withColumn("cumulative", F.col("words_before") + F.sum("size").over(shuffled))
 
     passes = F.explode(F.sequence(F.lit(0), F.lit(max_passes - 1)))
-    queued = placed.withColumn("pass", passes)
+    # Rows without words change no sum and take nothing: they don't queue, however many there are.
+    idle = placed.where("size = 0").withColumn("pass", passes)
+    queued = placed.where("size > 0").withColumn("pass", passes)
     finish = (F.col("pass") * F.col("source_size") + F.col("cumulative")).cast("double") / F.col("target")
-    queued = queued.withColumn("finish", F.when(F.col("target") > 0, finish).otherwise(F.lit(0.0)))
+    queued = queued.withColumn("finish", finish)
     queued = queued.withColumn("part", F.floor(F.col("finish") * spread(rows * max_passes, PART_ROWS))).select(
         "row_id", "doc_id", "source", "size", "source_size", "target", "rank", "key", "pass", "finish", "part"
     )
@@ -98,7 +100,8 @@ def mix_sources(
     ranged = Window.partitionBy("part").orderBy("finish", "rank", "key", "pass", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("words_before") + F.sum("size").over(ranged) - F.col("size")
     taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.lit(budget).cast("long") - start))
-    return queued.join(before, "part").withColumn("taken", taken).select("row_id", "doc_id", "source", "size", "source_size", "target", "pass", "taken")
+    names = ["row_id", "doc_id", "source", "size", "source_size", "target", "pass", "taken"]
+    return queued.join(before, "part").withColumn("taken", taken).select(names).unionByName(idle.withColumn("taken", F.lit(0).cast("long")).select(names))
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

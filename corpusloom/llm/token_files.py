@@ -60,19 +60,27 @@ def id_type(n_ids: int) -> np.dtype:
     return np.dtype("<u2" if n_ids <= 1 << 16 else "<u4")
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None) -> bytes:
-    """Trained on a bounded sample of documents picked by a hash of their text."""
-    n = docs.count()
-    rate = min(1.0, SAMPLE_DOCS / max(n, 1))
-    picked = docs.where(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1_000_000)) < int(rate * 1_000_000))
+def sample_limit(n: int, wanted: int) -> int:
+    """What 62 bits of a hash must be under, so that about `wanted` of n rows are picked; never 0, however large n is."""
+    return (1 << 62) if n <= wanted else max(1, (wanted << 62) // n)
+
+
+def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
+    """Trained on the id arrays of about sample_docs distinct texts, picked by a hash of the text, of sample_bytes each at most.
+
+    Copies of a text meet before they go to the driver.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    picked = docs.select("text", place.alias("place")).where(F.col("place") < F.lit(sample_limit(docs.count(), sample_docs)))
 
     def serialize(batches):
         for part in text_slices(batches, limit=SLICE):
             kind = id_type(coder(tokenizer_path).n_ids)
-            data = [x[: SAMPLE_BYTES // kind.itemsize].astype(kind).tobytes() for x in ended(coder(tokenizer_path).encode(part["text"]), end_id)]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], names=["ids"])
+            data = [x[: sample_bytes // kind.itemsize].astype(kind).tobytes() for x in ended(coder(tokenizer_path).encode(part["text"]), end_id)]
+            yield pa.RecordBatch.from_arrays([part["place"], pa.array(data, pa.binary())], names=["place", "ids"])
 
-    samples = sorted(bytes(r.ids) for r in picked.select("text").mapInArrow(serialize, "ids binary").collect())
+    distinct = picked.groupBy("place").agg(F.min("text").alias("text"))
+    samples = sorted(bytes(r.ids) for r in distinct.mapInArrow(serialize, "place long, ids binary").select("ids").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on: their bytes themselves serve

@@ -1,13 +1,15 @@
 """Token ids of whole texts by the tokenizers library, encoding each distinct piece of text once.
 
-A text's ids are those of tokenizer.encode(text, add_special_tokens=False), with strings of special tokens
-taken as ordinary text. Both kinds of vocabulary used here split texts before they merge, and never join what stands
-on either side of the places where this module cuts; texts for which that isn't sure are encoded whole.
+A text's ids are those of tokenizer.encode(text, add_special_tokens=False), which also takes a special token's string in a text for
+that token. Both kinds of vocabulary used here split texts before they merge, and never join what stands
+on either side of the places where this module cuts; texts for which that isn't sure, such as those with a special
+token's string, are encoded whole.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
 
 import numpy as np
@@ -58,12 +60,15 @@ class Coder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         #: A word vocabulary drops white space, so that any word can be encoded alone.
         self.by_word = bool(spec["model"].get("end_of_word_suffix"))
         plain = (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer") and not spec["pre_tokenizer"].get("add_prefix_space")
         self.whole = not (self.by_word or plain)
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or []]
+        #: Such texts are encoded whole; in any case of letters, as a normalizer may change that.
+        odd = [*([f"(?i:{'|'.join(added)})"] if added else []), *([] if self.by_word else [ODD_BLANKS])]
+        self.odd = "|".join(odd)
         self.n_ids = self.tokenizer.get_vocab_size()
         self.known, self.known_ids = pa.array([], pa.string()), Ragged(np.zeros(1, np.int64), np.empty(0, np.uint32))
 
@@ -93,11 +98,7 @@ class Coder:
         texts = pc.fill_null(texts, "").cast(pa.string())
         if self.whole:
             return self.lists(texts.to_pylist())
-        if self.by_word:
-            words = Words(texts)
-            ids = self.pieces(words.vocabulary, np.bincount(words.index, minlength=len(words.vocabulary))).take(words.index)
-            return Ragged(ids.bounds[words.bounds], ids.values)
-        odd = pc.match_substring_regex(texts, ODD_BLANKS).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.odd else np.zeros(len(texts), bool)
         if not odd.any():
             return self.cut(texts)
         easy, hard = np.flatnonzero(~odd), np.flatnonzero(odd)
@@ -107,7 +108,11 @@ class Coder:
         return both.take(order)
 
     def cut(self, texts: pa.Array) -> Ragged:
-        """Texts cut before each blank; every piece but a text's first begins with its blank."""
+        """Texts cut into words, or before each blank, so that every piece but a text's first begins with its blank."""
+        if self.by_word:
+            words = Words(texts)
+            ids = self.pieces(words.vocabulary, np.bincount(words.index, minlength=len(words.vocabulary))).take(words.index)
+            return Ragged(ids.bounds[words.bounds], ids.values)
         units = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         bounds = units.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
