@@ -26,7 +26,10 @@ def whole_row(docs: DataFrame) -> Column:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those whose best two languages compress the text almost equally well, go."""
+    """Documents without a letter (null and empty texts too), and those whose best two languages compress the text almost equally well, go.
+
+    Rows that repeat go or stay alike; without a labelled text, or in an empty table, nothing is left.
+    """
     dictionaries = fit_dictionaries(docs.select("text", "lang"))
     return identify(docs.select(whole_row(docs), "text"), dictionaries).where("not rejected").select("row.*")
 
@@ -40,14 +43,29 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the least doc_id stays."""
-    first = jaccard_classes(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.select(whole_row(docs), F.col("doc_id").alias("key"))
-    return rows.join(first, F.col("key").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    """Of each class of near copies, the document with the least doc_id stays (a null one last; of equal ones, that with the least hash of its text).
+
+    Documents are told apart by doc_id and text, so that repeated and null ids do no harm; rows that repeat both are one document.
+    Texts without words are near copies of nothing.
+    """
+    row_key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("row_key")
+    classes = jaccard_classes(docs.select(row_key.alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component")
+    ids = docs.select(F.col("doc_id").alias("key"), row_key).distinct()
+    order = F.struct(F.col("key").isNull().alias("unknown"), "key", "row_key")
+    named = ids.join(classes.distinct(), "row_key")
+    best = named.where("component is not null").groupBy("component").agg(F.min(order).alias("best")).select("best.key", "best.row_key")
+    kept = best.union(named.where("component is null").select("key", "row_key")).toDF("kept_id", "kept_key")
+    rows = docs.select(whole_row(docs), F.col("doc_id").alias("key"), row_key)
+    stays = F.col("key").eqNullSafe(F.col("kept_id")) & (F.col("row_key") == F.col("kept_key"))
+    return rows.join(kept, stays, "left_semi").dropDuplicates(["key", "row_key"]).select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is there as often as the mix takes it whole; one without words once."""
+    """A document is there as often as the mix takes it whole; one without words once.
+
+    Documents are told apart by doc_id and text; rows that repeat both are weighed each and come as often in all as they are taken.
+    A null source is one of its own; ties in the queue go by a hash of the id.
+    """
     text_key = F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.select(F.struct(F.col("doc_id"), text_key.alias("text_key")).alias("doc_id"), "text", "source")
     taken = mix_sources(named).where("taken = size and (size > 0 or pass = 0)")
@@ -58,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents, packed into sequences of 2048 tokens."""
+    """The pieces of the mixed documents, packed into sequences of 2048 tokens. Null texts are empty; rows that repeat are packed each."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=0)
 
 
