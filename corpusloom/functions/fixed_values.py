@@ -83,5 +83,151 @@ SIZES = {
     "large": {"explorers": 5, "experts": 11, "implementers": 3, "verifiers": 8, "rounds": 2},
 }
 
+#: Steps of a run in order: name, agents (a number, or a function of a size's numbers), and the tokens of each: fixed ones, and shares of the
+#: digest and of all shards of a brief.
+WAVES = [
+    ("preflight", 1, AGENT_PROMPT + 1200, 0, 0),
+    ("intake", 2, AGENT_PROMPT + 1200, 1, 0),
+    ("explore", lambda r: r["explorers"], AGENT_PROMPT + SKILL + 1200, 1, 1 / 5),
+    ("synthesize", lambda r: min(1, r["explorers"]), AGENT_PROMPT + 1500, 1, 0),
+    ("spec", 1, AGENT_PROMPT + SKILL + 3500, 1, 0),
+    ("design", lambda r: r["experts"], AGENT_PROMPT + SKILL + PLAN + 1200, 1, 0),
+    ("design again", lambda r: max(2, -(-r["experts"] * 3 // 10)) if r["rounds"] >= 2 else 0, AGENT_PROMPT + PLAN + 1200, 1, 0),
+    ("plan attack", 1, AGENT_PROMPT + PLAN + 1500, 1, 0),
+    ("build", lambda r: r["implementers"] + 1, AGENT_PROMPT + SKILL + PLAN + 2500, 0, 1 / 4),
+    ("verify", lambda r: r["verifiers"], AGENT_PROMPT + SKILL + DIFF + SPEC // 2 + 1800, 0, 0),
+    ("integrate", 2, AGENT_PROMPT + DIFF + SPEC + 1500, 0, 0),
+    ("release", 4, AGENT_PROMPT + 1200, 0, 0),
+    ("supervision", 3, AGENT_PROMPT + 2000, 0, 0),
+]
+
 # A heartbeat older than this ends a lease.
 LEASE_MINUTES = 15
+
+# Kinds of files by their lower-case path, the first that matches.
+FILE_CLASSES = [
+    ("test", r"\.(test|spec)\.[jt]sx?$"),
+    ("story", r"\.stories\.[jt]sx?$"),
+    ("test", r"(^|/)(__tests__|__mocks__|e2e|cypress|playwright)/"),
+    ("route", r"(^|/)(app|pages)/"),
+    ("config", r"\.config\.[jt]s$"),
+    ("config", r"(^|/)(next|vite|webpack|rollup|tailwind|postcss)\.config\."),
+]
+
+# Elements that take input or focus, and plain ones on which a click handler is odd.
+INTERACTIVE = ["button", "a", "input", "select", "textarea", "summary", "option", "label"]
+PLAIN = ["div", "span", "li", "td", "tr", "p", "section", "article", "img", "header", "footer", "nav", "main", "ul", "ol"]
+
+# Words of a secret's name, prefixes of variables that are public, and names that are meant to be.
+SECRET_WORDS = r"(secret|token|password|passwd|private[_-]?key|api[_-]?key|apikey|credential|client[_-]?secret)"
+PUBLIC_PREFIX = r"(NEXT_PUBLIC_|VITE_|REACT_APP_|PUBLIC_|EXPO_PUBLIC_|GATSBY_)"
+PUBLISHABLE = r"(publishable|anon|public[_-]?key|measurement[_-]?id|sentry[_-]?dsn|posthog|ga[_-]?id|analytics[_-]?id|map[_-]?id)"
+
+# Packages whose root import is heavy, and modules that only a server has.
+HEAVY_PACKAGES = ["lodash", "moment", "@material-ui/icons", "@mui/icons-material", "rxjs", "aws-sdk"]
+SERVER_MODULE = r"^(fs|path|crypto|child_process|node:)"
+
+# What registers listeners, timers or observers, and what takes them back.
+LEAKS = r"\b(addEventListener|setInterval|setTimeout|new\s+(?:MutationObserver|ResizeObserver|IntersectionObserver)|\.subscribe\s*\()"
+TEARDOWN = r"\breturn\s*\(?\s*\(\s*\)\s*=>|removeEventListener|clearInterval|clearTimeout|\.disconnect\s*\(|unsubscribe"
+
+# What only clients have, layouts and pages, and suppressed dependencies.
+CLIENT_ONLY = r"\b(useState|useReducer|useEffect|useLayoutEffect|useRef|useContext|createContext)\s*\("
+BOUNDARY = r"(^|/)(app/.*/)?(layout|page)\.[jt]sx?$"
+DEPS_SUPPRESSED = r"\beslint-disable(-next-line)?\s+react-hooks/exhaustive-deps"
+
+# Sinks on a line, by rule and severity.
+LINE_SINKS = [
+    ("SEC-EVAL", "high", r"\b(eval|new\s+Function)\s*\("),
+    ("STYLE-IMPORTANT", "low", r"!important"),
+]
+COLOUR = r"#[0-9a-fA-F]{3,8}\b"
+ARBITRARY_VALUE = r"""class(?:Name)?\s*=\s*["'`][^"'`]*\[[^\]]+\][^"'`]*["'`]"""
+
+# Names that read as yes or no; added paths that look like scratch files; references that must not be shipped.
+BOOLEAN_NAME = r"^(is|has|should|can|show|hide|enable|disable)[A-Z]"
+SCRATCH = r"(?i)(^|/)(scratch|tmp|temp|debug|untitled)[^/]*$|\.(log|tmp|bak|orig|rej)$|(^|/)test_[^/]*$"
+FORBIDDEN_REFERENCE = r"\bAC-\d+\b|\bD-\d+\b|\bPLAN\.md\b|\bACCEPTANCE-CRITERIA\b|\bTRACEABILITY\b"
+
+# Attributes that say nothing of a contract, and how similar parts of a contract weigh (percent).
+META_ATTRIBUTES = ["key", "ref", "children"]
+CONTRACT_WEIGHTS = [("props", 50), ("hosts", 20), ("names", 12), ("renders", 10), ("hooks", 8)]
+ALIKE_PROPS_PERCENT, ALIKE_PROPS_LEAST, ALIKE_SIMILARITY, CLUSTER_SIMILARITY = 75, 3, 800, 550
+
+# Costs of a search hit's file class and of not being exported, in thousandths.
+TEST_COST, PRIVATE_COST = 1500, 800
+
+# Conventions by pattern.
+COUNTERS = {
+    "date.dateFns": r"\bfrom\s*['\"]date-fns",
+    "date.dayjs": r"\bfrom\s*['\"]dayjs",
+    "date.moment": r"\bfrom\s*['\"]moment",
+    "date.luxon": r"\bfrom\s*['\"]luxon",
+    "date.intl": r"\bIntl\.DateTimeFormat\s*\(",
+    "date.toLocaleDate": r"\.toLocaleDateString\s*\(",
+    "date.toISOString": r"\.toISOString\s*\(",
+    "number.intl": r"\bIntl\.NumberFormat\s*\(",
+    "number.toFixed": r"\.toFixed\s*\(",
+    "number.toLocaleString": r"\.toLocaleString\s*\(",
+    "null.nullish": r"\?\?",
+    "null.orDefault": r"\|\|\s*['\"]",
+    "null.optionalChain": r"\?\.",
+    "error.message": r"\berror\s*(?:\?\.)?\.message\b|\berr\s*(?:\?\.)?\.message\b",
+    "error.detail": r"\berror\s*(?:\?\.)?\.detail\b",
+    "error.toast": r"\btoast\s*(?:\.\w+)?\s*\(",
+    "error.boundary": r"\bErrorBoundary\b",
+    "state.useState": r"\buseState\s*\(",
+    "state.useReducer": r"\buseReducer\s*\(",
+    "state.context": r"\bcreateContext\s*\(",
+    "state.zustand": r"\bfrom\s*['\"]zustand",
+    "state.redux": r"\bfrom\s*['\"]@reduxjs|\bfrom\s*['\"]react-redux",
+    "state.jotai": r"\bfrom\s*['\"]jotai",
+    "fetch.reactQuery": r"\buseQuery\s*\(|\buseMutation\s*\(|\buseSuspenseQuery\s*\(",
+    "fetch.swr": r"\buseSWR\s*\(",
+    "fetch.apollo": r"\buseQuery\s*<|\bgql`",
+    "fetch.raw": r"\bfetch\s*\(",
+    "fetch.axios": r"\bfrom\s*['\"]axios",
+    "fetch.serverAction": r"['\"]use server['\"]",
+    "url.searchParams": r"\buseSearchParams\s*\(|\bURLSearchParams\b",
+    "url.router": r"\buseRouter\s*\(|\buseNavigate\s*\(",
+    "style.tailwind": r"\bclassName\s*=\s*[\"'`][^\"'`]*\b(flex|grid|px-|py-|mt-|mb-|text-|bg-)",
+    "style.cssModule": r"\bfrom\s*['\"][^'\"]*\.module\.(css|scss)",
+    "style.styled": r"\bstyled\s*[.(]",
+    "style.emotion": r"\bfrom\s*['\"]@emotion",
+    "style.cva": r"\bcva\s*\(",
+    "style.clsx": r"\b(clsx|classnames|cn)\s*\(",
+    "i18n.t": r"\bt\s*\(\s*['\"]",
+    "i18n.useTranslation": r"\buseTranslation\s*\(|\buseTranslations\s*\(",
+    "i18n.formatMessage": r"\bformatMessage\s*\(",
+    "test.rtl": r"\bfrom\s*['\"]@testing-library/react",
+    "test.userEvent": r"\buserEvent\s*\.",
+    "test.axe": r"\baxe\s*\(|\btoHaveNoViolations\b",
+    "test.getByRole": r"\bgetByRole\s*\(|\bfindByRole\s*\(",
+    "test.getByTestId": r"\bgetByTestId\s*\(|\bfindByTestId\s*\(",
+    "form.hookForm": r"\buseForm\s*\(",
+    "form.formik": r"\bfrom\s*['\"]formik",
+    "form.zod": r"\bfrom\s*['\"]zod|\bz\.object\s*\(",
+    "a11y.ariaLabel": r"\baria-label\b",
+    "a11y.role": r"\brole\s*=",
+    "a11y.liveRegion": r"\baria-live\b|role\s*=\s*[\"'](status|alert)[\"']",
+    "a11y.focusRef": r"\.focus\s*\(\)",
+    "motion.framer": r"\bfrom\s*['\"]framer-motion",
+    "motion.reducedMotion": r"prefers-reduced-motion",
+    "casing.snake": r"\.\s*[a-z]+_[a-z_]+\b",
+    "casing.camel": r"\.\s*[a-z]+[A-Z][A-Za-z]*\b",
+}
+
+# What a summary of conventions decides between: category, prefix of the counters, and the options' labels.
+CONVENTIONS = [
+    ("dateFormatting", "date", {"dateFns": "date-fns", "dayjs": "dayjs", "moment": "moment", "luxon": "luxon", "intl": "Intl.DateTimeFormat", "toLocaleDate": "toLocaleDateString"}),
+    ("numberFormatting", "number", {"intl": "Intl.NumberFormat", "toLocaleString": "toLocaleString", "toFixed": "toFixed"}),
+    ("nullHandling", "null", {"nullish": "?? (nullish coalescing)", "orDefault": '|| "default"'}),
+    ("errorSurface", "error", {"message": "error.message", "detail": "error.detail"}),
+    ("clientState", "state", {"zustand": "zustand", "redux": "redux", "jotai": "jotai", "context": "React context", "useState": "local useState"}),
+    ("serverState", "fetch", {"reactQuery": "react-query", "swr": "SWR", "apollo": "Apollo", "serverAction": "server actions", "axios": "axios", "raw": "raw fetch"}),
+    ("styling", "style", {"tailwind": "Tailwind utilities", "cssModule": "CSS modules", "styled": "styled-components", "emotion": "emotion", "cva": "cva variants"}),
+    ("i18n", "i18n", {"useTranslation": "useTranslation/useTranslations", "formatMessage": "formatMessage", "t": "t() calls"}),
+    ("forms", "form", {"hookForm": "react-hook-form", "formik": "formik", "zod": "zod schemas"}),
+    ("testQueries", "test", {"getByRole": "role queries", "getByTestId": "test-id queries"}),
+    ("wireCasing", "casing", {"camel": "camelCase", "snake": "snake_case"}),
+]

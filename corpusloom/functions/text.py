@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import DEPRECATED_NAME, NAME_STOP_TOKENS, QUERY_STOP_WORDS
+from .fixed_values import DEPRECATED_NAME, FILE_CLASSES, NAME_STOP_TOKENS, QUERY_STOP_WORDS
 
 
 def query_tokens_of(text: str | None) -> list[str]:
@@ -39,15 +39,10 @@ def deprecated_name(name: Column) -> Column:
 
 def file_class(path: Column) -> Column:
     """test, story, route, config or source; the first that matches."""
-    p = F.lower(path)
-    return (
-        F.when(p.rlike(r"\.(test|spec)\.[jt]sx?$"), "test")
-        .when(p.rlike(r"\.stories\.[jt]sx?$"), "story")
-        .when(p.rlike(r"(^|/)(__tests__|__mocks__|e2e|cypress|playwright)/"), "test")
-        .when(p.rlike(r"(^|/)(app|pages)/"), "route")
-        .when(p.rlike(r"\.config\.[jt]s$") | p.rlike(r"(^|/)(next|vite|webpack|rollup|tailwind|postcss)\.config\."), "config")
-        .otherwise("source")
-    )
+    out = F.lit("source")
+    for kind, pattern in reversed(FILE_CLASSES):
+        out = F.when(F.lower(path).rlike(pattern), kind).otherwise(out)
+    return out
 
 
 def package_of(spec: Column) -> Column:

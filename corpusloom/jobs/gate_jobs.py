@@ -79,7 +79,8 @@ def gate_verdict(spark, d) -> DataFrame:
 
 def added_lines(spark, d) -> DataFrame:
     """Diffs made of documents: each adds its lines from line 11 on."""
-    text = F.concat(F.lit("+++ b/doc\n@@ -10,0 +11,9 @@\n+"), F.regexp_replace("text", "\n", "\n+"))
+    header = F.format_string("+++ b/doc\n@@ -10,0 +11,%d @@\n+", F.size(F.split("text", "\n")))
+    text = F.concat(header, F.regexp_replace("text", "\n", "\n+"))
     return G.added_lines(table(spark, d, "documents").select("doc_id", text.alias("diff")), "doc_id", "diff")
 
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import BOOLEAN_NAME
+
 
 def glob_regex(pattern: str) -> str:
     """The regular expression of an ignore pattern: `*` and `?` stay within a segment, `**` spans several, a leading slash anchors."""
@@ -52,6 +54,31 @@ def complexity(source: Column) -> Column:
     return F.lit(1) + count(r"\b(if|for|while|case|catch)\b") + count(r"\?") + count(r"&&") + count(r"\|\|")
 
 
-def boolean_traps(names: Column) -> Column:
-    """How many attribute names of an array read as yes or no."""
-    return F.size(F.filter(names, lambda n: n.rlike("^(is|has|show|hide|can|should|disable|enable)[A-Z_]")))
+def boolean_traps(members: Column) -> Column:
+    """How many members (structs of name and type) of an array read as yes or no by their name or type."""
+    return F.size(F.filter(members, lambda m: m["name"].rlike(BOOLEAN_NAME) | F.coalesce(m["type"].contains("boolean"), F.lit(False))))
+
+
+def registry_check(present: DataFrame, registered: DataFrame, name: str = "name", file: str | None = None) -> DataFrame:
+    """name, problem: unregistered, missing, duplicate, bad-name (not lower-case words joined by hyphens), and, with a file column, misnamed."""
+    rows = present.select(F.col(name).alias("name"), *([F.col(file).alias("file")] if file else []))
+    known = registered.select(F.col(name).alias("name")).distinct()
+    problem = lambda df, what: df.select("name", F.lit(what).alias("problem")).distinct()
+    out = problem(rows.join(known, "name", "left_anti"), "unregistered").unionByName(problem(known.join(rows, "name", "left_anti"), "missing"))
+    out = out.unionByName(problem(rows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1"), "duplicate"))
+    out = out.unionByName(problem(rows.where(~F.col("name").rlike("^[a-z0-9]+(-[a-z0-9]+)*$")), "bad-name"))
+    if file:
+        stem = F.regexp_extract("file", r"([^/]*?)(\.[^./]*)?$", 1)
+        out = out.unionByName(problem(rows.where(stem != F.col("name")), "misnamed"))
+    return out
+
+
+def prune_plan(prior: DataFrame, fresh: DataFrame, disk: DataFrame, path: str, digest: str, scope: list[str] = ()) -> DataFrame:
+    """path, action for what an earlier manifest had and a fresh one has not, in the same scope (columns): delete where the disk still has it as it was
+    written, keep where it was changed since, gone where it is there no more."""
+    keys = [path, *scope]
+    scoped = prior.join(fresh.select(*scope).distinct(), list(scope), "left_semi") if scope else prior
+    left = scoped.join(fresh.select(*keys), keys, "left_anti").select(path, F.col(digest).alias("_was"))
+    both = left.join(disk.select(path, F.col(digest).alias("_is")), path, "left")
+    action = F.when(F.col("_is").isNull(), "gone").when(F.col("_is") == F.col("_was"), "delete").otherwise("keep")
+    return both.select(path, action.alias("action"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as V
 from ..sources.storage import written
 from .components import connected_components
 
@@ -74,9 +75,37 @@ def weighted_similarity(parts: list[tuple[Column, Column, int]]) -> Column:
     return total.cast("long")
 
 
-def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]], least: int = 550) -> DataFrame:
+def contract_boost(a: Column, b: Column, similarity: Column) -> Column:
+    """At least ALIKE_SIMILARITY where two attribute sets, neither of them small, are nearly equal, whatever else differs."""
+    common, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    large = (F.size(a) >= V.ALIKE_PROPS_LEAST) & (F.size(b) >= V.ALIKE_PROPS_LEAST)
+    return F.when(large & (common * 100 >= union * V.ALIKE_PROPS_PERCENT), F.greatest(similarity, F.lit(V.ALIKE_SIMILARITY))).otherwise(similarity).cast("long")
+
+
+def contract_clusters(entities: DataFrame, key: str = "id", usage: str = "usage_count", recency: str = "recency", deprecated: str = "deprecated") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs a, b, similarity of entities with like contracts (arrays props, hosts, names, renders, hooks), and members of the
+    clusters that these make: cluster (its least key), size, total_usage, rank in it, and key.
+
+    Deprecated members come last, then the most used, then the latest first. All pairs are found (weighted_pairs); no block is left out.
+    """
+    pairs = written(weighted_pairs(entities, key, V.CONTRACT_WEIGHTS, V.CLUSTER_SIMILARITY, boost=True), "contract-pairs")
+    component = connected_components(pairs, "a", "b").select(F.col("node").alias(key), F.col("component").alias("cluster"))
+    named = entities.select(key, usage, recency, deprecated).join(component, key)
+    totals = named.groupBy("cluster").agg(F.count("*").alias("size"), F.sum(usage).alias("total_usage"))
+    order = Window.partitionBy("cluster").orderBy(deprecated, F.desc(usage), F.desc(recency), key)
+    return pairs, named.withColumn("rank", F.row_number().over(order)).join(totals, "cluster")
+
+
+def duplicates(members: DataFrame, key: str = "id", limit: int = 40) -> DataFrame:
+    """The report of the largest clusters, then the most used: cluster, size, total_usage and the member that ranks first."""
+    first = members.where("rank = 1").select("cluster", "size", "total_usage", F.col(key).alias("best"))
+    return first.orderBy(F.desc("size"), F.desc("total_usage"), "cluster").limit(limit)
+
+
+def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]], least: int = 550, boost: bool = False) -> DataFrame:
     """a, b (a < b), similarity: all pairs whose weighted_similarity over array columns, heaviest first, is `least` or more.
 
+    With boost, contract_boost() over the heaviest column can lift a pair; it asks more of that column than `least` does.
     What the other columns can't make up for must come from the heaviest: candidates share one of its rarer members, by a prefix
     filter with that bound. There is no limit on pairs: where most entities are alike, the result grows with the square of the table.
     """
@@ -95,4 +124,6 @@ def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]],
     side = lambda k, s: sets.select(F.col("key").alias(k), *[F.col(c).alias(f"{s}_{c}") for c, _ in parts])
     both = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b")
     similar = weighted_similarity([(F.col(f"x_{c}"), F.col(f"y_{c}"), w) for c, w in parts])
+    if boost:
+        similar = contract_boost(F.col(f"x_{heavy}"), F.col(f"y_{heavy}"), similar)
     return both.select("a", "b", similar.alias("similarity")).where(F.col("similarity") >= least)

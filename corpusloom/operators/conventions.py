@@ -31,3 +31,13 @@ def verdicts(counts: DataFrame, category: str = "category", option: str = "optio
     )
     verdict = F.when(F.col("hits") <= 0, "NONE-FOUND").when(F.col("hits") >= factor * F.col("runner_up_hits"), "DOMINANT").otherwise("COMPETING")
     return best.withColumn("verdict", verdict)
+
+
+def summary(counts: DataFrame, decisions: list[tuple[str, str, dict[str, str]]]) -> DataFrame:
+    """For each category of `decisions` (name, prefix of the counters, labels of its options): winner, hits, runner_up_hits and verdict, over
+    counts (category, option, hits) of pattern_counts(). Categories without a hit are NONE-FOUND."""
+    options = [F.struct(F.lit(name).alias("convention"), F.lit(prefix).alias("category"), F.lit(o).alias("option"), F.lit(label).alias("label")) for name, prefix, labels in decisions for o, label in labels.items()]
+    known = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(".", "category", "option"), "hits"))).alias("hits"))
+    rows = known.select("hits", F.inline(F.array(*options)))
+    hits = F.coalesce(F.try_element_at("hits", F.concat_ws(".", "category", "option")), F.lit(0))
+    return verdicts(rows.select("convention", F.col("label").alias("option"), hits.alias("hits")), "convention", "option")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import FORBIDDEN_REFERENCE, SCRATCH
+
 
 def status_rows(output: DataFrame, column: str = "value") -> DataFrame:
     """status, path of `git diff --name-status` or `git status --porcelain` lines; a rename gives the new path."""
@@ -14,15 +16,45 @@ def status_rows(output: DataFrame, column: str = "value") -> DataFrame:
 
 
 def added_lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
-    """key, file, line, text: the lines that a diff without context adds, with their numbers in the new file."""
-    rows = diffs.select(key, F.posexplode(F.split(diff, "\n")).alias("at", "raw"))
+    """key, file, line, text: the lines that a diff without context adds, with their numbers in the new file.
+
+    What a hunk's header announces is what it has, so that an added line may begin with anything.
+    """
+    rows = diffs.select(key, F.posexplode(F.split(diff, "\n")).alias("at", "raw")).where(~F.col("raw").startswith("\\"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("at")))  # a missing line feed is noted as a line
     by_place = Window.partitionBy(key).orderBy("at")
-    rows = rows.withColumn("file", F.last(F.nullif(F.regexp_extract("raw", r"^\+\+\+ b/(.*)$", 1), F.lit("")), ignorenulls=True).over(by_place))
-    first = F.nullif(F.regexp_extract("raw", r"^@@ -\S+ \+(\d+)", 1), F.lit("")).cast("int")
-    rows = rows.withColumn("first", F.last(first, ignorenulls=True).over(by_place)).withColumn("hunk", F.count(first).over(by_place))
-    plus = rows.where(F.col("raw").startswith("+") & ~F.col("raw").startswith("+++ "))
-    nth = F.row_number().over(Window.partitionBy(key, "hunk").orderBy("at"))
-    return plus.select(key, "file", (F.col("first") + nth - 1).alias("line"), F.substring("raw", 2, 1 << 30).alias("text"))
+    part = lambda k: F.regexp_extract("raw", r"^@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@", k)
+    number = lambda k: F.when(part(2) != "", F.coalesce(F.nullif(part(k), F.lit("")), F.lit("1")).cast("int"))
+    # A hunk has `gone` lines of the old file, then `come` of the new one; a header inside these is one of the lines.
+    header = F.struct("at", number(1).alias("gone"), number(2).alias("first"), number(3).alias("come"))
+    rows = rows.withColumn("header", F.last(F.when(part(2) != "", header), ignorenulls=True).over(by_place))
+    nth = F.col("at") - F.col("header.at") - F.col("header.gone")
+    inside = F.coalesce((nth >= 1 - F.col("header.gone")) & (nth <= F.col("header.come")), F.lit(False))
+    named = F.when(~inside, F.nullif(F.regexp_extract("raw", r"^\+\+\+ b/(.*)$", 1), F.lit("")))
+    rows = rows.withColumn("nth", nth).withColumn("inside", inside).withColumn("file", F.last(named, ignorenulls=True).over(by_place))
+    plus = rows.where(F.col("inside") & (F.col("nth") >= 1) & F.col("raw").startswith("+"))
+    return plus.select(key, "file", (F.col("header.first") + F.col("nth") - 1).alias("line"), F.substring("raw", 2, 1 << 30).alias("text"))
+
+
+def with_untracked(added: DataFrame, untracked: DataFrame, key: str, text: str) -> DataFrame:
+    """added with all lines of files (key, file, text) that no diff knows, numbered from 1."""
+    rows = untracked.select(key, "file", F.posexplode(F.split(text, "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return added.unionByName(rows.select(added.columns))
+
+
+def forbidden_references(lines: DataFrame, text: str = "text") -> DataFrame:
+    """Lines that name a plan or one of its numbered items."""
+    return lines.where(F.col(text).rlike(FORBIDDEN_REFERENCE))
+
+
+def rollup(checks: dict[str, DataFrame], groups: DataFrame, by: str) -> DataFrame:
+    """For each group: how many problems each check found (tables with the column `by`, one row a problem), and the verdict: BLOCK with any, else PASS."""
+    out = groups.select(by).distinct()
+    for name, problems in checks.items():
+        out = out.join(problems.groupBy(by).agg(F.count("*").alias(name)), by, "left")
+    out = out.na.fill(0, list(checks))
+    total = sum((F.col(name) for name in checks), F.lit(0))
+    return out.withColumn("verdict", F.when(total > 0, "BLOCK").otherwise("PASS"))
 
 
 def ownership(changed: DataFrame, owners: DataFrame, path: str = "path", owner: str = "owner") -> DataFrame:
@@ -32,10 +64,10 @@ def ownership(changed: DataFrame, owners: DataFrame, path: str = "path", owner:
     return out.where("owners <> 1").withColumn("problem", F.when(F.col("owners") == 0, "unowned").otherwise("double-owned"))
 
 
-def footprint(added: DataFrame, planned: DataFrame, path: str = "path", scratch: str = r"(^|/)(tmp|temp|scratch|debug)[^/]*$") -> DataFrame:
+def footprint(added: DataFrame, planned: DataFrame, path: str = "path", scratch: str = SCRATCH) -> DataFrame:
     """Added paths that no plan names, and whether they look like scratch files."""
     rows = added.select(path).distinct().join(planned.select(path), path, "left_anti")
-    return rows.withColumn("scratch", F.lower(path).rlike(scratch))
+    return rows.withColumn("scratch", F.col(path).rlike(scratch))
 
 
 def new_findings(findings: DataFrame, changed: DataFrame, baseline: DataFrame, file: str, keys: list[str]) -> DataFrame:

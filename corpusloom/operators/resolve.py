@@ -62,11 +62,27 @@ def follow_reexports(exports: DataFrame, reexports: DataFrame, hops: int = 6) ->
     return known
 
 
-def owners(places: DataFrame, spans: DataFrame, file: str, place: str, start: str, end: str, owner: str) -> DataFrame:
+def owners(places: DataFrame, spans: DataFrame, file: str, place: str, start: str, end: str, owner: str, bin_width: int = 512) -> DataFrame:
     """places with the span of the same file that holds them, the one that starts last; places outside all spans go.
 
-    The file is the equi-join key; the bounds are a condition of that join.
+    Both sides meet by file and bin of bin_width places, so that a place meets only spans near it, however many its file has; a
+    span is sent to each bin that it overlaps. Places that repeat come once.
     """
-    s = spans.select(F.col(file).alias("_file"), F.col(start).alias("_start"), F.col(end).alias("_end"), owner)
-    both = places.join(s, (F.col(file) == F.col("_file")) & F.col(place).between(F.col("_start"), F.col("_end")))
-    return both.groupBy(*[c for c in places.columns]).agg(F.max_by(owner, F.struct("_start", owner)).alias(owner))
+    at = lambda c: F.floor(F.col(c) / bin_width)
+    s = spans.where(F.col(start) <= F.col(end)).select(F.col(file).alias("_file"), F.col(start).alias("_start"), F.col(end).alias("_end"), owner, F.explode(F.sequence(at(start), at(end))).alias("_bin"))
+    both = places.join(s, (F.col(file) == F.col("_file")) & (at(place) == F.col("_bin")) & F.col(place).between(F.col("_start"), F.col("_end")))
+    return both.groupBy(*places.columns).agg(F.max_by(owner, F.struct("_start", owner)).alias(owner))
+
+
+def export_table(entities: DataFrame, defaults: DataFrame | None = None) -> DataFrame:
+    """file, name, target: what a file exports under which name; an entity (id, file, name, exported, is_default) also as `default`.
+
+    defaults (file, name) are files' default exports by name; these come before is_default, and of several the greatest id counts.
+    """
+    named = entities.where("exported").select("file", "name", F.col("id").alias("target"), F.lit(0).alias("rank"))
+    own = entities.where("is_default").select("file", F.lit("default").alias("name"), F.col("id").alias("target"), F.lit(0).alias("rank"))
+    out = named.unionByName(own)
+    if defaults is not None:
+        by_name = defaults.join(entities.select("file", "name", "id"), ["file", "name"])
+        out = out.unionByName(by_name.select("file", F.lit("default").alias("name"), F.col("id").alias("target"), F.lit(1).alias("rank")))
+    return out.groupBy("file", "name").agg(F.max_by("target", F.struct("rank", "target")).alias("target"))

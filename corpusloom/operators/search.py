@@ -63,10 +63,65 @@ def precedents(entities: DataFrame, query: str, limit: int = 8, recency: str = "
 def find_by_name(entities: DataFrame, wanted: str, name: str = "name", key: str = "id") -> DataFrame:
     """Rows with this key or name; only where there is none, those whose name is equal in another case."""
     exact = (F.col(name) == wanted) | (F.col(key).cast("string") == wanted)
-    alike = entities.where(exact | (F.lower(name) == wanted.lower())).withColumn("_exact", exact)
-    # One number for the few rows that are alike; its partial sums are a row for each task.
-    any_exact = F.max("_exact").over(Window.partitionBy(F.lit(1)))
-    return alike.withColumn("_any", any_exact).where("_exact or not _any").drop("_exact", "_any")
+    n_exact = entities.where(exact).agg(F.count("*")).scalar()
+    return entities.where(exact | ((F.lower(name) == wanted.lower()) & (n_exact == 0)))
+
+
+def filtered(
+    entities: DataFrame,
+    kind: str | None = None,
+    file_part: str | None = None,
+    exported: bool = False,
+    min_usage: int = 0,
+    with_tests: bool = False,
+    props: list[str] = (),
+    hook: str | None = None,
+    renders: str | None = None,
+) -> DataFrame:
+    """entities (kind, file, exported, usage_count, file_class, and arrays props, hooks, renders) that meet all conditions asked for.
+
+    file_part is looked for in any case; without with_tests, files of class test go (stories stay); props must all be there.
+    """
+    out = entities
+    if kind:
+        out = out.where(F.col("kind") == kind)
+    if file_part:
+        out = out.where(F.lower("file").contains(file_part.lower()))
+    if exported:
+        out = out.where("exported")
+    if min_usage:
+        out = out.where(F.coalesce("usage_count", F.lit(0)) >= min_usage)
+    if not with_tests:
+        out = out.where("file_class <> 'test'")
+    if props:
+        out = out.where(has_all(list(props), F.col("props")))
+    if hook:
+        out = out.where(F.array_contains("hooks", hook))
+    if renders:
+        out = out.where(F.array_contains("renders", renders))
+    return out
+
+
+def full_search(entities: DataFrame, query: str, limit: int | None = 20, with_tests: bool = False, **conditions) -> DataFrame:
+    """The entities that filtered() leaves, with hits and score, best first; without a token in the query, the most used first.
+
+    The score is that of search(), with props and host tags among the hits, less the costs of tests and stories and of what isn't
+    exported. The limit is the report's.
+    """
+    rows = filtered(entities, with_tests=with_tests, **conditions)
+    hosts, props = F.transform("hosts", F.lower), F.transform("props", F.lower)
+    hits = hit_points(query, F.col("name"), F.col("file"), None, props)
+    for token in query_tokens_of(query):
+        hits = hits + F.when(F.array_contains(hosts, token), V.HOST_HIT).otherwise(0)
+    cost = F.when(F.col("file_class").isin("test", "story"), V.TEST_COST).otherwise(0) + F.when(F.col("exported"), 0).otherwise(V.PRIVATE_COST)
+    out = rows.withColumn("hits", hits.cast("long")).withColumn("deprecated", deprecated_name(F.col("name")))
+    points = score(F.col("hits"), F.coalesce("usage_count", F.lit(0)), F.col("deprecated"))
+    out = out.withColumn("score", F.when(F.col("hits") > 0, points - cost).otherwise(0).cast("long"))
+    if query_tokens_of(query):
+        out = out.where("score > 0").orderBy(F.desc("score"), F.desc("usage_count"), "id")
+    else:
+        out = out.orderBy(F.desc("usage_count"), "id")
+    return out.limit(limit) if limit is not None else out
 
 
 def has_all(wanted: list[str], have: Column) -> Column:
