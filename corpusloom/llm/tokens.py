@@ -9,6 +9,7 @@ token's string, are encoded whole.
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import cache
 
@@ -19,6 +20,8 @@ from tokenizers import Tokenizer
 
 from .common import Words
 
+#: A task has one core: the library's own threads would only multiply memory and compete with other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Runs of blanks, blanks at an end, and any white space but space and line feed: such texts are encoded whole by a
 #: byte-level vocabulary, which keeps white space.
 ODD_BLANKS = (
