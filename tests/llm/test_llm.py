@@ -142,6 +142,56 @@ def test_jaccard_classes(docs, rows):
     assert jaccard_join.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def linked_classes(texts, percent=75):
+    """The least place of the texts that links lead to from each, by comparing all pairs."""
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := split(t)) else frozenset() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_jaccard_in_many_chunks_and_blocks(spark, monkeypatch):
+    """Small chunks, buckets and blocks, a hot signature, groups of near copies and half copies: no link is lost."""
+    rng, texts = random.Random(21), []
+    shared = words(rng, 60)
+    for _ in range(6):
+        base = words(rng, 100).split()
+        for _ in range(12):
+            near = base[:]
+            for _ in range(rng.randint(0, 4)):
+                near[rng.randrange(100)] = "changed" + str(rng.randrange(50))
+            texts.append(" ".join(near))
+    texts += [shared + " " + words(rng, rng.randint(5, 60)) for _ in range(80)]
+    rng.shuffle(texts)
+    real = jaccard_join.across_components
+    monkeypatch.setattr(jaccard_join, "across_components", lambda rest, percent, nearest=False: real(rest, percent, nearest, block=3))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(docs, chunk_bytes=6000, bucket_hashes=500).collect()}
+    want = linked_classes(texts)
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 20
+
+
+def test_sketches_bound_from_below():
+    rng = np.random.default_rng(2)
+    sets = [rng.choice(3000, n, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 5, 40, 130, 300, 700, 1500)]
+    drawn = jaccard_join.Sketches(jaccard_join.sketches(np.concatenate(sets), np.array([len(s) for s in sets])))
+    for x in range(len(sets)):
+        others = np.array([y for y in range(len(sets)) if y != x])
+        for y, apart in zip(others, drawn.apart(x, others), strict=True):
+            assert apart <= len(np.setxor1d(sets[x], sets[y])) and (apart - len(sets[x]) - len(sets[y])) % 2 == 0
+
+
 def test_signatures_are_complete():
     """Sets at the similarity's edge share a signature, whatever their size."""
     rng = np.random.default_rng(5)
@@ -179,7 +229,8 @@ def test_substring_dedup(docs, rows):
 
 
 def test_longer_doubling_agrees(docs):
-    a = substring_dedup.substring_dedup(docs, 20, 20).drop("spans")
+    assert substring_dedup.substring_dedup.__defaults__[:2] == (20, 5)
+    a = substring_dedup.substring_dedup(docs, 20, 20, chunk_bytes=20_000, bucket_hashes=700).drop("spans")
     b = substring_dedup.substring_dedup(docs, 20, 3).drop("spans")
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
@@ -206,6 +257,23 @@ def test_suffix_dedup(spark, docs, rows):
     assert suffix_dedup.repeated_passages(docs).where("n_words < 50").count() == 0
 
 
+def test_suffix_dedup_with_null_and_repeated_ids(docs, rows):
+    """Rows that repeat an id, and those without one, are documents of their own."""
+    at = {}
+    for k, r in enumerate(rows):
+        w = split(r[1])
+        for i in range(len(w) - 49):
+            at.setdefault(tuple(w[i : i + 50]), set()).add(k)
+    want, got = Counter(), Counter()
+    for k, r in enumerate(rows):
+        w = split(r[1])
+        covered = {i + j for i in range(len(w) - 49) if len(at[tuple(w[i : i + 50])]) > 1 for j in range(50)}
+        want[r[0]] += len(covered)
+    for r in suffix_dedup.repeated_passages(docs).collect():
+        got[r.doc_id] += r.n_words
+    assert got == +want and got[None] and got[3]
+
+
 def shared_words(texts, n=50):
     """For each text, the places of words that n-word passages cover which stand in another text too."""
     at = {}
@@ -220,22 +288,21 @@ def shared_words(texts, n=50):
     return out
 
 
-def suffix_covered(spark, texts):
+def suffix_covered(spark, texts, **sizes):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     out = {k: set() for k in range(len(texts))}
-    for r in suffix_dedup.repeated_passages(docs).collect():
+    for r in suffix_dedup.repeated_passages(docs, **sizes).collect():
         out[r.doc_id].update(range(r.start_word, r.end_word))
     return out
 
 
-def test_suffix_dedup_across_parts(spark, monkeypatch):
+def test_suffix_dedup_across_parts(spark):
     """Pairs that a boundary between parts of the sort splits are extended on both sides."""
     rng, texts = random.Random(11), []
     for _ in range(60):
         passage = words(rng, 50)
         texts += [words(rng, rng.randint(5, 30)) + " " + passage + " " + words(rng, rng.randint(5, 30)) for _ in range(2)]
-    monkeypatch.setattr(suffix_dedup, "PART_SUFFIXES", 20)
-    covered = suffix_covered(spark, texts)
+    covered = suffix_covered(spark, texts, bucket_hashes=20, chunk_bytes=5000)
     for k, need in shared_words(texts).items():
         assert need and need <= covered[k]
 
@@ -277,16 +344,76 @@ def test_lm_scoring(docs, rows):
     assert lm_scoring.score_texts(docs.limit(0)).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def chunk_of(texts, ids):
+    """A chunk as workers get it."""
+    import pyarrow as pa
+
+    from corpusloom.llm.chunks import Chunk, packed
+
+    w = common.Words(pa.array(texts), lower=True)
+    row = {"chunk": 1, "doc_ids": packed(np.array(ids)), "valid": packed(np.ones(len(ids), np.uint8)), "bounds": packed(w.bounds), "index": packed(w.index.astype(np.uint32))}
+    import zstandard
+
+    return Chunk(row | {"vocabulary": zstandard.compress(b" ".join(x.as_py().encode() for x in w.vocabulary))})
+
+
+def test_token_scores_against_plain_python():
+    """Each token's probability is that of its class, its group and its share, and all words' probabilities after a history sum to 1."""
+    rng, gen = random.Random(4), np.random.default_rng(1)
+    texts = [words(rng, rng.randint(0, 40)) for _ in range(30)]
+    t = lm_scoring.Tokens(chunk_of(texts, list(range(30))), 10)
+    rows, n, kinds = 1 << 12, len(t.hashes), lm_scoring.CLASSES - 1
+    known = lm_scoring.Known.__new__(lm_scoring.Known)
+    known.counts = np.bincount(t.word[t.train], minlength=n)
+    before = gen.integers(0, 4, (n, kinds)) * (known.counts > 0)[:, None]
+    known.classes, known.groups = lm_scoring.classes_of(before, t.hashes), lm_scoring.groups_of(known.counts, t.hashes)
+    assert known.classes[-1] == 0 and known.classes[:-1].min() >= 1 and known.classes.max() < 16 and known.groups.max() < 16
+    leaf = known.classes * 16 + known.groups
+    leaf_tokens = np.bincount(leaf, weights=known.counts, minlength=256).reshape(16, 16)
+    leaf_types = np.bincount(leaf[known.counts > 0], minlength=256).reshape(16, 16)
+    weights = gen.normal(size=(rows, 16)).astype(np.float32)
+    got, at = lm_scoring.token_scores(weights, t, known, leaf_tokens, leaf_types), 0
+    mix = lambda x: int(common.mix64(np.array([x % 2**64], np.uint64))[0])
+
+    def chosen(features):
+        z = sum(weights[f >> 52].astype(np.float64) for f in features)
+        return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+    for d in range(30):
+        own = t.word[t.bounds[d] : t.bounds[d + 1]].tolist()
+        for k, w in enumerate(own):
+            one, two, three = (int(t.hashes[own[k - j]]) if k >= j else 0 for j in (1, 2, 3))
+            f = [mix(x + j * 0x1000193) for j, x in enumerate([one, mix(two) + one, 0, mix(two + 2), mix(three + 3)], 1)]
+            inside = lambda c: chosen([(x ^ mix(c + 77)) * 0x9E3779B97F4A7C15 % 2**64 for x in f[:3]])
+            share = (known.counts[w] + 0.1) / (leaf_tokens[known.classes[w], known.groups[w]] + 0.1 * (leaf_types[known.classes[w], known.groups[w]] + 1))
+            want = log10(chosen(f)[known.classes[w]] * inside(int(known.classes[w]))[known.groups[w]] * share)
+            assert abs(got[at] - want) < 1e-4
+            at += 1
+    # All known words and an unknown one for each group.
+    total = sum(chosen(f)[c] * inside(c)[g] * ((leaf_tokens[c, g] + 0.1 * leaf_types[c, g] + 0.1) / (leaf_tokens[c, g] + 0.1 * (leaf_types[c, g] + 1))) for c in range(16) for g in range(16))
+    assert abs(total - 1) < 1e-6
+
+
+def test_training_lowers_the_loss():
     rng = np.random.default_rng(1)
-    weights = rng.normal(size=(lm_scoring.ROWS + 1, lm_scoring.CLASSES)).astype(np.float32)
-    features = rng.integers(0, lm_scoring.ROWS, (50, 5))
-    assert np.allclose(np.exp(lm_scoring.log_softmax(weights, features)).sum(axis=1), 1, atol=1e-5)
-    target, squares, touched = rng.integers(0, lm_scoring.CLASSES, 50), np.full_like(weights, 1e-2), np.zeros(len(weights), np.float32)
-    before = lm_scoring.log_softmax(weights, features)[np.arange(50), target].sum()
+    weights = rng.normal(size=(1 << 12, 16)).astype(np.float32)
+    places, target = rng.integers(0, 1 << 12, (5, 50)).astype(np.uint16), rng.integers(0, 16, 50)
+    places[0] = 7  # one feature at all tokens
+    assert np.allclose(np.exp(lm_scoring.log_softmax(weights, places)).sum(axis=1), 1, atol=1e-5)
+    squares, touched = np.full(len(weights), 1e-2, np.float32), np.zeros(len(weights), np.float32)
+    before = lm_scoring.log_softmax(weights, places)[np.arange(50), target].sum()
+    plain = weights.copy()
+    gradient = np.exp(lm_scoring.log_softmax(weights, places))
+    gradient[np.arange(50), target] -= 1
+    lm_scoring.train_batch(weights, squares, touched, places, target)
+    # One step by hand on the feature that all tokens have, and on one that a single token has.
+    for line, row in ((0, 7), (1, int(next(p for p in places[1] if (places[1:] == p).sum() == 1)))):
+        mean = gradient[places[line] == row].mean(axis=0)
+        step = lm_scoring.RATE / 5 * mean / (np.sqrt(1e-2 + (mean**2).mean()) + 1e-3)
+        assert np.allclose(weights[row], plain[row] - step, atol=1e-4) and touched[row] == (places == row).sum()
     for _ in range(5):
-        lm_scoring.train_batch(weights, squares, touched, features, target)
-    assert lm_scoring.log_softmax(weights, features)[np.arange(50), target].sum() > before
+        lm_scoring.train_batch(weights, squares, touched, places, target)
+    assert lm_scoring.log_softmax(weights, places)[np.arange(50), target].sum() > before
 
 
 def test_language_id(spark, docs):
@@ -299,9 +426,15 @@ def test_language_id(spark, docs):
     test = spark.createDataFrame([(k, lang, make(p, 30)) for lang, p in kinds.items() for k in range(20)], "k long, lang string, text string")
     got = language_id.identify(test, dictionaries).collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 58 and all(0 <= r.score <= 1 for r in got)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? --"), (4, "\n")], "k long, text string")
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !? --"), (4, "\n"), (5, "\u0301\u0302 \u0903")], "k long, text string")
     assert {(r.lang_pred, r.score, r.rejected) for r in language_id.identify(odd, dictionaries).collect()} == {("und", 0.0, True)}
     assert {r.lang_pred for r in language_id.identify(docs.select("doc_id", "text"), {}).collect()} == {"und"}
+    many = spark.range(600).selectExpr("concat('l', lpad(id % 300, 3, '0')) as lang", "concat('some words ', id, ' of a text') as text")
+    assert len(language_id.fit_dictionaries(many)) == 300
+    # Equal languages: the text compresses alike, so that the first one wins and the margin rejects.
+    tie = spark.createDataFrame([(k, "the same words in both") for k in ("x", "y")], "lang string, text string")
+    r = language_id.identify(spark.createDataFrame([(1, "the same words", 9)], "k long, text string, score int"), language_id.fit_dictionaries(tie)).first()
+    assert r.lang_pred == "x" and r.rejected and r.score == 0.5
     assert language_id.fit_dictionaries(train.limit(0)) == {} and language_id.identify(odd.limit(0), dictionaries).count() == 0
 
 
@@ -309,19 +442,29 @@ def test_language_id(spark, docs):
 def test_pieces_give_the_ids_of_whole_texts(rows, name):
     import pyarrow as pa
 
-    odd = [" lead", "a  b", "a\n\nb", "a\n b \nc", "don't we'll\nI'm", "tab\tx", "a\xa0b c", "é ́x Σ ΑΣ", "x <|endoftext|> y", "\n", " ", "a ", "日本 語 12 345", "c\x1cd e", "™ a™"]
+    odd = [" lead", "a  b", "a\n\nb", "a\n b \nc", "don't we'll\nI'm", "tab\tx", "a\xa0b c", "é ́x Σ ΑΣ", "x <|endoftext|> y", "<|endoftext|>", "a<|startoftext|>b c", "a<|STARTOFTEXT|> b", "<|startoftext|><|endoftext|> x  y\n", "\n", " ", "a ", "日本 語 12 345", "c\x1cd e", "™ a™"]
     texts = [r[1] for r in rows] + odd
-    coder = tokens.Coder(public_tokenizers.path(name))
+    coder, plain = tokens.Coder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
     for _ in range(2):  # the second time from what is remembered
         got = coder.encode(pa.array(texts))
         for k, t in enumerate(texts):
-            assert got.values[got.bounds[k] : got.bounds[k + 1]].tolist() == coder.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+            assert got.values[got.bounds[k] : got.bounds[k + 1]].tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
+
+
+def test_dictionary_sample_at_any_size(spark):
+    share = lambda n: token_files.sample_limit(n, 2000) / (1 << 62)
+    assert share(0) == share(2000) == 1 and abs(share(10**6) * 10**6 - 2000) < 1e-6 and abs(share(5 * 10**10) * 5 * 10**10 - 2000) < 1e-3
+    assert token_files.sample_limit(10**30, 2000) == 1
+    # Copies of one text are one sample.
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hot = spark.range(5000).selectExpr("id as doc_id", "if(id % 5 < 4, 'one hot text', concat('text ', id)) as text")
+    few = spark.range(1001).selectExpr("id as doc_id", "if(id = 0, 'one hot text', concat('text ', id)) as text")
+    assert len(token_files.train_dictionary(hot, path, 2)) > 8 and len(token_files.train_dictionary(few, path, 2)) > 8
 
 
 def test_token_files(spark, docs, rows):
     path = common.new_path(spark, "test-tokens")
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), 2, docs_per_shard=20)
     got = sorted(token_files.read_tokens(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda d: -1 if d is None else d)

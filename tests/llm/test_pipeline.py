@@ -48,3 +48,17 @@ def test_empty_table(spark, docs):
     for name, stage in corpus_pipeline.STAGES:
         at = written(stage(spark, at, ""), f"empty-{name}")
     assert at.count() == 0
+
+
+def test_near_copies_by_row(spark):
+    """Repeated and null ids of unequal texts: one row of each class stays, and each row that has none."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice(["th", "er", "on", "an"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    a, c, d = words(80), words(80), words(80)
+    near = [" ".join([*a.split()[:k], "odd", *a.split()[k + 1 :]]) for k in (20, 60)]
+    rows = [(1, a), (3, near[0]), (3, c), (None, near[1]), (None, d), (None, d), (7, None), (7, ""), (None, None), (9, c.upper()), (3, c)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, a), (3, c), (None, d), (7, ""), (None, "")], key=str)
+    only = spark.createDataFrame([(None, a, "en", "s", 1), (None, near[0], "en", "s", 1)], docs.schema)
+    assert corpus_pipeline.drop_near_copies(spark, only, "").count() == 1
