@@ -16,9 +16,9 @@ from ..operators import gate as G
 from ..operators import rules, search
 from ..operators import sites as S
 from ..operators.resolve import export_table
-from ..sources.derived import LINES, PATHS, attributes, code_lines, widgets
+from ..sources.derived import PATHS, attributes, code_lines, widgets
 from ..sources.tables import table
-from .search_jobs import sql_list
+from .search_jobs import CODE, sql_list
 
 #: The one colour that the design system of the code base has.
 TOKENS = ["#1a2b3c"]
@@ -201,11 +201,6 @@ def n_of(pattern: str, text: str = "text") -> str:
     return f"len(regexp_extract_all({text}, '{q(pattern)}'))"
 
 
-CODE = f"""
-code AS (
-  SELECT l_orderkey AS order_key, replace({sql_list(PATHS)}[l_orderkey % {len(PATHS)} + 1], '@', CAST(l_orderkey AS VARCHAR)) AS file, CAST(l_linenumber AS INT) AS line,
-         replace({sql_list(LINES)}[(l_partkey * 7 + l_suppkey * 3 + l_linenumber * 5) % {len(LINES)} + 1], '@', CAST(l_suppkey AS VARCHAR)) AS text, l_suppkey AS widget
-  FROM lineitem)"""
 BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"
 QUOTED = rf"""(?:"[^"]*"|'[^']*'|{BRACES}|[^\s"'=<>`{{][^\s"'<>`]*)"""
 ATTR = rf"""\s+(?:{BRACES}|([^\s"'<>/={{}}`]+)(?:\s*=\s*{QUOTED})?)"""

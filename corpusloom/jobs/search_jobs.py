@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import CATEGORIES, NAME_STOP_TOKENS, QUERY_STOP_WORDS
 from ..functions.text import deprecated_name, estimated_tokens, name_tokens, query_tokens
 from ..operators import search as S
+from ..sources.derived import LINES, PATHS, code_lines
 from ..sources.tables import events_as_findings, parts_as_entities, table
 
 REQUEST = "add a red widget"
@@ -17,6 +18,13 @@ def sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
+#: The derived code base, as a common table expression.
+CODE = f"""
+code AS (
+  SELECT l_orderkey AS order_key, replace({sql_list(PATHS)}[l_orderkey % {len(PATHS)} + 1], '@', CAST(l_orderkey AS VARCHAR)) AS file, CAST(l_linenumber AS INT) AS line,
+         replace({sql_list(LINES)}[(l_partkey * 7 + l_suppkey * 3 + l_linenumber * 5) % {len(LINES)} + 1], '@', CAST(l_suppkey AS VARCHAR)) AS text, l_suppkey AS widget
+  FROM lineitem)"""
+
 ENTITIES = """
 entities AS (
   SELECT p_partkey AS id, p_name AS name, p_type AS path, p_brand AS host, coalesce(n, 0) AS usage_count, recency
@@ -101,13 +109,21 @@ def deprecated_parts(spark, d) -> DataFrame:
 
 def category_infer(spark, d) -> DataFrame:
     """For each turn of a conversation, its categories by number of cues, the first eight."""
-    from pyspark.sql import Window
+    return categories(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+
+
+def category_lines(spark, d) -> DataFrame:
+    """For each different line of the derived code base, its categories by number of cues, the first eight."""
+    return categories(code_lines(spark, d).select(F.md5("text").alias("digest"), "text").distinct(), ["digest"])
+
 
-    turns = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("lower"), query_tokens(F.col("text")).alias("tokens"))
+def categories(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, category, cues and place for texts (keys, text): the first eight categories that a text has cues of."""
+    turns = texts.select(*keys, F.lower("text").alias("lower"), query_tokens(F.col("text")).alias("tokens"))
     hits = F.array(*[F.struct(F.lit(k).alias("at"), F.lit(c).alias("category"), cue_count(cues).alias("cues")) for k, (c, cues) in enumerate(CATEGORIES)])
-    rows = turns.select("conv_id", "turn", F.inline(F.filter(hits, lambda h: h["cues"] > 0)))
-    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.desc("cues"), "at"))
-    return rows.withColumn("place", place).where("place <= 8").select("conv_id", "turn", "category", "cues", "place")
+    rows = turns.select(*keys, F.inline(F.filter(hits, lambda h: h["cues"] > 0)))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cues"), "at"))
+    return rows.withColumn("place", place).where("place <= 8").select(*keys, "category", "cues", "place")
 
 
 def cue_count(cues: list[str]):
@@ -119,18 +135,18 @@ def cue_count(cues: list[str]):
     return total
 
 
-def category_sql() -> str:
+def category_sql(texts: str, keys: str) -> str:
     count = lambda cues: " + ".join(f"CAST({'contains(low, ' + repr(c) + ')' if ' ' in c else 'list_contains(tokens, ' + repr(c) + ')'} AS INT)" for c in cues)
     items = ", ".join(f"{{'at': {k}, 'category': '{c}', 'cues': {count(cues)}}}" for k, (c, cues) in enumerate(CATEGORIES))
     return f"""
-WITH turns AS (
-  SELECT conv_id, turn, lower(text) AS low,
+turns AS (
+  SELECT {keys}, lower(text) AS low,
          list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({sql_list(QUERY_STOP_WORDS)}, t)) AS tokens
-  FROM conversations),
-hits AS (SELECT conv_id, turn, unnest([{items}]) AS h FROM turns),
+  FROM {texts}),
+hits AS (SELECT {keys}, unnest([{items}]) AS h FROM turns),
 ranked AS (
-  SELECT conv_id, turn, h.category AS category, h.cues AS cues,
-         row_number() OVER (PARTITION BY conv_id, turn ORDER BY h.cues DESC, h.at) AS place
+  SELECT {keys}, h.category AS category, h.cues AS cues,
+         row_number() OVER (PARTITION BY {keys} ORDER BY h.cues DESC, h.at) AS place
   FROM hits WHERE h.cues > 0)
 SELECT * FROM ranked WHERE place <= 8"""
 
@@ -155,6 +171,7 @@ QUERIES = {
     "token_estimates": token_estimates,
     "deprecated_parts": deprecated_parts,
     "category_infer": category_infer,
+    "category_lines": category_lines,
 }
 ORACLES = {
     "search_score": f"{SCORED} SELECT id, name, hits, deprecated, score, usage_count FROM scored WHERE score > 0",
@@ -185,5 +202,6 @@ WHERE length(token) > 1 AND NOT list_contains({sql_list(QUERY_STOP_WORDS)}, toke
     "token_estimates": "SELECT source, CAST(sum(floor(length(text) / 4.0 + 0.5)) AS BIGINT) AS tokens, count(*) AS documents FROM documents GROUP BY source",
     "deprecated_parts": r"""
 SELECT p_brand, regexp_matches(lower(p_name), '\b(legacy|deprecated|old|v1|obsolete)\b') AS deprecated, count(*) AS n FROM part GROUP BY ALL""",
-    "category_infer": category_sql(),
+    "category_infer": f"WITH {category_sql('conversations', 'conv_id, turn')}",
+    "category_lines": f"WITH {CODE}, texts AS (SELECT DISTINCT md5(text) AS digest, text FROM code), {category_sql('texts', 'digest')}",
 }
