@@ -21,7 +21,8 @@ RULES = {
     "dup_lines": ("n_dup_lines * 10000 div greatest(n_words, 1)", "high"),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", "both"),
 }
-#: Never cut closer to the upper quartile (or the lower) than this, in the rule's unit.
+#: Least distance of a fence from its quartile, in the rule's unit: in a group whose values are nearly all equal the quartiles coincide, and
+#: fences on them would reject every other value, however ordinary.
 SLACK = {"symbols": 300, "repeats": 1000, "dup_lines": 300, "word_length": 150}
 
 
@@ -94,7 +95,7 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by, "rule").agg(F.max("n").alias("n"), quantile(1).alias("q1"), quantile(3).alias("q3"))
 
 
-def thresholds(measured: DataFrame, min_group: int) -> DataFrame:
+def thresholds(measured: DataFrame, min_group: int, least: dict[str, int] = SLACK) -> DataFrame:
     """lang, source, rule, low, high for each language and source that measured has.
 
     A sketch counts a group's values by bucket; sketches of a language merge by adding. A group with fewer than
@@ -114,19 +115,19 @@ def thresholds(measured: DataFrame, min_group: int) -> DataFrame:
         .join(whole, F.col("rule") == F.col("crule"), "left")
     )
     pick = lambda q: F.when(F.col("a_n") >= min_group, F.col(f"a_{q}")).when(F.col("b_n") >= min_group, F.col(f"b_{q}")).otherwise(F.col(f"c_{q}"))
-    slack = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(SLACK[r])), RULES, F)
+    slack = reduce(lambda c, r: c.when(F.col("rule") == r, F.lit(least[r])), RULES, F)
     reach = F.greatest(3 * (pick("q3") - pick("q1")), slack)
     high = pick("q3") + reach
     low = F.when(F.col("rule").isin([r for r, (_, end) in RULES.items() if end == "both"]), pick("q1") - reach)
     return both.select("lang", "source", "rule", low.alias("low"), high.alias("high"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_group: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_group: int = 200, slack: dict[str, int] = SLACK) -> DataFrame:
     """One row per document: doc_id, the measures, base_failed and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of them in 3-word windows that the text
     has twice. Others are kept unless a ratio (symbols, repeats, duplicate lines, word length) lies beyond its group's
-    fences, which are the quartiles of the group's sketch plus three times their distance (SLACK at least).
+    fences, which are the quartiles of the group's sketch plus three times their distance (slack at least).
 
     Cases: null and empty texts have no words and fail; null languages and sources are groups of their own; rows that
     repeat are judged each for itself; an empty table gives an empty result; other columns are ignored.
@@ -137,7 +138,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat_percent: int
     )
     measured = written(measured, "quality-measured")
     limits = (
-        thresholds(measured, min_group)
+        thresholds(measured, min_group, slack)
         .groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"))
         .agg(*[F.max(F.when(F.col("rule") == r, F.col(e))).alias(f"{r}_{e}") for r in RULES for e in ("low", "high")])
     )
