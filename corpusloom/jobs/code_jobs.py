@@ -114,13 +114,13 @@ def search_filters(spark, d) -> DataFrame:
 
 
 def contracts(spark, d) -> DataFrame:
-    """Suppliers as components: what they deliver in large returned lots, by brand and size."""
+    """Suppliers as components: brands, kinds and sizes of what they deliver in large returned lots."""
     lots = table(spark, d, "lineitem").where("l_quantity >= 48 and l_returnflag = 'R'").select("l_suppkey", "l_partkey", "l_shipdate")
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
     each = lots.join(parts, "l_partkey").groupBy(F.col("l_suppkey").alias("id")).agg(
-        F.collect_set(F.concat_ws(":", "p_brand", F.floor(F.col("p_size") / 10).cast("string"))).alias("props"),
+        F.collect_set("p_brand").alias("props"),
         F.collect_set(F.regexp_extract("p_type", "^([A-Za-z]+)", 1)).alias("hosts"),
-        F.collect_set("p_brand").alias("hooks"),
+        F.collect_set(F.floor(F.col("p_size") / 10).cast("string")).alias("hooks"),
         F.count("*").alias("usage_count"), F.max("l_shipdate").alias("recency"),
     )
     own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey").cast("string")).alias("names"), F.array((F.col("s_nationkey") % 5).cast("string")).alias("renders"), (F.col("s_acctbal") < 0).alias("deprecated"))
@@ -286,7 +286,7 @@ declared AS (
   SELECT id AS target, unnest(CASE WHEN is_default THEN ['theme', 'data', 'isOpen', 'onPick', 'footer', 'label'] ELSE ['theme', 'data', 'isOpen'] END) AS attribute FROM widgets),
 passed AS (SELECT target, attribute, count(*) AS n FROM (SELECT target, unnest(attrs) AS attribute FROM sites) GROUP BY ALL)"""
 PAIRS = """
-lots AS (SELECT DISTINCT l_suppkey AS id, p_brand || ':' || CAST(floor(p_size / 10) AS BIGINT) AS prop, regexp_extract(p_type, '^([A-Za-z]+)', 1) AS host, p_brand AS hook
+lots AS (SELECT DISTINCT l_suppkey AS id, p_brand AS prop, regexp_extract(p_type, '^([A-Za-z]+)', 1) AS host, CAST(floor(p_size / 10) AS BIGINT) AS hook
          FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 48 AND l_returnflag = 'R'),
 sets AS (SELECT id, list(DISTINCT prop) AS props, list(DISTINCT host) AS hosts, list(DISTINCT hook) AS hooks, any_value(s_nationkey) AS nation
          FROM lots JOIN supplier ON s_suppkey = id GROUP BY id),
