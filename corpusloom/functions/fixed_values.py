@@ -18,6 +18,15 @@ NAME_STOP_TOKENS = [
     "new", "base", "common", "shared", "ui", "index", "default",
 ]
 
+# Words of the language, which keep their meaning when all names are taken as one.
+KEYWORDS = [
+    "const", "let", "var", "function", "return", "if", "else", "for", "while", "do",
+    "switch", "case", "break", "continue", "new", "typeof", "instanceof", "in", "of",
+    "this", "null", "undefined", "true", "false", "async", "await", "try", "catch",
+    "finally", "throw", "class", "extends", "super", "import", "export", "from",
+    "default", "yield", "delete", "void",
+]
+
 # The words that mark a name as deprecated.
 DEPRECATED_NAME = r"\b(legacy|deprecated|old|v1|obsolete)\b"
 

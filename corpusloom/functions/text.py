@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed_values import DEPRECATED_NAME, FILE_CLASSES, NAME_STOP_TOKENS, QUERY_STOP_WORDS
+from .fixed_values import DEPRECATED_NAME, FILE_CLASSES, KEYWORDS, NAME_STOP_TOKENS, QUERY_STOP_WORDS
 
 
 def query_tokens_of(text: str | None) -> list[str]:
@@ -56,3 +56,14 @@ def jaccard(common: Column, a: Column, b: Column) -> Column:
     """common / (a + b - common) as an integer in thousandths, rounded half up; 0 for two empty sets."""
     union = a + b - common
     return F.when(union > 0, F.floor(common * 1000 / union + 0.5)).otherwise(0).cast("long")
+
+
+def normalized_tokens(source: Column) -> Column:
+    """A body's tokens with every name as #, every number as 0 and every quote as one kind, so that a renamed copy has the same ones.
+
+    Words of the language and punctuation stay; texts inside quotes are taken for code, as no lexer runs here.
+    """
+    token = r"[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[\"'`]|[{}()\[\];,.:?!<>=+\-*/%&|^~]"
+    words = F.array(*map(F.lit, KEYWORDS))
+    one = lambda t: F.when(F.array_contains(words, t), t).when(t.rlike(r"^[A-Za-z_$]"), "#").when(t.rlike(r"^\d"), "0").when(t.rlike("^[\"'`]"), '"').otherwise(t)
+    return F.transform(F.regexp_extract_all(F.coalesce(source, F.lit("")), F.lit(token), F.lit(0)), one)

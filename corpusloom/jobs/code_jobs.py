@@ -44,6 +44,16 @@ def public_secrets(spark, d) -> DataFrame:
     return rules.public_secrets(code_lines(spark, d), "file")
 
 
+def file_counts(spark, d) -> DataFrame:
+    return R.file_counts(code_lines(spark, d))
+
+
+def neighbourhood(spark, d) -> DataFrame:
+    """Findings in the files of the request's first hundred hits."""
+    hits = search.full_search(entities(spark, d), REQUEST, 100)
+    return R.neighbourhood(hits, code_findings(spark, d))
+
+
 def convention_summary(spark, d) -> DataFrame:
     """What the code base does most in each of the categories."""
     return N.summary(N.pattern_counts(code_lines(spark, d), "text", V.COUNTERS), V.CONVENTIONS)
@@ -301,10 +311,20 @@ pairs AS (SELECT a, b, CASE WHEN n1 >= 3 AND m1 >= 3 AND c1 * 100 >= (n1 + m1 -
 similar_pairs AS (SELECT * FROM pairs WHERE similarity >= 550)"""
 
 
-def search_sql() -> str:
+def file_counts_sql() -> str:
+    called = lambda name: f"max(CAST(regexp_matches(text, '{q(rf'\b{name}\s*\(')}') AS INT))"
+    sums = {"state": ["useState", "useReducer"], "effects": ["useEffect", "useLayoutEffect", "useInsertionEffect"], "contexts": ["useContext"]}
+    columns = ", ".join(f"CAST({' + '.join(map(called, names))} AS INT) AS {c}" for c, names in sums.items())
+    fetches = q(r"\b(fetch\s*\(|axios\.|useQuery\s*\(|useSWR\s*\(|useMutation\s*\()")
+    branches = " + ".join(n_of(p) for p in (r"\b(if|for|while|case|catch)\b", r"\?", "&&", r"\|\|"))
+    return f"""WITH {CODE}
+SELECT file, count(*) AS lines, {columns}, bool_or(regexp_matches(text, '{fetches}')) AS fetches, CAST(1 + sum({branches}) AS BIGINT) AS complexity FROM code GROUP BY file"""
+
+
+def search_sql(conditions: str) -> str:
     words = "(VALUES ('red'), ('widget'), ('brand')) AS q(t)"
     return f"""
-WITH used AS (
+used AS (
   SELECT l_partkey AS id, count(*) AS usage_count, list(DISTINCT lower(l_returnflag)) AS props, list(DISTINCT 'use' || l_linestatus) AS hooks, list(DISTINCT CAST(l_linenumber AS VARCHAR)) AS renders FROM lineitem GROUP BY 1),
 entities AS (
   SELECT p_partkey AS id, p_name AS name, replace({sql_list(PATHS)}[p_partkey % {len(PATHS)} + 1], '@', CAST(p_partkey AS VARCHAR)) AS file, ['component', 'hook', 'util'][p_size % 3 + 1] AS kind,
@@ -319,10 +339,9 @@ hit AS (
   SELECT *, CAST((SELECT sum(CASE WHEN list_contains(names, t) THEN 3000 WHEN len(list_filter(names, lambda x: starts_with(x, t) OR starts_with(t, x))) > 0 THEN 1600 ELSE 0 END
       + CASE WHEN list_contains(props, t) THEN 2000 ELSE 0 END + CASE WHEN list_contains(paths, t) THEN 1400 ELSE 0 END + CASE WHEN host = t THEN 800 ELSE 0 END) FROM {words}) AS BIGINT) AS hits,
     regexp_matches(lower(name), '\\b(legacy|deprecated|old|v1|obsolete)\\b') AS deprecated
-  FROM tokens WHERE kind = 'component' AND contains(lower(file), 'src/') AND usage_count >= {MIN_USAGE} AND file_class <> 'test' AND list_contains(props, 'a') AND list_contains(props, 'r') AND list_contains(hooks, 'useO') AND list_contains(renders, '3')),
+  FROM tokens WHERE file_class <> 'test' {conditions}),
 scored AS (
-  SELECT *, CASE WHEN hits > 0 THEN CAST(hits + floor(900 * log10(usage_count + 1.0) + 0.5) - CASE WHEN deprecated THEN 2500 ELSE 0 END - CASE WHEN file_class IN ('test', 'story') THEN 1500 ELSE 0 END - CASE WHEN exported THEN 0 ELSE 800 END AS BIGINT) ELSE 0 END AS score FROM hit)
-SELECT id, name, file_class, exported, hits, score, usage_count FROM scored WHERE score > 0"""
+  SELECT *, CASE WHEN hits > 0 THEN CAST(hits + floor(900 * log10(usage_count + 1.0) + 0.5) - CASE WHEN deprecated THEN 2500 ELSE 0 END - CASE WHEN file_class IN ('test', 'story') THEN 1500 ELSE 0 END - CASE WHEN exported THEN 0 ELSE 800 END AS BIGINT) ELSE 0 END AS score FROM hit)"""
 
 
 def summary_sql() -> str:
@@ -375,6 +394,8 @@ QUERIES = {
     "code_findings": code_findings,
     "code_imports": code_imports,
     "public_secrets": public_secrets,
+    "file_counts": file_counts,
+    "neighbourhood": neighbourhood,
     "convention_summary": convention_summary,
     "call_sites": call_sites,
     "render_edges": render_edges,
@@ -416,7 +437,12 @@ extra AS (SELECT target, string_agg(attribute, ',' ORDER BY attribute) AS undecl
 spread AS (SELECT target, count(*) FILTER (WHERE spread) AS n FROM sites GROUP BY target)
 SELECT p.*, coalesce(undeclared, '') AS undeclared, coalesce(s.n, 0) AS spread_sites FROM props p LEFT JOIN extra USING (target) LEFT JOIN spread s USING (target)""",
     "who_uses": f"WITH {CODE}, {SITES} SELECT target, count(*) AS usage_count, greatest(count(*) - 5, 0) AS truncated, least(count(*), 5) AS shown FROM sites GROUP BY target",
-    "search_filters": search_sql(),
+    "search_filters": f"""WITH {search_sql(f"AND kind = 'component' AND contains(lower(file), 'src/') AND usage_count >= {MIN_USAGE} AND list_contains(props, 'a') AND list_contains(props, 'r') AND list_contains(hooks, 'useO') AND list_contains(renders, '3')")}
+SELECT id, name, file_class, exported, hits, score, usage_count FROM scored WHERE score > 0""",
+    "file_counts": file_counts_sql(),
+    "neighbourhood": f"""WITH {CODE}, {search_sql("")}, {findings_sql("code", "found")},
+best AS (SELECT file FROM scored WHERE score > 0 ORDER BY score DESC, usage_count DESC, id LIMIT 100)
+SELECT file, {", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in V.SEVERITIES)} FROM found WHERE file IN (SELECT file FROM best) GROUP BY file""",
     "component_similarity": f"WITH {PAIRS} SELECT * FROM similar_pairs",
     "duplicates": f"""WITH RECURSIVE {PAIRS},
 edges AS (SELECT a, b FROM similar_pairs UNION SELECT b, a FROM similar_pairs),

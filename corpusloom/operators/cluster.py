@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.text import normalized_tokens
 from ..sources.storage import written
 from .components import connected_components
 
@@ -60,6 +61,14 @@ def near_clusters(texts: DataFrame, key: str, text: str, width: int = 5, percent
     return named.join(sizes, "cluster").select("key", "cluster", "size")
 
 
+def body_clusters(bodies: DataFrame, key: str, source: str, percent: int = 62) -> DataFrame:
+    """key, cluster, size for bodies of source that are percent alike by five-token shingles once all names are taken as one; bodies with under three
+    shingles are like no other."""
+    tokens = bodies.select(key, normalized_tokens(F.col(source)).alias("tokens"))
+    texts = tokens.select(key, F.array_join("tokens", " ").alias("text")).where(F.size(shingles(F.col("text"))) >= 3)
+    return near_clusters(texts, key, "text", 5, percent)
+
+
 def block_sizes(entities: DataFrame, keys: Column, limit: int = 400) -> DataFrame:
     """block, size, dropped: the blocks that entities with these keys fall into, and which are too large to compare pair by pair."""
     blocks = entities.select(F.explode(F.array_distinct(keys)).alias("block")).groupBy("block").agg(F.count("*").alias("size"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from .audit import complexity
 from .rules import COMPONENT_RULES, ELEMENT_RULES, NEXT_RULES, Rule, elements
 
 FINDING = ["rule", "severity", "file", "line", "heuristic", "hits"]
@@ -94,6 +95,23 @@ def file_findings(lines: DataFrame, client_files: DataFrame, is_next: bool = Fal
     return found(rows, rules)
 
 
+def file_counts(lines: DataFrame) -> DataFrame:
+    """file, lines, state, effects, contexts (how many kinds of such hooks it calls), fetches, and complexity, from sums over its lines."""
+    has = lambda p: F.bool_or(F.coalesce(F.col("text").rlike(p), F.lit(False)))
+    kinds = lambda *names: sum((has(rf"\b{n}\s*\(").cast("int") for n in names), F.lit(0))
+    fetches = r"\b(fetch\s*\(|axios\.|useQuery\s*\(|useSWR\s*\(|useMutation\s*\()"
+    return lines.groupBy("file").agg(
+        F.count("*").alias("lines"), kinds("useState", "useReducer").alias("state"), kinds("useEffect", "useLayoutEffect", "useInsertionEffect").alias("effects"), kinds("useContext").alias("contexts"),
+        has(fetches).alias("fetches"), (F.sum(complexity(F.coalesce("text", F.lit(""))) - 1) + 1).alias("complexity"),
+    )
+
+
+def neighbourhood(hits: DataFrame, findings: DataFrame, file: str = "file") -> DataFrame:
+    """Findings in the files that hits (the few of a report) stand in, counted by file and severity."""
+    near = findings.join(hits.select(file).distinct(), file, "left_semi")
+    return near.groupBy(file).agg(*[F.count_if(F.col("severity") == s).alias(s) for s in V.SEVERITIES])
+
+
 def jsx_elements(lines: DataFrame) -> DataFrame:
     """file, line, place, tag, attrs, raw of elements that stand on one line; names keep their case."""
     return elements(lines.withColumn("at", F.struct("file", "line", "text")), "at", "text", fold=False).select("at.file", "at.line", "place", "tag", "attrs", "raw")

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import file_class
 
 IGNORED = ["node_modules", ".git", "dist", "build", "out", "coverage", ".next", "vendor"]
-SUFFIX = r"\.(tsx?|jsx?|mjs|cjs)$"
+SUFFIX = r"\.(tsx|jsx|ts|js|mjs|cjs|mts|cts)$"
 MAX_BYTES = 4 << 20
 
 
-def scan_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(files, skipped) under root: files have path, modified, content; skipped has path and reason.
+def scan_tree(spark: SparkSession, root: str, ignored: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(files, skipped) under root: files have path, modified, content; skipped has path and reason. ignored are more folders to skip.
 
     Reads by Spark's binaryFile source, so that root may be on any store. Nothing is left out without a row in skipped.
     """
@@ -23,7 +23,7 @@ def scan_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     rows = raw.select(path.alias("path"), F.col("modificationTime").alias("modified"), "length", "content")
     segments = F.split("path", "/")
     reason = (
-        F.when(F.arrays_overlap(segments, F.array(*map(F.lit, IGNORED))), "ignored folder")
+        F.when(F.arrays_overlap(segments, F.array(*map(F.lit, [*IGNORED, *ignored]))), "ignored folder")
         .when(~F.lower("path").rlike(SUFFIX), "other kind")
         .when(F.col("length") > MAX_BYTES, "too large")
     )

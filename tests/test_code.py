@@ -201,3 +201,20 @@ def test_registries_pruning_and_costs(spark):
     assert len(got) == 4 * 13 and got["medium", "explore"] == (4, 1200 + 1400 + 1200 + 1000 + 1000) and got["micro", "synthesize"][0] == 0 and got["large", "design again"] == (4, 1200 + 3000 + 1200 + 1000)
     total = costs.forecast(waves, ["size"]).where("size = 'micro'").first()
     assert total.total == total.subtotal + int(total.subtotal * 0.12 + 0.5) and total.headroom == 400_000 - total.total
+
+
+def test_bodies_with_other_names_cluster(spark):
+    money = "export function formatMoney(cents) {\n  const value = cents / 100;\n  if (!value) return '0';\n  return '$' + value.toFixed(2);\n}"
+    copy = money.replace("formatMoney", "toCurrency").replace("cents", "amount").replace("value", "v1").replace("100", "1000")
+    other = "export const run = async () => { for (const x of list) { await x(); } }"
+    rows = [(1, money), (2, copy), (3, other), (4, "a b"), (5, "a b"), (6, None)]
+    got = sorted(map(tuple, cluster.body_clusters(spark.createDataFrame(rows, "id long, source string"), "id", "source").collect()))
+    assert got == [(1, 1, 2), (2, 1, 2)]
+
+
+def test_file_counts_and_neighbourhood(spark):
+    lines = spark.createDataFrame([("a", 1, "useState(1); useState(2); useReducer(f)"), ("a", 2, "if (x && y) useEffect(f)"), ("a", 3, None), ("b", 1, "axios.get(u)")], "file string, line int, text string")
+    got = {r.file: tuple(r)[1:] for r in code_rules.file_counts(lines).collect()}
+    assert got == {"a": (3, 2, 1, 0, False, 3), "b": (1, 0, 0, 0, True, 1)}
+    findings = spark.createDataFrame([("a", "high"), ("a", "low"), ("b", "high")], "file string, severity string")
+    assert [tuple(r) for r in code_rules.neighbourhood(spark.createDataFrame([("a",), ("a",)], "file string"), findings).collect()] == [("a", 0, 1, 0, 1)]

@@ -57,3 +57,25 @@ def test_index_changes_parses_only_what_is_new(spark):
         index_changes(stream, table, ["path", "sha1"], parse).awaitTermination()
     assert parsed == [2, 1]
     assert {tuple(r) for r in spark.read.parquet(table).collect()} == {("a", "1"), ("b", "2"), ("b", "3")}
+
+
+def test_settings_of_projects(spark, tmp_path):
+    """Packages, frameworks, aliases and ignored folders; broken files give nothing."""
+    from corpusloom.sources import settings
+
+    packages = [("a", '{"dependencies": {"next": "14.2.3", "react": "18", "x": "1"}, "devDependencies": {"x": "2"}, "peerDependencies": null}'), ("b", '{"dependencies": {"vue": "3", "react-router-dom": "6"}}'), ("c", "{broken"), ("d", None)]
+    needed = settings.dependencies(spark.createDataFrame(packages, "root string, text string"))
+    assert sorted(map(tuple, needed.collect())) == [("a", "next", "14.2.3"), ("a", "react", "18"), ("a", "x", "2"), ("b", "react-router-dom", "6"), ("b", "vue", "3")]
+    folders = spark.createDataFrame([("a", "src/app"), ("a", "lib"), ("b", "pages")], "root string, path string")
+    assert sorted(map(tuple, settings.frameworks(needed, folders).collect())) == [("a", "next", True, "app"), ("b", "vue", False, "react-router 6")]
+    tsconfig = '{ // base\n "compilerOptions": { /* x\n */ "baseUrl": "./src", "paths": { "@/*": ["./*", "lib/*",], "u": ["https://x/y"], }, } }'
+    got = sorted(map(tuple, settings.compiler_aliases(spark.createDataFrame([("a", tsconfig), ("b", "no")], "root string, text string")).collect()))
+    assert got == [("a", "@/*", 0, "src/*"), ("a", "@/*", 1, "src/lib/*"), ("a", "u", 0, "src/https://x/y")]
+    vite = "resolve: { alias: { '@': path.resolve(__dirname, './src'), \"~lib\": './lib', 'plain': './no' } }"
+    assert sorted(map(tuple, settings.bundler_aliases(spark.createDataFrame([("a", vite)], "root string, text string")).collect())) == [("a", "@/*", 0, "src/*"), ("a", "~lib/*", 0, "lib/*")]
+    ignores = "# c\n/dist/\nbuild\n!keep\n*.log\na/b\n.env\n\ndist"
+    assert sorted(r.name for r in settings.ignored_folders(spark.createDataFrame([("a", ignores)], "root string, text string")).collect()) == ["build", "dist"]
+    paths = spark.createDataFrame([("a.tsx",), ("a.d.ts",), ("b.mts",), ("c.css",)], "p string")
+    assert [r.p for r in paths.where(settings.is_source_file(paths.p)).collect()] == ["a.tsx", "b.mts"]
+    (tmp_path / "cache.jsonl").write_text('{"k": 1, "v": "a"}\nbroken\n{"k": 2, "v": "b"}\n')
+    assert sorted(map(tuple, settings.read_records(spark, f"file://{tmp_path}/cache.jsonl", "k long, v string").collect())) == [(1, "a"), (2, "b")]
