@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .jaccard_join import op3_jaccard_join
 from .language_id import op1_language_id
 from .lm_scoring import op5_lm_scoring
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLES = {
     "op4_quality_rules": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
