@@ -7,6 +7,7 @@ from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .jaccard_join import op3_jaccard_join
 from .language_id import op1_language_id
 from .lm_scoring import op5_lm_scoring
+from .merkle import op11_merkle_manifest
 from .mixing import OP8_SQL, op8_mix_sources
 from .packing import op10_best_fit_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": op12_hard_negatives,
 }
 ORACLES = {
     "op4_quality_rules": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_mix_sources": OP8_SQL,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": OP12_SQL,
 }
