@@ -14,6 +14,7 @@ from .quality_rules import OP4_SQL, op4_quality_rules
 from .substring_dedup import op7_substring_dedup
 from .suffix_dedup import op9_suffix_dedup
 from .token_files import op2_token_files
+from .toxicity import op13_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
 }
 ORACLES = {
     "op4_quality_rules": OP4_SQL,
