@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -18,6 +18,8 @@ DICTIONARY_BYTES, PIECE_BYTES, SAMPLE_DOCS = 32 << 10, 1500, 400
 #: Texts are compressed in blocks, each with the dictionary at hand, so that it counts as much at the end of a long text.
 BLOCK_BYTES = 2048
 LEVEL = 7
+#: zstandard takes no shorter dictionary.
+LEAST_BYTES = 8
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -29,29 +31,32 @@ def letters_only(texts: pa.Array) -> pa.Array:
 def fit_dictionaries(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, piece_bytes: int = PIECE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language from a bounded sample of labelled rows (text, lang), the most frequent language first.
 
-    About sample_docs distinct texts of a language are picked by a hash of the text, whatever the table's size; each gives its first
-    piece_bytes, and a dictionary has dictionary_bytes at most. All languages are learned, whose number bounds what goes to the driver.
+    About sample_docs distinct texts of a language are picked by a hash of the text, however often they repeat and whatever the table's size; each gives its first
+    piece_bytes, and a dictionary has dictionary_bytes at most, which is all that goes to the driver. Every language with a letter is learned, their number
+    being the only other bound; one that has fewer bytes than zstandard takes as a dictionary repeats them.
     Of equally frequent languages the lesser comes first. Rows with a null text or language teach nothing; no rows give no dictionary.
     """
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    place = F.shiftrightunsigned(F.xxhash64("text"), 2).alias("place")
+    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", place)
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("place").alias("texts")).orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, sample_docs / r["count"]) * (1 << 62)))])
-    place = F.shiftrightunsigned(F.xxhash64("text"), 2)
-    picked = known.withColumn("place", place).where(F.col("place") <= F.try_element_at(rate, F.col("lang")))
+    rate = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], int(min(1.0, sample_docs / max(1, r["texts"])) * (1 << 62)))])
+    picked = known.where(F.col("place") <= F.try_element_at(rate, F.col("lang")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches):
             pieces = [x.encode()[:piece_bytes] for x in letters_only(part["text"]).to_pylist()]
             yield pa.RecordBatch.from_arrays([part["lang"], part["place"], pa.array(pieces, pa.binary())], names=["lang", "place", "piece"])
 
-    rows = picked.mapInArrow(cut, "lang string, place long, piece binary").groupBy("lang", "place").agg(F.min("piece").alias("piece")).collect()
+    distinct = picked.mapInArrow(cut, "lang string, place long, piece binary").groupBy("lang", "place").agg(F.min("piece").alias("piece"))
+    before = F.sum(F.octet_length("piece") + 1).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    rows = distinct.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < dictionary_bytes).collect()
     out = {}
     for lang in [r["lang"] for r in counts]:
         data = b" ".join(bytes(r["piece"]) for r in sorted(rows, key=lambda r: r["place"]) if r["lang"] == lang)[:dictionary_bytes]
-        if len(data) >= 8:
-            out[lang] = data
+        if data:
+            out[lang] = b" ".join([data] * -(-LEAST_BYTES // len(data))) if len(data) < LEAST_BYTES else data
     return out
 
 
