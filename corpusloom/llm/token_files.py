@@ -68,10 +68,12 @@ def sample_limit(n: int, wanted: int) -> int:
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int | None, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> bytes:
     """Trained on the id arrays of about sample_docs distinct texts, picked by a hash of the text, of sample_bytes each at most.
 
-    Copies of a text meet before they go to the driver.
+    Copies of a text count once, and meet before they go to the driver.
     """
     place = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    picked = docs.select("text", place.alias("place")).where(F.col("place") < F.lit(sample_limit(docs.count(), sample_docs)))
+    placed = docs.select("text", place.alias("place"))
+    n_texts = placed.agg(F.approx_count_distinct("place")).first()[0]
+    picked = placed.where(F.col("place") < F.lit(sample_limit(n_texts, sample_docs)))
 
     def serialize(batches):
         for part in text_slices(batches, limit=SLICE):
@@ -93,7 +95,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     Shards are ranges of doc_id. Each is written by one task under a name of that attempt and then renamed,
     so that a task that runs again replaces its file. Files go wherever pyarrow.fs opens path.
 
-    Cases: null text is empty (only its end id); null ids come first; rows that repeat are written each; an empty table
+    Cases: null text is empty (only its end id); null ids come first; rows that share an id are ordered by a hash of their text, so that reruns agree, and rows that repeat are written each; an empty table
     gives a dictionary and no shard; other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -135,7 +137,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         row = [me.partitionId(), int(known[0]) if len(known) else None, int(known[-1]) if len(known) else None, len(counts), int(counts.sum()), int(offsets[-1])]
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] + [pa.int64()] * 5, strict=True)], names=[x.split()[0] for x in SHARDS.split(", ")])
 
-    ranged = texts.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one id are ordered by a hash of their text and may fill several shards; the last key only tells equal rows apart.
+    order = ["doc_id", "tie", "row"]
+    keyed = texts.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ranged.mapInArrow(write_shard, SHARDS).write.parquet(f"{path}/manifest")
     return read_manifest(docs.sparkSession, path)
 
