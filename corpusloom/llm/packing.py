@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,14 +151,15 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 0, capacity:
     groups = spread(rest.count(), GROUP_PIECES)
     rest = rest.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
 
-    def pack_group(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("row")
+    def pack_group(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("row")
         bins = Bins(rows["length"].to_numpy(), capacity)
         bins.search()
         number, offset = bins.places()
-        return rows.assign(sequence_id=rows["group"] * (1 << 32) + number, offset=offset)[[*names, "sequence_id", "offset"]]
+        group = rows["group"][0].as_py() << 32
+        return rows.select(names).append_column("sequence_id", pa.array(group + number)).append_column("offset", pa.array(offset))
 
-    packed = rest.groupBy("group").applyInPandas(pack_group, f"{PIECES}, sequence_id long, offset long")
+    packed = rest.groupBy("group").applyInArrow(pack_group, f"{PIECES}, sequence_id long, offset long")
     return full.unionByName(packed)
 
 
