@@ -38,7 +38,8 @@ def lower(text):
 def test_sql_twins(spark, name):
     got = queries.QUERIES[name](spark, SMALL)
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
+    for table in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SMALL}/{table}.parquet')")
     want = c.execute(queries.ORACLES[name])
     names = sorted(x[0] for x in want.description)
     plain = lambda r: tuple(round(v, 6) if isinstance(v, float) else v for v in r)
