@@ -7,33 +7,110 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import written
 
-#: In this order after the path as it is written; then index files.
-EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".json", ".css"]
+# The extensions that a path without one may have, in the order in which they are tried.
+EXTENSIONS = [".tsx", ".ts", ".jsx", ".js", ".mjs", ".cjs", ".mts", ".cts"]
+# Fixed value: extensions that may stand for one of those above.
+SWAPPED = r"\.(js|jsx|mjs)$"
+#: After all aliases.
+LAST = 1 << 30
 
 
 def normal_path(path):
-    """A path without `.` and `..` segments."""
+    """A path without `.` and `..` segments, but for leading `..` ones, which lead out of the tree."""
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(p == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p))))
-    return F.array_join(folded, "/")
+    up = lambda done: (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+    step = lambda done, p: F.when((p == "..") & up(done), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
-def resolve_modules(imports: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
+def alias_rows(spark, aliases: dict[str, str]) -> DataFrame:
+    """Alias rows of `prefix -> folder` pairs, in their order."""
+    rows = [(k, f"{prefix}*", 0, f"{folder}*") for k, (prefix, folder) in enumerate(aliases.items())]
+    return spark.createDataFrame(rows, "place int, pattern string, target_place int, target string")
+
+
+def possible_bases(specs: DataFrame, aliases: DataFrame | None, by: list[str]) -> DataFrame:
+    """specs (by, source) with base, a path that the specifier may mean, and alias_place, target_place, its order among these.
+
+    A specifier's beginnings are joined with the text before the star of each pattern, so that no specifier meets an alias that it doesn't begin with;
+    a pattern without a star must be the whole specifier.
+    """
+    as_written = specs.select(*by, "source", F.col("source").alias("base"), F.lit(LAST).alias("alias_place"), F.lit(0).alias("target_place"))
+    if aliases is None:
+        return as_written
+    star = F.instr("pattern", "*")
+    known = aliases.select(
+        *by, F.col("place").alias("alias_place"), "target_place", "target", (star > 0).alias("open"),
+        F.when(star > 0, F.expr("substring(pattern, 1, instr(pattern, '*') - 1)")).otherwise(F.col("pattern")).alias("prefix"),
+        F.when(star > 0, F.expr("substring(pattern, instr(pattern, '*') + 1)")).otherwise("").alias("suffix"),
+    )
+    begins = specs.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("source")), lambda n: F.substring("source", F.lit(1), n))))
+    fits = F.when(F.col("open"), F.endswith("source", "suffix")).otherwise(F.col("source") == F.col("prefix"))
+    both = begins.join(known, [*by, "prefix"]).where(fits)
+    middle = F.expr("substring(source, length(prefix) + 1, greatest(length(source) - length(prefix) - length(suffix), 0))")
+    at = F.instr("target", "*")
+    filled = F.when(F.col("open") & (at > 0), F.concat(F.expr("substring(target, 1, instr(target, '*') - 1)"), middle, F.expr("substring(target, instr(target, '*') + 1)"))).otherwise(F.col("target"))
+    below = both.select(*by, "source", filled.alias("base"), "alias_place", "target_place").where(~F.startswith("base", F.lit("/")))
+    return as_written.unionByName(below)
+
+
+def resolve_modules(imports: DataFrame, files: DataFrame, aliases: DataFrame | dict[str, str] | None = None, bases: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """imports (path, source) with resolved, the file a specifier means, null where it is external.
 
-    Relative specifiers start from the importing file's folder; others go through the first alias `prefix -> folder` that
-    fits. Candidates are tried in order: as written, with each extension, .ts for .js, index files.
+    Relative specifiers start from the importing file's folder. Others go through all aliases that fit, in their order and that of their
+    targets, then the base folder, until a file is found. aliases has place, pattern (with a star or without), target_place and target, under the
+    base folder as it is; a dict maps prefixes to folders. bases has base, one row; without it the root is the base. With `by`, such as a project's root, all tables have
+    these columns and only rows that agree in them meet.
+
+    Of a path, these are tried: as it is written, if it has an extension; with each of EXTENSIONS; without .js, .jsx or .mjs and with each of them; as a folder
+    with an index file. Files are known under the paths that they answer to, so that a specifier is a few rows, not one for each try.
+    A path that leads out of the tree, or ends in a slash without a folder's index, is external.
     """
-    spec, folder = F.col("source"), F.regexp_replace("path", r"[^/]*$", "")
-    base = F.when(spec.startswith("."), normal_path(F.concat(folder, spec)))
-    for prefix, target in (aliases or {}).items():
-        base = F.coalesce(base, F.when(spec.startswith(prefix), normal_path(F.concat(F.lit(target), F.substring(spec, len(prefix) + 1, 1 << 30)))))
-    distinct = imports.select("path", "source").distinct().withColumn("base", base)
-    tries = [F.col("base"), *[F.concat("base", F.lit(e)) for e in EXTENSIONS], F.regexp_replace("base", r"\.js$", ".ts"), *[F.concat("base", F.lit(f"/index{e}")) for e in EXTENSIONS[:4]]]
-    candidates = distinct.select("path", "source", F.posexplode(F.array(*tries)).alias("priority", "file"))
-    hits = candidates.join(files.select(F.col("path").alias("file")).distinct(), "file")
-    best = hits.groupBy("path", "source").agg(F.min_by("file", "priority").alias("resolved"))
-    return imports.join(best, ["path", "source"], "left")
+    keys = list(by)
+    if isinstance(aliases, dict):
+        aliases = alias_rows(imports.sparkSession, aliases)
+    distinct = imports.select(*keys, "path", "source").distinct()
+    folder = F.regexp_replace("path", r"[^/]*$", "")
+    relative = distinct.where(F.startswith("source", F.lit("."))).select(*keys, "source", folder.alias("folder")).distinct()
+    relative = relative.select(*keys, "source", "folder", F.concat("folder", "source").alias("base"), F.lit(0).alias("alias_place"), F.lit(0).alias("target_place"))
+    others = possible_bases(distinct.where(~F.startswith("source", F.lit("."))).select(*keys, "source").distinct(), aliases, keys)
+    if bases is not None:
+        below = bases.select(*keys, F.col("base").alias("root_folder"))
+        others = others.join(below, keys, "left") if keys else others.join(below, F.lit(True), "left")
+        others = others.withColumn("base", F.when(F.col("alias_place") == LAST, F.concat_ws("/", F.nullif("root_folder", F.lit("")), "base")).otherwise(F.col("base"))).drop("root_folder")
+    outside = F.startswith("source", F.lit("/"))
+    rows = relative.unionByName(others.where(~outside).withColumn("folder", F.lit(None).cast("string")))
+    slash, whole = F.col("base").rlike("(^|/)$"), normal_path(F.col("base"))
+    rows = rows.withColumn("open", slash & (F.col("folder").isNotNull())).withColumn("base", whole)
+    swapped = F.regexp_replace("base", SWAPPED, "")
+    row = lambda key, kind, rank: F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
+    asks = F.filter(
+        F.array(
+            F.when(~F.col("open"), row(F.col("base"), "file", 0)), F.when(~F.col("open"), row(F.col("base"), "stem", 1)),
+            F.when(~F.col("open") & (swapped != F.col("base")), row(swapped, "stem", 2)), row(F.col("base"), "index", 3),
+        ), lambda x: x.isNotNull(),
+    )
+    asked = rows.select(*keys, "source", "folder", "alias_place", "target_place", F.inline(asks))
+    place = F.create_map(*[F.lit(x) for k, e in enumerate(EXTENSIONS) for x in (e, k)])
+    extension = F.regexp_extract("file", r"(\.[a-z]+)$", 1)
+    stem, nth = F.expr("substring(file, 1, length(file) - length(regexp_extract(file, '([.][a-z]+)$', 1)))"), F.try_element_at(place, extension)
+    answer = lambda key, kind, n: F.struct(key.alias("key"), F.lit(kind).alias("kind"), n.alias("nth"))
+    answers = F.filter(
+        F.array(
+            F.when(F.col("file").rlike(r"(^|/)[^/]+\.[^/]*$"), answer(F.col("file"), "file", F.lit(0))),
+            F.when(nth.isNotNull(), answer(stem, "stem", nth)),
+            F.when(nth.isNotNull() & stem.rlike("(^|/)index$"), answer(F.regexp_replace(stem, "/?index$", ""), "index", nth)),
+        ), lambda x: x.isNotNull(),
+    )
+    known = files.select(*keys, F.col("path").alias("file")).distinct().select(*keys, "file", F.inline(answers))
+    hits = asked.join(known, [*keys, "key", "kind"])
+    best = hits.groupBy(*keys, "source", "folder").agg(F.min_by("file", F.struct("alias_place", "target_place", "rank", "nth")).alias("resolved"))
+    own = imports.withColumn("_folder", F.when(F.startswith("source", F.lit(".")), folder))
+    found = best.select(*[F.col(k).alias(f"_by_{k}") for k in keys], F.col("source").alias("_source"), F.col("folder").alias("_of"), "resolved")
+    meets = (F.col("source") == F.col("_source")) & F.col("_folder").eqNullSafe(F.col("_of"))
+    for k in keys:
+        meets = meets & (F.col(k) == F.col(f"_by_{k}"))
+    return own.join(found, meets, "left").select(*imports.columns, "resolved")
 
 
 def last_binding(local: DataFrame, imported: DataFrame, keys: list[str], order: str) -> DataFrame:
