@@ -5,24 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import LEASE_MINUTES
+from ..streaming import session_engine as E
 from ..streaming.leases import lease_sessions, run_once
 
 
+def events_stream(spark, d) -> DataFrame:
+    """The events' files as a stream: a folder's files, or the one file, as the stream takes a pattern."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+
+
 def lease_stream(spark, d) -> DataFrame:
     """Every user's leases that have ended, from a stream of the events' files."""
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    # A folder's files, or the one file: the stream takes a pattern.
-    beats = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    beats = events_stream(spark, d)
     leases = run_once(lease_sessions(beats.select("user_id", "ts"), "user_id", "ts", "0 seconds"), "leases")
     return leases.select("user_id", F.unix_micros("started").alias("started_us"), F.unix_micros("expires").alias("expires_us"), "beats")
 
 
-QUERIES = {"lease_stream": lease_stream}
+def session_audit(spark, d) -> DataFrame:
+    """The audit log of runs whose sessions start, resume, checkpoint, beat and end, and of leases that run out, from a stream of the events' files."""
+    own = spark.newSession()  # the state store is a setting of a session
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", E.ROCKSDB)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    out = run_once(E.session_stream(E.event_commands(events_stream(own, d)), "ts"), "session-audit")
+    return spark.read.schema(E.AUDIT).parquet(*out.inputFiles()) if out.inputFiles() else spark.createDataFrame([], E.AUDIT)
+
+
+QUERIES = {"lease_stream": lease_stream, "session_audit": session_audit}
 ORACLES = {
     "lease_stream": """
 WITH gaps AS (
   SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 15 MINUTE, true) AS new FROM events),
 numbered AS (SELECT user_id, ts, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM gaps),
 leases AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 15 MINUTE AS expires, count(*) AS beats FROM numbered GROUP BY user_id, n)
-SELECT user_id, epoch_us(started) AS started_us, epoch_us(expires) AS expires_us, beats FROM leases WHERE expires <= (SELECT max(ts) FROM events)"""
+SELECT user_id, epoch_us(started) AS started_us, epoch_us(expires) AS expires_us, beats FROM leases WHERE expires <= (SELECT max(ts) FROM events)""",
+    "session_audit": f"""
+WITH RECURSIVE commands AS (
+  SELECT 'run' || (user_id // 10) AS run, epoch_us(ts) AS "at", event_id AS seq, 's' || user_id AS session,
+    CASE event_type WHEN 'signup' THEN 'start' WHEN 'error' THEN 'resume' WHEN 'click' THEN 'checkpoint' WHEN 'view' THEN 'heartbeat' ELSE 'end' END AS action,
+    value >= 50 AS step, CAST(floor(value) AS BIGINT) AS amount,
+    row_number() OVER (PARTITION BY user_id // 10 ORDER BY ts, event_id) AS n FROM events),
+passed AS (SELECT (max("at") // 1000 - 3600000) * 1000 AS mark FROM commands),
+-- The state before a run's nth command: who holds it, since when, and what is known.
+states AS (
+  SELECT run, 1::BIGINT AS n, NULL::VARCHAR AS holder, 0::BIGINT AS beat, false AS ever, 0::BIGINT AS done, 0::BIGINT AS spent, NULL::VARCHAR AS outcome FROM (SELECT DISTINCT run FROM commands)
+  UNION ALL
+  SELECT s.run, s.n + 1,
+    CASE WHEN takes THEN session WHEN holds AND action = 'end' THEN NULL ELSE live END,
+    CASE WHEN takes OR (holds AND action <> 'end') THEN "at" ELSE beat END, ever OR takes,
+    done + CASE WHEN holds AND action = 'checkpoint' AND step THEN 1 ELSE 0 END,
+    CASE WHEN holds AND action = 'checkpoint' THEN greatest(spent, amount) ELSE spent END,
+    CASE WHEN takes AND ever THEN 'attached' WHEN takes THEN 'started' WHEN action IN ('start', 'resume') THEN 'refused' WHEN NOT holds THEN 'not held' WHEN action = 'end' THEN 'ended'
+      WHEN action = 'checkpoint' THEN 'recorded' ELSE 'alive' END
+  FROM (
+    SELECT s.*, c."at", c.session, c.action, c.step, c.amount, CASE WHEN c."at" - beat < {LEASE_MINUTES * 60_000_000} THEN holder END AS live,
+      c.action IN ('start', 'resume') AND coalesce(CASE WHEN c."at" - beat < {LEASE_MINUTES * 60_000_000} THEN holder END, c.session) = c.session AS takes,
+      c.action NOT IN ('start', 'resume') AND coalesce(CASE WHEN c."at" - beat < {LEASE_MINUTES * 60_000_000} THEN holder END = c.session, false) AS holds
+    FROM states s JOIN commands c ON c.run = s.run AND c.n = s.n) s),
+after AS (SELECT s.*, c."at", c.seq, c.session, c.action, lead(c."at") OVER (PARTITION BY s.run ORDER BY s.n) AS next_at FROM states s JOIN commands c ON c.run = s.run AND c.n = s.n - 1)
+SELECT run, "at", seq, session, action, outcome, holder AS held_by, done, spent FROM after, passed WHERE "at" < mark
+UNION ALL
+SELECT run, beat + {LEASE_MINUTES * 60_000_000}, -1, holder, 'expire', 'expired', NULL, done, spent FROM after, passed
+WHERE holder IS NOT NULL AND "at" < mark AND beat + {LEASE_MINUTES * 60_000_000} < mark AND (next_at IS NULL OR next_at >= mark OR next_at >= beat + {LEASE_MINUTES * 60_000_000})
+""",
 }
