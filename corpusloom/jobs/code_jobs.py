@@ -164,8 +164,8 @@ def changes(spark, d) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("change"), F.col("o_orderkey").alias("order_key"), F.replace(path, F.lit("@"), F.col("o_orderkey").cast("string")).alias("file"), state.alias("status"), "o_totalprice", "o_orderpriority")
 
 
-def gate_rollup(spark, d) -> DataFrame:
-    """Each change set's problems by check, and its verdict: critical secrets, ownership, unplanned and scratch files, new findings, references that must not ship."""
+def gate_checks(spark, d) -> dict[str, DataFrame]:
+    """The problems of the change sets by check: critical secrets, ownership, unplanned and scratch files, new findings, references that must not ship."""
     changed = changes(spark, d)
     lines = changed.where("status <> 'D'").select("change", "order_key").join(code_lines(spark, d), "order_key")
     secrets = rules.secrets(lines, "file", "change").unionByName(rules.public_secrets(lines, "file", "change")).where("severity = 'critical'")
@@ -178,7 +178,7 @@ def gate_rollup(spark, d) -> DataFrame:
     findings = R.code_findings(lines, tokens(spark, d), is_next=True, tailwind=True).where("severity in ('critical', 'high')").select("rule", "file", "line")
     baseline = R.code_findings(lines.where("line <= 2"), tokens(spark, d), is_next=True, tailwind=True).select("rule", "file", "line")
     new = G.new_findings(findings, changed.where("status <> 'D'"), baseline, "file", ["rule", "file", "line"])
-    checks = {
+    return {
         "secrets": secrets,
         "ownership": by_file(unowned),
         "unplanned": by_file(unplanned),
@@ -186,7 +186,11 @@ def gate_rollup(spark, d) -> DataFrame:
         "findings": by_file(new.withColumnRenamed("file", "path")),
         "forbidden": G.forbidden_references(lines),
     }
-    return G.rollup(checks, changed, "change")
+
+
+def gate_rollup(spark, d) -> DataFrame:
+    """Each change set's problems by check, and its verdict."""
+    return G.rollup(gate_checks(spark, d), changes(spark, d), "change")
 
 
 def registry_problems(spark, d) -> DataFrame:

@@ -103,3 +103,27 @@ def verdict(problems: DataFrame, blocking: Column, by: list[str]) -> DataFrame:
     """PASS or BLOCK for each group, with the number of blocking rows."""
     out = problems.groupBy(*by).agg(F.count_if(blocking).alias("blocking"))
     return out.withColumn("verdict", F.when(F.col("blocking") > 0, "BLOCK").otherwise("PASS"))
+
+
+def landed_clusters(members: DataFrame, changed: DataFrame, node: str = "node", cluster: str = "component") -> DataFrame:
+    """cluster, size, landed: clusters of two or more that a changed member stands in, and how many do."""
+    marked = members.join(changed.select(node).distinct().withColumn("_changed", F.lit(1)), node, "left")
+    sizes = marked.groupBy(cluster).agg(F.count("*").alias("size"), F.count("_changed").alias("landed"))
+    return sizes.where("size > 1 and landed > 0")
+
+
+def comment_density(lines: DataFrame) -> DataFrame:
+    """file, comment_lines, filled_lines, density (of the filled lines, to four places) of source lines (file, line, text).
+
+    A line is one of comment if a comment begins on it, outside quotes, or goes on there from a line above. A file's lines meet in one window; files are bounded by the scan.
+    """
+    bare = F.regexp_replace("text", r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`\\]|\\.)*`", "''")
+    # What is open after a line: the last mark on it says so, else the last one on a line above.
+    marks = F.regexp_extract_all(bare, F.lit(r"(/\*|\*/|//.*)"), F.lit(1))
+    blocks = F.filter(marks, lambda m: ~F.startswith(m, F.lit("//")))
+    above = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.select("file", "line", "text", F.size(marks).alias("marks"), F.try_element_at(blocks, F.lit(-1)).alias("mark"))
+    inside = F.coalesce(F.last("mark", ignorenulls=True).over(above) == "/*", F.lit(False))
+    judged = rows.select("file", (inside | (F.col("marks") > 0)).alias("comment"), (F.trim(F.regexp_replace("text", r"\s", " ")) != "").alias("filled"))
+    sums = judged.groupBy("file").agg(F.count_if("comment").alias("comment_lines"), F.count_if("filled").alias("filled_lines"))
+    return sums.withColumn("density", F.when(F.col("filled_lines") > 0, F.round(F.col("comment_lines") / F.col("filled_lines"), 4)).otherwise(0.0))
