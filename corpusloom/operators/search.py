@@ -39,6 +39,24 @@ def score(hits: Column, usage: Column, deprecated: Column) -> Column:
     return F.when(hits > 0, hits + bonus - F.when(deprecated, V.DEPRECATED_COST).otherwise(0)).otherwise(0).cast("long")
 
 
+def reasons(query: str, name: Column, usage: Column, deprecated: Column, path: Column | None = None, hosts: Column | None = None, props: Column | None = None, file_class: Column | None = None, exported: Column | None = None) -> Column:
+    """Why a row scores as it does, as an array: for each token of the query where it was found, then what the score gains by use and loses; empty without a hit."""
+    names, parts = name_tokens(name), []
+    for token in query_tokens_of(query):
+        t = F.lit(token)
+        parts.append(F.when(F.array_contains(names, t), f"name:{token}").when(F.exists(names, begins_with(t)), f"name~{token}"))
+        for kind, where in (("prop", props), ("path", None if path is None else query_tokens(path)), ("host", hosts)):
+            if where is not None:
+                parts.append(F.when(F.array_contains(where, t), f"{kind}:{token}"))
+    more = [F.when(usage > 0, F.concat(F.lit("usage:"), usage.cast("string"))), F.when(deprecated, "deprecated")]
+    if file_class is not None:
+        more.append(F.when(file_class.isin("test", "story"), F.concat(F.lit("class:"), file_class)))
+    if exported is not None:
+        more.append(F.when(~exported, "not-exported"))
+    found = F.array_compact(F.array(*parts)) if parts else F.array().cast("array<string>")
+    return F.when(F.size(found) > 0, F.concat(found, F.array_compact(F.array(*more)))).otherwise(F.array().cast("array<string>"))
+
+
 def search(entities: DataFrame, query: str, limit: int | None = 20, name="name", path="path", host="host", usage="usage_count", key="id") -> DataFrame:
     """entities with hits, deprecated and score, best first; those at 0 or less go where the query has tokens. Ties by usage, then key."""
     hits = hit_points(query, F.col(name), F.col(path), F.col(host))
@@ -60,6 +78,12 @@ def precedents(entities: DataFrame, query: str, limit: int = 8, recency: str = "
     return best.withColumn("rank", F.row_number().over(order))
 
 
+def precedent_report(ranked: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """ranked, the few rows of precedents(), with cluster (from members: key, cluster; null where it has none) and clusters, of how many clusters all of them are: 1 where none has one."""
+    named = ranked.join(members.select(key, "cluster").join(F.broadcast(ranked.select(key)), key, "left_semi"), key, "left")
+    return named.withColumn("clusters", F.greatest(F.size(F.collect_set("cluster").over(Window.partitionBy())), F.lit(1)))
+
+
 def find_by_name(entities: DataFrame, wanted: str, name: str = "name", key: str = "id") -> DataFrame:
     """Rows with this key or name; only where there is none, those whose name is equal in another case."""
     exact = (F.col(name) == wanted) | (F.col(key).cast("string") == wanted)
