@@ -267,3 +267,10 @@ ROLE_ROUTING = {
 DIGEST_SHARDS = ["00-DIGEST.md", "90-open-questions.md"]
 # Which roles count as experts.
 EXPERT = r"-expert$|^fe-ux-analyst$|^fe-devils-advocate$"
+
+# What fetches data, and the hooks that count as state, effects and contexts.
+FETCHES = r"\b(fetch\s*\(|axios\.|useQuery\s*\(|useSWR\s*\(|useMutation\s*\()"
+HOOK_KINDS = {"state": ["useState", "useReducer"], "effects": ["useEffect", "useLayoutEffect", "useInsertionEffect"], "contexts": ["useContext"]}
+# Attributes that name a form field, and words that tell of cleaned markup.
+LABELS = ["aria-label", "aria-labelledby", "id", "placeholder", "title"]
+SANITIZED = r"(?i)sanitiz|DOMPurify|purify|clean\("

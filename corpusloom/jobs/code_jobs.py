@@ -56,7 +56,7 @@ def neighbourhood(spark, d) -> DataFrame:
 
 def convention_summary(spark, d) -> DataFrame:
     """What the code base does most in each of the categories."""
-    return N.summary(N.pattern_counts(code_lines(spark, d), "text", V.COUNTERS), V.CONVENTIONS)
+    return N.summary(N.pattern_counts(code_lines(spark, d), "text", V.COUNTERS, repeated=True), V.CONVENTIONS)
 
 
 def bindings(spark, d) -> DataFrame:

@@ -189,7 +189,7 @@ def bounded_reports(spark, d) -> DataFrame:
 def search_reasons(spark, d) -> DataFrame:
     """Every part that the request finds, with the reasons for its score."""
     host = F.array(F.lower("host"))
-    found = S.search(parts_as_entities(spark, d), REQUEST, None)
+    found = S.search(parts_as_entities(spark, d), REQUEST, None, ordered=False)
     why = S.reasons(REQUEST, F.col("name"), F.col("usage_count"), F.col("deprecated"), F.col("path"), host)
     return found.select("id", "score", F.array_join(why, " ").alias("why"))
 

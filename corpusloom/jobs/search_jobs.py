@@ -52,7 +52,7 @@ scored AS (
 
 def search_score(spark, d) -> DataFrame:
     """Every part's points for the request, without a limit."""
-    return S.search(parts_as_entities(spark, d), REQUEST, None).select("id", "name", "hits", "deprecated", "score", "usage_count")
+    return S.search(parts_as_entities(spark, d), REQUEST, None, ordered=False).select("id", "name", "hits", "deprecated", "score", "usage_count")
 
 
 def search_filtered(spark, d) -> DataFrame:
@@ -75,7 +75,7 @@ def find_by_name(spark, d) -> DataFrame:
 
 def findings_filtered(spark, d) -> DataFrame:
     """Findings of some rules, high or worse, in files with a 7, no guesses among them."""
-    return S.signals(events_as_findings(spark, d), "err,pur", "high", "7", heuristic=False, limit=None)
+    return S.signals(events_as_findings(spark, d), "err,pur", "high", "7", heuristic=False, limit=None, ordered=False)
 
 
 def findings_top(spark, d) -> DataFrame:

@@ -99,10 +99,9 @@ def file_counts(lines: DataFrame) -> DataFrame:
     """file, lines, state, effects, contexts (how many kinds of such hooks it calls), fetches, and complexity, from sums over its lines."""
     has = lambda p: F.bool_or(F.coalesce(F.col("text").rlike(p), F.lit(False)))
     kinds = lambda *names: sum((has(rf"\b{n}\s*\(").cast("int") for n in names), F.lit(0))
-    fetches = r"\b(fetch\s*\(|axios\.|useQuery\s*\(|useSWR\s*\(|useMutation\s*\()"
     return lines.groupBy("file").agg(
-        F.count("*").alias("lines"), kinds("useState", "useReducer").alias("state"), kinds("useEffect", "useLayoutEffect", "useInsertionEffect").alias("effects"), kinds("useContext").alias("contexts"),
-        has(fetches).alias("fetches"), (F.sum(complexity(F.coalesce("text", F.lit(""))) - 1) + 1).alias("complexity"),
+        F.count("*").alias("lines"), *[kinds(*names).alias(kind) for kind, names in V.HOOK_KINDS.items()],
+        has(V.FETCHES).alias("fetches"), (F.sum(complexity(F.coalesce("text", F.lit(""))) - 1) + 1).alias("complexity"),
     )
 
 

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pattern_counts(texts: DataFrame, text: str, counters: dict[str, str]) -> DataFrame:
-    """category, option, hits: matches of each counter `category.option` over all texts, in one pass."""
-    sums = texts.select(*[F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)).alias(f"c{k}") for k, p in enumerate(counters.values())]).agg(
+def pattern_counts(texts: DataFrame, text: str, counters: dict[str, str], repeated: bool = False) -> DataFrame:
+    """category, option, hits: matches of each counter `category.option` over all texts, in one pass.
+
+    With repeated, as for lines of source, equal texts meet first, where each task has them, and are matched once.
+    """
+    rows, times = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text")), F.lit(1)
+    if repeated:
+        rows, times = rows.groupBy("text").agg(F.count("*").alias("times")), F.col("times")
+    sums = rows.select(*[(F.regexp_count("text", F.lit(p)) * times).alias(f"c{k}") for k, p in enumerate(counters.values())]).agg(
         *[F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"c{k}") for k in range(len(counters))]
     )
     rows = [F.struct(F.lit(name.split(".", 1)[0]).alias("category"), F.lit(name.split(".", 1)[1]).alias("option"), F.col(f"c{k}").alias("hits")) for k, name in enumerate(counters)]

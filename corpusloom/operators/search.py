@@ -57,14 +57,18 @@ def reasons(query: str, name: Column, usage: Column, deprecated: Column, path: C
     return F.when(F.size(found) > 0, F.concat(found, F.array_compact(F.array(*more)))).otherwise(F.array().cast("array<string>"))
 
 
-def search(entities: DataFrame, query: str, limit: int | None = 20, name="name", path="path", host="host", usage="usage_count", key="id") -> DataFrame:
-    """entities with hits, deprecated and score, best first; those at 0 or less go where the query has tokens. Ties by usage, then key."""
+def search(entities: DataFrame, query: str, limit: int | None = 20, name="name", path="path", host="host", usage="usage_count", key="id", ordered: bool = True) -> DataFrame:
+    """entities with hits, deprecated and score, best first, ties by usage, then key; those at 0 or less go where the query has tokens.
+
+    Without a limit, ordered=False spares the sort of all rows.
+    """
     hits = hit_points(query, F.col(name), F.col(path), F.col(host))
     out = entities.withColumn("hits", hits).withColumn("deprecated", deprecated_name(F.col(name)))
     out = out.withColumn("score", score(F.col("hits"), F.col(usage), F.col("deprecated")))
     if query_tokens_of(query):
         out = out.where("score > 0")
-    out = out.orderBy(F.desc("score"), F.desc(usage), key)
+    if ordered or limit is not None:
+        out = out.orderBy(F.desc("score"), F.desc(usage), key)
     return out.limit(limit) if limit is not None else out
 
 
@@ -161,8 +165,8 @@ def severity_rank(severity: Column) -> Column:
     return out
 
 
-def signals(findings: DataFrame, rules: str | None = None, at_least: str | None = None, file_part: str | None = None, heuristic: bool = True, limit: int | None = 100) -> DataFrame:
-    """Findings (rule, severity, file, line, heuristic) by severity and file; rules is a comma list of prefixes in any case."""
+def signals(findings: DataFrame, rules: str | None = None, at_least: str | None = None, file_part: str | None = None, heuristic: bool = True, limit: int | None = 100, ordered: bool = True) -> DataFrame:
+    """Findings (rule, severity, file, line, heuristic) by severity and file; rules is a comma list of prefixes in any case. Without a limit, ordered=False spares the sort."""
     out = findings
     if rules:
         match = F.lit(False)
@@ -176,5 +180,6 @@ def signals(findings: DataFrame, rules: str | None = None, at_least: str | None
         out = out.where(F.col("file").contains(file_part))
     if not heuristic:
         out = out.where(~F.col("heuristic"))
-    out = out.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "rule")
+    if ordered or limit is not None:
+        out = out.orderBy(severity_rank(F.col("severity")).desc(), "file", "line", "rule")
     return out.limit(limit) if limit is not None else out

@@ -57,12 +57,12 @@ def unused_attributes(stats: DataFrame, usage: DataFrame, target: str, min_usage
 
 
 def external_usage(*sources: tuple[DataFrame, str]) -> DataFrame:
-    """Uses of each package over several tables, each with the column that names the package; most used first."""
+    """Uses of each package over several tables, each with the column that names the package."""
     out = None
     for df, column in sources:
         part = df.groupBy(F.col(column).alias("package")).agg(F.count("*").alias("n"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("package").agg(F.sum("n").alias("uses")).orderBy(F.desc("uses"), "package")
+    return out.groupBy("package").agg(F.sum("n").alias("uses"))
 
 
 def orphans(exported: DataFrame, used: DataFrame, key: str, target: str, entry: Column | None = None) -> DataFrame:
