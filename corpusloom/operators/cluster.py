@@ -11,13 +11,18 @@ from ..sources.storage import written
 from .components import connected_components
 
 
-def shingles(text: Column, width: int = 5) -> Column:
-    """Distinct hashes of `width` consecutive lower-case words; none for fewer words."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+def with_shingles(rows: DataFrame, text: str, name: str = "s", width: int = 5) -> DataFrame:
+    """rows with an array of the distinct hashes of `width` consecutive lower-case words of a text, none for fewer words.
+
+    The words are a column of their own on the way, as an expression that uses them several times would split the text as often.
+    """
+    split = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+"), "")
+    rows, words = rows.withColumn("_words", split), F.col("_words")
     n = F.size(words) - (width - 1)
     # Shifted slices side by side: linear in the words, where slicing a window at each of them is not.
     zipped = F.arrays_zip(*[F.slice(words, k + 1, F.greatest(n, F.lit(0))).alias(f"w{k}") for k in range(width)])
-    return F.when(n > 0, F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(z)))).otherwise(F.array().cast("array<bigint>"))
+    found = F.when(n > 0, F.array_distinct(F.transform(zipped, lambda z: F.xxhash64(z)))).otherwise(F.array().cast("array<bigint>"))
+    return rows.withColumn(name, found).drop("_words")
 
 
 def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -27,8 +32,9 @@ def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: i
     Pairs are found by a prefix filter: two sets alike enough share one of the rarest (100 - percent)% or so of
     either's shingles, so that only these are joined, and frequent shingles join nothing.
     """
-    sets = texts.select(F.col(key).alias("key"), F.array_sort(shingles(F.col(text), width)).alias("s")).where(F.size("s") > 0)
-    sets = written(sets.withColumn("same", F.xxhash64("s")).withColumn("n", F.size("s")), "shingles")
+    sets = with_shingles(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "s", width).select("key", F.array_sort("s").alias("s"))
+    # Empty sets go when the table is read: asked for before, their size would have all sets made twice.
+    sets = written(sets.withColumn("same", F.xxhash64("s")).withColumn("n", F.size("s")), "shingles").where("n > 0")
     classes = written(sets.groupBy("same", "n").agg(F.min("key").alias("class")), "shingle-classes")
     members = sets.join(classes, ["same", "n"]).select("key", "class")
     # Rows whose set is a class's: any one stands for it.
@@ -53,10 +59,9 @@ def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: i
 def near_clusters(texts: DataFrame, key: str, text: str, width: int = 5, percent: int = 75) -> DataFrame:
     """key, cluster (its least key), size and place for each member of a cluster of two or more."""
     members, pairs = near_pairs(texts, key, text, width, percent)
-    # A class links to itself, so that classes without a pair are clusters too.
-    edges = pairs.select("a", "b").union(members.select(F.col("class").alias("a"), F.col("class").alias("b")).distinct())
-    component = connected_components(edges, "a", "b")
-    named = members.join(component, F.col("class") == F.col("node")).select("key", F.col("component").alias("cluster"))
+    component = connected_components(pairs, "a", "b")
+    # A class without a pair is a cluster by itself.
+    named = members.join(component, F.col("class") == F.col("node"), "left").select("key", F.coalesce("component", "class").alias("cluster"))
     sizes = named.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
     return named.join(sizes, "cluster").select("key", "cluster", "size")
 
@@ -65,7 +70,7 @@ def body_clusters(bodies: DataFrame, key: str, source: str, percent: int = 62) -
     """key, cluster, size for bodies of source that are percent alike by five-token shingles once all names are taken as one; bodies with under three
     shingles are like no other."""
     tokens = bodies.select(key, normalized_tokens(F.col(source)).alias("tokens"))
-    texts = tokens.select(key, F.array_join("tokens", " ").alias("text")).where(F.size(shingles(F.col("text"))) >= 3)
+    texts = with_shingles(tokens.select(key, F.array_join("tokens", " ").alias("text")), "text").where(F.size("s") >= 3).select(key, "text")
     return near_clusters(texts, key, "text", 5, percent)
 
 
