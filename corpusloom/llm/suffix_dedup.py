@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,16 @@ def word_hashes(chunk: Chunk) -> np.ndarray:
     return own[chunk.index]
 
 
+def first_minima(values: np.ndarray, span: int) -> np.ndarray:
+    """The place of the first least value among each `span` consecutive ones, by windows that double."""
+    best, width = np.arange(len(values)), 1
+    while width < span:
+        step = min(width, span - width)
+        left, right = best[:-step], best[step:]
+        best, width = np.where(values[right] < values[left], right, left), width + step
+    return best
+
+
 def minimisers(chunk: Chunk, words: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows of width + span - 1 words; for each the place of the window of `width` words that has the least hash
     among the `span` inside it; and these windows' hashes."""
@@ -31,7 +40,7 @@ def minimisers(chunk: Chunk, words: np.ndarray, width: int, span: int) -> tuple[
         return starts, starts, np.empty(0, np.uint64)
     hashes = window_hashes(words, width)
     order = mix64(hashes ^ np.uint64(0xA5A5A5A5))
-    places = starts + sliding_window_view(order, span)[starts].argmin(axis=1)
+    places = first_minima(order, span)[starts]
     return starts, places, hashes[places]
 
 

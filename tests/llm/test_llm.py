@@ -297,7 +297,7 @@ def suffix_covered(spark, texts, **sizes):
 
 
 def test_suffix_dedup_across_parts(spark):
-    """Pairs that a boundary between parts of the sort splits are extended on both sides."""
+    """Passages whose words are dealt over many parts and chunks are found whole."""
     rng, texts = random.Random(11), []
     for _ in range(60):
         passage = words(rng, 50)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from corpusloom.llm import hard_negatives, language_id, merkle, packing, queries, token_files, toxicity
+from corpusloom.llm import hard_negatives, language_id, merkle, packing, queries, suffix_dedup, token_files, toxicity
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the tables are not here")
@@ -237,3 +237,10 @@ def test_packing_keeps_large_ids_beside_null(spark):
     docs = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string").coalesce(1)
     got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
     assert {r.doc_id for r in got} == set(ids) and {r.sequence_id for r in got} == {got[0].sequence_id}
+
+
+def test_first_minima():
+    rng = np.random.default_rng(3)
+    for n, span in ((100, 20), (20, 20), (50, 1), (57, 7), (1000, 32)):
+        values = rng.integers(0, 9, n).astype(np.uint64)
+        assert suffix_dedup.first_minima(values, span).tolist() == [i + int(values[i : i + span].argmin()) for i in range(n - span + 1)]
