@@ -35,6 +35,5 @@ ORACLES = {
     "op4_quality_rules": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_mix_sources": OP8_SQL,
-    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_hard_negatives": OP12_SQL,
 }
