@@ -52,10 +52,9 @@ def package_of(spec: Column) -> Column:
     return F.when(spec.rlike(r"^[./]"), None).otherwise(F.coalesce(F.nullif(scoped, F.lit("")), F.nullif(plain, F.lit(""))))
 
 
-def jaccard(common: Column, a: Column, b: Column) -> Column:
-    """common / (a + b - common) as an integer in thousandths, rounded half up; 0 for two empty sets."""
-    union = a + b - common
-    return F.when(union > 0, F.floor(common * 1000 / union + 0.5)).otherwise(0).cast("long")
+def jaccard(common: Column, union: Column, scale: int = 1000) -> Column:
+    """common / union as an integer in thousandths (or another scale), rounded half up; 0 for two empty sets."""
+    return F.when(union > 0, F.floor(common * scale / union + 0.5)).otherwise(0).cast("long")
 
 
 def normalized_tokens(source: Column) -> Column:

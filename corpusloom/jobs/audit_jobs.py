@@ -17,8 +17,8 @@ def ignored_pages(spark, d) -> DataFrame:
 
 
 def missing_languages(spark, d) -> DataFrame:
-    """Languages that a source has no document in with a rare number of characters."""
-    docs = table(spark, d, "documents").where("n_chars % 7 = 0 or lang = 'en'")
+    """Languages that a source has no document in of a length: of as many digits as its number of characters has."""
+    docs = table(spark, d, "documents").select(F.concat("source", F.lit(":"), F.length(F.col("n_chars").cast("string")).cast("string")).alias("source"), "lang")
     return A.missing_siblings(docs, "source", "lang", ["en", "fr", "de", "es", "it"])
 
 
@@ -60,8 +60,9 @@ WITH paths AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/?', '') AS p
 SELECT page_id, CASE WHEN regexp_matches(path, '^c/') THEN true WHEN regexp_matches(path, '(^|.*/)page[^/](/|$)') THEN true WHEN regexp_matches(path, '^b[^/]*/') THEN true
   WHEN regexp_matches(path, '(^|/)[^/]*11(/|$)') THEN false WHEN regexp_matches(path, '(^|/)[^/]*1(/|$)') THEN true ELSE false END AS ignored FROM paths""",
     "missing_languages": """
-SELECT source, lang FROM (SELECT DISTINCT source FROM documents WHERE n_chars % 7 = 0 OR lang = 'en'), (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) AS w(lang)
-WHERE (source, lang) NOT IN (SELECT (source, lang) FROM documents WHERE n_chars % 7 = 0 OR lang = 'en')""",
+WITH docs AS (SELECT source || ':' || length(CAST(n_chars AS VARCHAR)) AS source, lang FROM documents)
+SELECT source, w.lang FROM (SELECT DISTINCT source FROM docs) AS s, (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) AS w(lang)
+WHERE NOT EXISTS (SELECT 1 FROM docs x WHERE x.source IS NOT DISTINCT FROM s.source AND x.lang = w.lang)""",
     "missing_languages_all": """
 SELECT source, w.lang FROM (SELECT DISTINCT source FROM documents) AS s, (VALUES ('en'), ('fr'), ('de'), ('es'), ('it')) AS w(lang)
 WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source IS NOT DISTINCT FROM s.source AND x.lang = w.lang)""",

@@ -19,6 +19,7 @@ from ..operators.resolve import export_table
 from ..sources.derived import PATHS, attributes, code_lines, widgets
 from ..sources.tables import table
 from .search_jobs import CODE, sql_list
+from .usage_jobs import verdict_sql
 
 #: The one colour that the design system of the code base has.
 TOKENS = ["#1a2b3c"]
@@ -59,6 +60,16 @@ def convention_summary(spark, d) -> DataFrame:
     return N.summary(N.pattern_counts(code_lines(spark, d), "text", V.COUNTERS, repeated=True), V.CONVENTIONS)
 
 
+def convention_counts(spark, d) -> DataFrame:
+    """How often the code base does each thing that a category counts."""
+    return N.pattern_counts(code_lines(spark, d), "text", V.COUNTERS, repeated=True)
+
+
+def convention_decide(spark, d) -> DataFrame:
+    """The most frequent option of each group of counters."""
+    return N.verdicts(convention_counts(spark, d))
+
+
 def bindings(spark, d) -> DataFrame:
     """file, name, target: each file imports the widgets of its lines by their files' default exports."""
     code = code_lines(spark, d).select("file", F.concat(F.lit("Widget"), "widget").alias("local"), F.concat(F.lit("src/widgets/w"), "widget", F.lit(".tsx")).alias("source")).distinct()
@@ -124,15 +135,20 @@ def search_filters(spark, d) -> DataFrame:
 
 
 def contracts(spark, d) -> DataFrame:
-    """Suppliers as components: brands, kinds and sizes of what they deliver in large returned lots."""
-    lots = table(spark, d, "lineitem").where("l_quantity >= 48 and l_returnflag = 'R'").select("l_suppkey", "l_partkey", "l_shipdate")
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
-    each = lots.join(parts, "l_partkey").groupBy(F.col("l_suppkey").alias("id")).agg(
-        F.collect_set("p_brand").alias("props"),
-        F.collect_set(F.regexp_extract("p_type", "^([A-Za-z]+)", 1)).alias("hosts"),
-        F.collect_set(F.floor(F.col("p_size") / 10).cast("string")).alias("hooks"),
-        F.count("*").alias("usage_count"), F.max("l_shipdate").alias("recency"),
+    """Suppliers as components: the brands that they deliver a fifth more of than of a brand on average, and kinds and sizes of all they deliver."""
+    lots = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", F.col("l_quantity").cast("long").alias("quantity"), "l_shipdate")
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.regexp_extract("p_type", "^([A-Za-z]+)", 1).alias("host"), F.floor(F.col("p_size") / 10).cast("string").alias("hook"))
+    # A row for each supplier and brand first: there are few brands, kinds and sizes.
+    brands = lots.join(parts, "l_partkey").groupBy(F.col("l_suppkey").alias("id"), "p_brand").agg(
+        F.sum("quantity").alias("quantity"), F.collect_set("host").alias("hosts"), F.collect_set("hook").alias("hooks"), F.count("*").alias("n"), F.max("l_shipdate").alias("recency")
     )
+    each = brands.groupBy("id").agg(
+        F.collect_list(F.struct("p_brand", "quantity")).alias("brands"), F.sum("quantity").alias("total"), F.count("*").alias("n_brands"),
+        F.array_distinct(F.flatten(F.collect_list("hosts"))).alias("hosts"), F.array_distinct(F.flatten(F.collect_list("hooks"))).alias("hooks"),
+        F.sum("n").alias("usage_count"), F.max("recency").alias("recency"),
+    )
+    favoured = F.transform(F.filter("brands", lambda b: b["quantity"] * F.col("n_brands") * 10 > F.col("total") * 12), lambda b: b["p_brand"])
+    each = each.select("id", favoured.alias("props"), "hosts", "hooks", "usage_count", "recency")
     own = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey").cast("string")).alias("names"), F.array((F.col("s_nationkey") % 5).cast("string")).alias("renders"), (F.col("s_acctbal") < 0).alias("deprecated"))
     return each.join(own, "id")
 
@@ -194,10 +210,10 @@ def gate_rollup(spark, d) -> DataFrame:
 
 
 def registry_problems(spark, d) -> DataFrame:
-    """English documents as what is there, good labels as what is registered; every thirteenth character count makes a bad name."""
+    """Documents as what is there, labels as what is registered; every thirteenth character count makes a bad name."""
     name = lambda odd: F.concat(F.when(odd, F.lit("Doc_")).otherwise(F.lit("doc-")), F.col("doc_id").cast("string")).alias("name")
-    present = table(spark, d, "documents").where("lang = 'en'").select(name(F.col("n_chars") % 13 == 0))
-    return A.registry_check(present, table(spark, d, "labels").where("quality = 1").select(name(F.lit(False))))
+    present = table(spark, d, "documents").select(name(F.col("n_chars") % 13 == 0))
+    return A.registry_check(present, table(spark, d, "labels").select(name(F.lit(False))))
 
 
 def prune_plan(spark, d) -> DataFrame:
@@ -300,16 +316,19 @@ declared AS (
   SELECT id AS target, unnest(CASE WHEN is_default THEN ['theme', 'data', 'isOpen', 'onPick', 'footer', 'label'] ELSE ['theme', 'data', 'isOpen'] END) AS attribute FROM widgets),
 passed AS (SELECT target, attribute, count(*) AS n FROM (SELECT target, unnest(attrs) AS attribute FROM sites) GROUP BY ALL)"""
 PAIRS = """
-lots AS (SELECT DISTINCT l_suppkey AS id, p_brand AS prop, regexp_extract(p_type, '^([A-Za-z]+)', 1) AS host, CAST(floor(p_size / 10) AS BIGINT) AS hook
-         FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity >= 48 AND l_returnflag = 'R'),
-sets AS (SELECT id, list(DISTINCT prop) AS props, list(DISTINCT host) AS hosts, list(DISTINCT hook) AS hooks, any_value(s_nationkey) AS nation
-         FROM lots JOIN supplier ON s_suppkey = id GROUP BY id),
+lots AS (SELECT l_suppkey AS id, p_brand AS prop, regexp_extract(p_type, '^([A-Za-z]+)', 1) AS host, CAST(floor(p_size / 10) AS BIGINT) AS hook, l_quantity AS quantity
+         FROM lineitem JOIN part ON p_partkey = l_partkey),
+favoured AS (
+  SELECT id, list(prop) FILTER (WHERE quantity * brands * 10 > total * 12) AS props
+  FROM (SELECT *, sum(quantity) OVER (PARTITION BY id) AS total, count(*) OVER (PARTITION BY id) AS brands FROM (SELECT id, prop, sum(quantity) AS quantity FROM lots GROUP BY ALL)) GROUP BY id),
+sets AS (SELECT id, coalesce(any_value(props), []) AS props, list(DISTINCT host) AS hosts, list(DISTINCT hook) AS hooks, any_value(s_nationkey) AS nation
+         FROM lots JOIN supplier ON s_suppkey = id JOIN favoured USING (id) GROUP BY id),
 both_sides AS (
   SELECT x.id AS a, y.id AS b, len(list_intersect(x.props, y.props)) AS c1, len(x.props) AS n1, len(y.props) AS m1, len(list_intersect(x.hosts, y.hosts)) AS c2, len(x.hosts) + len(y.hosts) AS s2,
          len(list_intersect(x.hooks, y.hooks)) AS c5, len(x.hooks) + len(y.hooks) AS s5, x.nation = y.nation AS same, x.nation % 5 = y.nation % 5 AS near
   FROM sets x JOIN sets y ON x.id < y.id),
 weighed AS (
-  SELECT *, CAST(floor(c1 * 500 / (n1 + m1 - c1) + 0.5) + floor(c2 * 200 / (s2 - c2) + 0.5) + CASE WHEN same THEN 120 ELSE 0 END + CASE WHEN near THEN 100 ELSE 0 END + floor(c5 * 80 / (s5 - c5) + 0.5) AS BIGINT) AS w
+  SELECT *, CAST(CASE WHEN n1 + m1 > 0 THEN floor(c1 * 500 / (n1 + m1 - c1) + 0.5) ELSE 0 END + floor(c2 * 200 / (s2 - c2) + 0.5) + CASE WHEN same THEN 120 ELSE 0 END + CASE WHEN near THEN 100 ELSE 0 END + floor(c5 * 80 / (s5 - c5) + 0.5) AS BIGINT) AS w
   FROM both_sides),
 pairs AS (SELECT a, b, CASE WHEN n1 >= 3 AND m1 >= 3 AND c1 * 100 >= (n1 + m1 - c1) * 75 THEN greatest(w, 800) ELSE w END AS similarity FROM weighed),
 similar_pairs AS (SELECT * FROM pairs WHERE similarity >= 550)"""
@@ -348,6 +367,16 @@ scored AS (
   SELECT *, CASE WHEN hits > 0 THEN CAST(hits + floor(900 * log10(usage_count + 1.0) + 0.5) - CASE WHEN deprecated THEN 2500 ELSE 0 END - CASE WHEN file_class IN ('test', 'story') THEN 1500 ELSE 0 END - CASE WHEN exported THEN 0 ELSE 800 END AS BIGINT) ELSE 0 END AS score FROM hit)"""
 
 
+def counters_sql() -> str:
+    """One pass over the distinct lines, a column for each counter, turned into rows."""
+    names = [name.split(".", 1) for name in V.COUNTERS]
+    sums = ", ".join(f"CAST(coalesce(sum({n_of(p)} * times), 0) AS BIGINT) AS c{k}" for k, p in enumerate(V.COUNTERS.values()))
+    rows = ", ".join(f"{{'category': '{category}', 'option': '{q(option)}', 'hits': c{k}}}" for k, (category, option) in enumerate(names))
+    return f"""
+SELECT h.category AS category, h.option AS option, h.hits AS hits FROM (
+  SELECT unnest([{rows}]) AS h FROM (SELECT {sums} FROM (SELECT text, count(*) AS times FROM (WITH {CODE} SELECT text FROM code) GROUP BY text)))"""
+
+
 def summary_sql() -> str:
     rows = " UNION ALL ".join(f"SELECT '{name}' AS convention, '{q(label)}' AS option, CAST(sum({n_of(V.COUNTERS[f'{prefix}.{o}'])}) AS BIGINT) AS hits FROM code" for name, prefix, labels in V.CONVENTIONS for o, label in labels.items())
     return f"""WITH {CODE},
@@ -400,6 +429,8 @@ QUERIES = {
     "public_secrets": public_secrets,
     "file_counts": file_counts,
     "neighbourhood": neighbourhood,
+    "convention_counts": convention_counts,
+    "convention_decide": convention_decide,
     "convention_summary": convention_summary,
     "call_sites": call_sites,
     "render_edges": render_edges,
@@ -424,6 +455,8 @@ FROM imports_found GROUP BY source""",
 names AS (SELECT file, line, unnest(regexp_extract_all(text, '\\b{V.PUBLIC_PREFIX}[A-Z0-9_]+')) AS name FROM code)
 SELECT 'SEC-PUBLIC-ENV-SECRET' AS rule, CASE WHEN regexp_matches(name, '(?i){V.PUBLISHABLE}') THEN 'medium' ELSE 'critical' END AS severity, file, line FROM names
 WHERE regexp_matches(regexp_replace(name, '^{V.PUBLIC_PREFIX}', ''), '(?i){V.SECRET_WORDS}')""",
+    "convention_counts": counters_sql(),
+    "convention_decide": verdict_sql(counters_sql(), "category", "option"),
     "convention_summary": summary_sql(),
     "call_sites": f"WITH {CODE}, {SITES} SELECT file, line, target, owner, array_to_string(attrs, ',') AS attrs, spread FROM sites",
     "render_edges": f"WITH {CODE}, {SITES} SELECT DISTINCT owner, target FROM sites WHERE owner IS NOT NULL",
@@ -452,7 +485,7 @@ SELECT file, {", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s
 edges AS (SELECT a, b FROM similar_pairs UNION SELECT b, a FROM similar_pairs),
 reach AS (SELECT a AS id, a AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
 named AS (SELECT id, min(other) AS cluster FROM reach GROUP BY id),
-usage AS (SELECT l_suppkey AS id, count(*) AS usage_count, max(l_shipdate) AS recency FROM lineitem WHERE l_quantity >= 48 AND l_returnflag = 'R' GROUP BY 1)
+usage AS (SELECT l_suppkey AS id, count(*) AS usage_count, max(l_shipdate) AS recency FROM lineitem GROUP BY 1)
 SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY s_acctbal < 0, usage_count DESC, recency DESC, id) AS INT) AS rank, id, count(*) OVER (PARTITION BY cluster) AS size,
        CAST(sum(usage_count) OVER (PARTITION BY cluster) AS BIGINT) AS total_usage, usage_count, s_acctbal < 0 AS deprecated
 FROM named JOIN usage USING (id) JOIN supplier ON s_suppkey = id""",
@@ -463,8 +496,8 @@ summed AS (SELECT *, CAST(subtotal + floor(subtotal * {V.OVERHEAD_PERCENT} / 100
 SELECT *, {V.BUDGET} - total AS headroom, total <= {V.BUDGET} AS fits FROM summed""",
     "gate_rollup": gate_sql(),
     "registry_problems": """
-WITH present AS (SELECT CASE WHEN n_chars % 13 = 0 THEN 'Doc_' ELSE 'doc-' END || doc_id AS name FROM documents WHERE lang = 'en'),
-registered AS (SELECT DISTINCT 'doc-' || doc_id AS name FROM labels WHERE quality = 1)
+WITH present AS (SELECT CASE WHEN n_chars % 13 = 0 THEN 'Doc_' ELSE 'doc-' END || doc_id AS name FROM documents),
+registered AS (SELECT DISTINCT 'doc-' || doc_id AS name FROM labels)
 SELECT DISTINCT name, 'unregistered' AS problem FROM present ANTI JOIN registered USING (name)
 UNION ALL SELECT name, 'missing' FROM registered ANTI JOIN present USING (name)
 UNION ALL SELECT name, 'duplicate' FROM present GROUP BY name HAVING count(*) > 1

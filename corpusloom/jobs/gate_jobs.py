@@ -38,16 +38,16 @@ def ownership(spark, d) -> DataFrame:
 
 
 def footprint(spark, d) -> DataFrame:
-    """Pages added that no plan (the first half of hosts) names."""
-    pages = table(spark, d, "pages").select(F.col("url").alias("path"), "page_id")
-    return G.footprint(pages.select("path"), pages.where("page_id % 2 = 0").select("path"), scratch=r"(^|/)[^/]*[0-4]$")
+    """Pages as files added, HTML files as backups; the plan names those that are reached without encryption."""
+    pages = table(spark, d, "pages").select(F.regexp_replace("url", r"\.html$", ".bak").alias("path"), F.col("url").startswith("http:").alias("planned"))
+    return G.footprint(pages.select("path"), pages.where("planned").select("path"))
 
 
 def baseline_diff(spark, d) -> DataFrame:
-    """Findings of users with an even id that the first half of events doesn't have."""
+    """Findings of users with a purchase in the later half of events that the first half doesn't have."""
     found = events_as_findings(spark, d).select("rule", "severity", "file", (F.col("line") % 100).alias("line"), F.col("line").alias("event"))
-    changed = table(spark, d, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("file"))
     half = table(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    changed = table(spark, d, "events").where((F.col("event_type") == "purchase") & (F.col("event_id") > half)).select(F.col("user_id").cast("string").alias("file"))
     return G.new_findings(found.where(F.col("event") > half), changed, found.where(F.col("event") <= half), "file", ["rule", "file", "line"]).select("rule", "severity", "file", "line", "event")
 
 
@@ -175,12 +175,12 @@ WITH owned AS (SELECT doc_id, source FROM documents WHERE source <> 'src3' UNION
 SELECT path, owners, CASE WHEN owners = 0 THEN 'unowned' ELSE 'double-owned' END AS problem FROM (
   SELECT l.doc_id AS path, count(o.source) AS owners FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN owned o USING (doc_id) GROUP BY 1)
 WHERE owners <> 1""",
-    "footprint": """
-SELECT DISTINCT url AS path, regexp_matches(lower(url), '(^|/)[^/]*[0-4]$') AS scratch FROM pages p
-WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.url = p.url AND q.page_id % 2 = 0)""",
+    "footprint": rf"""
+WITH files AS (SELECT regexp_replace(url, '[.]html$', '.bak') AS path, starts_with(url, 'http:') AS planned FROM pages)
+SELECT DISTINCT path, regexp_matches(path, '{V.SCRATCH}') AS scratch FROM files f WHERE NOT EXISTS (SELECT 1 FROM files p WHERE p.path = f.path AND p.planned)""",
     "baseline_diff": f"""WITH {FINDINGS}, half AS (SELECT max(event_id) // 2 AS middle FROM events)
 SELECT rule, severity, file, line % 100 AS line, line AS event FROM findings f
-WHERE line > (SELECT middle FROM half) AND CAST(file AS BIGINT) % 2 = 0 AND NOT EXISTS (
+WHERE line > (SELECT middle FROM half) AND CAST(file AS BIGINT) IN (SELECT user_id FROM events, half WHERE event_type = 'purchase' AND event_id > middle) AND NOT EXISTS (
   SELECT 1 FROM findings g WHERE g.line <= (SELECT middle FROM half) AND g.rule = f.rule AND g.file = f.file AND g.line % 100 = f.line % 100)""",
     "baseline_diff_all": f"""WITH {FINDINGS}, half AS (SELECT max(event_id) // 2 AS middle FROM events)
 SELECT rule, severity, file, line % 100 AS line, line AS event FROM findings f

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import name_tokens, package_of
+from ..functions.text import jaccard, name_tokens, package_of
 from ..operators import cluster as C
 from ..operators import graph as G
 from ..operators import resolve as R
@@ -65,7 +65,8 @@ def drill_chains(spark, d) -> DataFrame:
 
 
 def near_dup_pairs(spark, d) -> DataFrame:
-    return C.near_pairs(table(spark, d, "documents"), "doc_id", "text")[1]
+    """Pairs of near-duplicate texts, and how alike they are."""
+    return C.near_pairs(table(spark, d, "documents"), "doc_id", "text")[1].withColumn("similarity", jaccard(F.col("common"), F.col("union")))
 
 
 def near_dup_clusters(spark, d) -> DataFrame:
@@ -78,25 +79,27 @@ def dropped_blocks(spark, d) -> DataFrame:
     return C.block_sizes(parts, F.col("tokens"), 250)
 
 
-def contract_similarity(spark, d) -> DataFrame:
-    """Every twentieth supplier against the suppliers of its nation: brands, types and sizes of what they deliver."""
+def delivered(spark, d) -> DataFrame:
+    """Suppliers with the brands, types and sizes of what they deliver."""
     lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
     parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
     sets = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("brands"), F.collect_set("p_type").alias("types"), F.collect_set("p_size").alias("sizes"))
-    suppliers = sets.join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey")
-    asked = suppliers.where("s_suppkey % 20 = 0").select(*[F.col(c).alias(f"q_{c}") for c in suppliers.columns])
-    both = asked.join(suppliers, (F.col("q_s_nationkey") == F.col("s_nationkey")) & (F.col("q_s_suppkey") != F.col("s_suppkey")))
-    similar = C.weighted_similarity([(F.col("q_brands"), F.col("brands"), 50), (F.col("q_types"), F.col("types"), 30), (F.col("q_sizes"), F.col("sizes"), 20)])
-    return both.select(F.col("q_s_suppkey").alias("asked"), F.col("s_suppkey").alias("other"), similar.alias("similarity"))
+    return sets.join(table(spark, d, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey")
+
+
+DELIVERED = [("brands", 50), ("types", 30), ("sizes", 20)]
+
+
+def contract_similarity(spark, d) -> DataFrame:
+    """The stated query set, each twentieth supplier, against all suppliers: those that are .55 or more alike by brands, types and sizes of what they deliver."""
+    found = C.weighted_pairs(delivered(spark, d), "s_suppkey", DELIVERED, asked=F.col("s_suppkey") % 20 == 0)
+    sides = found.select(F.inline(F.array(F.struct(F.col("a").alias("asked"), F.col("b").alias("other"), "similarity"), F.struct(F.col("b").alias("asked"), F.col("a").alias("other"), "similarity"))))
+    return sides.where("asked % 20 = 0")
 
 
 def supplier_pairs(spark, d) -> DataFrame:
     """All pairs of suppliers that are .55 or more alike by brands, types and sizes of what they deliver, and the cluster that they are in."""
-    lines = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    parts = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
-    sets = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.collect_set("p_brand").alias("brands"), F.collect_set("p_type").alias("types"), F.collect_set("p_size").alias("sizes"))
-    suppliers = sets.join(table(spark, d, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey")
-    pairs = written(C.weighted_pairs(suppliers, "s_suppkey", [("brands", 50), ("types", 30), ("sizes", 20)]), "supplier-pairs")
+    pairs = written(C.weighted_pairs(delivered(spark, d), "s_suppkey", DELIVERED), "supplier-pairs")
     return pairs.join(connected_components(pairs, "a", "b").withColumnRenamed("component", "cluster"), F.col("a") == F.col("node")).drop("node")
 
 
@@ -207,7 +210,7 @@ paths AS (
   UNION ALL SELECT list_append(path, dst), dst FROM paths JOIN edges ON src = last WHERE NOT list_contains(path, dst))
 SELECT CAST(len(path) AS INT) AS depth, array_to_string(path, '>') AS path FROM paths p
 WHERE len(path) >= 3 AND NOT EXISTS (SELECT 1 FROM edges WHERE src = p.last)""",
-    "near_dup_pairs": f"WITH {SHINGLES} SELECT a, b, CAST(common AS INT) AS common, CAST(\"union\" AS INT) AS \"union\" FROM pairs",
+    "near_dup_pairs": f"WITH {SHINGLES} SELECT a, b, CAST(common AS INT) AS common, CAST(\"union\" AS INT) AS \"union\", CAST(floor(common * 1000 / \"union\" + 0.5) AS BIGINT) AS similarity FROM pairs",
     "near_dup_clusters": f"""WITH RECURSIVE {SHINGLES},
 linked AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 closed AS (SELECT class AS node, class AS other FROM members UNION SELECT node, b FROM closed JOIN linked ON a = other),
@@ -220,8 +223,10 @@ FROM (SELECT DISTINCT p_partkey, unnest(string_split(lower(p_name), ' ')) AS tok
 WHERE token NOT IN ('', 'component', 'container', 'wrapper', 'view', 'page', 'screen', 'item', 'list', 'new', 'base', 'common', 'shared', 'ui', 'index', 'default')
 GROUP BY token""",
     "contract_similarity": f"""WITH {SIMILAR}
-SELECT x.s_suppkey AS asked, y.s_suppkey AS other, {share("brands", 50)} + {share("types", 30)} + {share("sizes", 20)} AS similarity
-FROM sets x JOIN sets y ON x.nation = y.nation AND x.s_suppkey <> y.s_suppkey WHERE x.s_suppkey % 20 = 0""",
+SELECT * FROM (
+  SELECT x.s_suppkey AS asked, y.s_suppkey AS other, {share("brands", 50)} + {share("types", 30)} + {share("sizes", 20)} AS similarity
+  FROM sets x JOIN sets y ON x.s_suppkey <> y.s_suppkey WHERE x.s_suppkey % 20 = 0)
+WHERE similarity >= 550""",
     "supplier_pairs": f"""WITH RECURSIVE {SIMILAR},
 pairs AS (
   SELECT x.s_suppkey AS a, y.s_suppkey AS b, {share("brands", 50)} + {share("types", 30)} + {share("sizes", 20)} AS similarity

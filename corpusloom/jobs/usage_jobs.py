@@ -79,27 +79,6 @@ def severity_pivot(spark, d) -> DataFrame:
     return events_as_findings(spark, d).groupBy("file").agg(*counts)
 
 
-COUNTERS = {
-    "close.period": r"\.\s",
-    "close.exclaim": r"!\s",
-    "join.comma": r",\s",
-    "join.pipe": r"\s\|\s",
-    "contact.email": r"[a-z0-9._]+@[a-z0-9.]+",
-    "contact.ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "null.nullish": r"\?\?",
-    "null.optionalChain": r"\?\.",
-    "error.message": r"\berror\s*(?:\?\.)?\.message\b|\berr\s*(?:\?\.)?\.message\b",
-}
-
-
-def convention_counts(spark, d) -> DataFrame:
-    return C.pattern_counts(table(spark, d, "documents"), "text", COUNTERS)
-
-
-def convention_decide(spark, d) -> DataFrame:
-    return C.verdicts(C.pattern_counts(table(spark, d, "documents"), "text", COUNTERS))
-
-
 def convention_verdict(spark, d) -> DataFrame:
     """The dominant language of each source."""
     counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("hits"))
@@ -148,11 +127,6 @@ stats AS (
     ON d.c_nationkey = p.c_nationkey AND d.o_orderpriority = p.o_orderpriority GROUP BY 1)"""
 
 
-def counters_sql() -> str:
-    parts = [f"SELECT '{n.split('.')[0]}' AS category, '{n.split('.')[1]}' AS option, CAST(sum(len(regexp_extract_all(text, '{p}'))) AS BIGINT) AS hits FROM documents" for n, p in COUNTERS.items()]
-    return " UNION ALL ".join(parts)
-
-
 def verdict_sql(counts: str, category: str, option: str) -> str:
     return f"""
 WITH counts AS ({counts}),
@@ -193,8 +167,6 @@ QUERIES = {
     "barrels": barrels,
     "rule_histogram": rule_histogram,
     "severity_pivot": severity_pivot,
-    "convention_counts": convention_counts,
-    "convention_decide": convention_decide,
     "convention_verdict": convention_verdict,
     "tag_scan": tag_scan,
     "tag_missing_attr": tag_missing_attr,
@@ -223,8 +195,6 @@ SELECT package, count(*) AS uses FROM (SELECT c_mktsegment AS package FROM custo
     "severity_pivot": f"""WITH {FINDINGS}
 SELECT file, count(*) FILTER (WHERE level = 4) AS critical, count(*) FILTER (WHERE level = 3) AS high,
        count(*) FILTER (WHERE level = 2) AS medium, count(*) FILTER (WHERE level = 1) AS low FROM findings GROUP BY file""",
-    "convention_counts": counters_sql(),
-    "convention_decide": verdict_sql(counters_sql(), "category", "option"),
     "convention_verdict": verdict_sql("SELECT source, lang, count(*) AS hits FROM documents GROUP BY ALL", "source", "lang"),
     "tag_scan": f"WITH {TAGS} SELECT tag, count(*) AS n, CAST(sum(len(attrs)) AS BIGINT) AS attributes FROM found GROUP BY tag",
     "tag_missing_attr": rf"""WITH {TAGS},

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import normalized_tokens
+from ..functions.text import jaccard, normalized_tokens
 from ..sources.storage import written
 from .components import connected_components
 
@@ -25,12 +27,40 @@ def with_shingles(rows: DataFrame, text: str, name: str = "s", width: int = 5) -
     return rows.withColumn(name, found).drop("_words")
 
 
-def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+#: Sets of one block that meet those of another in one task.
+SHARE = 4096
+
+
+def meeting(rows: DataFrame, ratio: float, share: int = SHARE) -> DataFrame:
+    """a, b (a < b), each once: keys of rows (t, key, n) that share a t, where the lesser n may be `ratio` of the larger one or more.
+
+    Rows meet by t and by class of n: classes are so wide that what is alike enough is of one class or of two that follow each other, and a row visits the
+    class above its own. A block with more rows than `share` is split into sub-blocks by a hash of the key, and each
+    two of these are a block of their own, so that no block is left out and none holds more than about share rows of either side, however
+    often a t occurs. Rows of such a block go out once for each sub-block. rows must be a written table, as they are read
+    three times; where they have a column asked, pairs without a row that is are left out; a key may stand in several rows of a t, which changes nothing; null keys and sizes under 1 meet none.
+    """
+    width = math.log(1 / ratio) * (1 + 1e-9) if ratio < 1 else math.log(2)
+    sized = rows.where("key is not null and n >= 1").select("t", "key", "n", (F.col("asked") if "asked" in rows.columns else F.lit(True)).alias("asked"), F.floor(F.log("n") / width).alias("g"))
+    placed = sized.select("t", "key", "n", "asked", F.inline(F.array(F.struct("g", F.lit(True).alias("native")), F.struct((F.col("g") + 1).alias("g"), F.lit(False).alias("native")))))
+    # A block whose rows are all of one set, or all visitors, gives no pair.
+    blocks = placed.groupBy("t", "g").agg(F.count("*").alias("size"), F.count_if("native").alias("natives"), F.count_if("asked").alias("asked")).where("size > 1 and natives > 0 and asked > 0")
+    split = placed.join(blocks.select("t", "g", F.ceil(F.col("size") / share).cast("int").alias("k")), ["t", "g"]).withColumn("own", F.pmod(F.xxhash64("key"), F.col("k")).cast("int"))
+    others = F.sequence(F.when(F.col("native"), F.col("own")).otherwise(0), F.col("k") - 1)
+    left = split.select("t", "g", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("native").alias("home"), F.col("asked").alias("ax"), F.col("own").alias("i"), F.explode(others).alias("j"))
+    right = split.where("native").select("t", "g", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("asked").alias("ay"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("i"))
+    once = ~F.col("home") | (F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))
+    fits = F.least("nx", "ny") >= F.greatest("nx", "ny") * (ratio - 1e-9)
+    met = left.join(right, ["t", "g", "i", "j"]).where((F.col("x") != F.col("y")) & (F.col("ax") | F.col("ay")) & once & fits)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: int = 75, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): key and its class (the least key with the same shingles); and a, b, common, union for classes at least
     percent alike.
 
     Pairs are found by a prefix filter: two sets alike enough share one of the rarest (100 - percent)% or so of
-    either's shingles, so that only these are joined, and frequent shingles join nothing.
+    either's shingles, so that only these are joined. One that is frequent all the same is split into blocks of `share` sets (meeting()).
     """
     sets = with_shingles(texts.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", "s", width).select("key", F.array_sort("s").alias("s"))
     # Empty sets go when the table is read: asked for before, their size would have all sets made twice.
@@ -45,10 +75,8 @@ def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: i
     # Shingles of one set alone come before all others in this order and can't be shared: they use up the prefix.
     shared = terms.join(rarity, "t").withColumn("place", F.row_number().over(order)).withColumn("shared", F.count("*").over(Window.partitionBy("key")))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("shared"))
-    rare = shared.where(F.col("place") <= prefix).select("t", "key", "n")
-    left, right = rare.select("t", F.col("key").alias("a"), F.col("n").alias("na")), rare.select("t", F.col("key").alias("b"), F.col("n").alias("nb"))
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    candidates = left.join(right, "t").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    rare = written(shared.where(F.col("place") <= prefix).select("t", "key", "n"), "rare-shingles")
+    candidates = meeting(rare, percent / 100, share)
     s = whole.select("key", "s")
     both = candidates.join(s.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("both"))
@@ -56,9 +84,9 @@ def near_pairs(texts: DataFrame, key: str, text: str, width: int = 5, percent: i
     return members, pairs
 
 
-def near_clusters(texts: DataFrame, key: str, text: str, width: int = 5, percent: int = 75) -> DataFrame:
+def near_clusters(texts: DataFrame, key: str, text: str, width: int = 5, percent: int = 75, share: int = SHARE) -> DataFrame:
     """key, cluster (its least key), size and place for each member of a cluster of two or more."""
-    members, pairs = near_pairs(texts, key, text, width, percent)
+    members, pairs = near_pairs(texts, key, text, width, percent, share)
     component = connected_components(pairs, "a", "b")
     # A class without a pair is a cluster by itself.
     named = members.join(component, F.col("class") == F.col("node"), "left").select("key", F.coalesce("component", "class").alias("cluster"))
@@ -85,7 +113,7 @@ def weighted_similarity(parts: list[tuple[Column, Column, int]]) -> Column:
     total = F.lit(0)
     for a, b, weight in parts:
         common, union = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-        total = total + F.when(union > 0, F.floor(common * (weight * 10) / union + 0.5)).otherwise(0)
+        total = total + jaccard(common, union, weight * 10)
     return total.cast("long")
 
 
@@ -116,12 +144,12 @@ def duplicates(members: DataFrame, key: str = "id", limit: int = 40) -> DataFram
     return first.orderBy(F.desc("size"), F.desc("total_usage"), "cluster").limit(limit)
 
 
-def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]], least: int = 550, boost: bool = False) -> DataFrame:
+def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]], least: int = 550, boost: bool = False, share: int = SHARE, asked: Column | None = None) -> DataFrame:
     """a, b (a < b), similarity: all pairs whose weighted_similarity over array columns, heaviest first, is `least` or more.
 
-    With boost, contract_boost() over the heaviest column can lift a pair; it asks more of that column than `least` does.
+    With asked, a condition, only pairs with an entity that meets it. With boost, contract_boost() over the heaviest column can lift a pair; it asks more of that column than `least` does.
     What the other columns can't make up for must come from the heaviest: candidates share one of its rarer members, by a prefix
-    filter with that bound. There is no limit on pairs: where most entities are alike, the result grows with the square of the table.
+    filter with that bound, and meet in blocks of `share` entities (meeting()). There is no limit on pairs: where most entities are alike, the result grows with the square of the table.
     """
     (heavy, weight), *others = parts
     rest = sum(w for _, w in others) * 10
@@ -129,12 +157,12 @@ def weighted_pairs(entities: DataFrame, key: str, parts: list[tuple[str, int]],
     bound = (least - rest - 0.5) / (weight * 10)
     if bound <= 0:
         raise ValueError("the heaviest column must be needed to reach the least similarity")
-    sets = written(entities.select(F.col(key).alias("key"), *[F.array_distinct(c).alias(c) for c, _ in parts]), "weighted-sets")
-    terms = sets.select("key", F.size(heavy).alias("n"), F.explode(heavy).alias("t"))
+    sets = written(entities.select(F.col(key).alias("key"), (F.lit(True) if asked is None else F.coalesce(asked, F.lit(False))).alias("asked"), *[F.array_distinct(c).alias(c) for c, _ in parts]), "weighted-sets")
+    terms = sets.select("key", "asked", F.size(heavy).alias("n"), F.explode(heavy).alias("t"))
     rarity = terms.groupBy("t").agg(F.count("*").alias("df"))
     placed = terms.join(rarity, "t").withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("df", "t")))
-    rare = placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound) + 1)
-    candidates = rare.select("t", F.col("key").alias("a")).join(rare.select("t", F.col("key").alias("b")), "t").where("a < b").select("a", "b").distinct()
+    rare = written(placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound) + 1).select("t", "key", "n", "asked"), "rare-members")
+    candidates = meeting(rare, bound, share)
     side = lambda k, s: sets.select(F.col("key").alias(k), *[F.col(c).alias(f"{s}_{c}") for c, _ in parts])
     both = candidates.join(side("a", "x"), "a").join(side("b", "y"), "b")
     similar = weighted_similarity([(F.col(f"x_{c}"), F.col(f"y_{c}"), w) for c, w in parts])

@@ -2,12 +2,15 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text
 from corpusloom.functions.text import estimated_tokens, file_class, name_tokens, package_of, query_tokens_of
 from corpusloom.operators import audit, cluster, conventions, gate, graph, resolve, rules, search, sessions, usage
 from corpusloom.operators.components import connected_components
 from corpusloom.operators.incremental import reuse
+from corpusloom.sources.storage import written
 
 
 def one(spark, column, value, kind="string"):
@@ -77,6 +80,24 @@ def test_weighted_pairs_finds_all_pairs(spark):
     e = spark.createDataFrame(rows, "id long, x array<string>, y array<string>, z array<string>")
     got = cluster.weighted_pairs(e, "id", [("x", 50), ("y", 30), ("z", 20)]).collect()
     assert want and sorted(map(tuple, got)) == sorted(want)
+    split = cluster.weighted_pairs(e, "id", [("x", 50), ("y", 30), ("z", 20)], share=7, asked=F.col("id") % 20 == 0).collect()
+    assert sorted(map(tuple, split)) == sorted(p for p in want if p[0] % 20 == 0 or p[1] % 20 == 0)
+
+
+@pytest.mark.parametrize("ratio,share", [(0.75, 5), (0.75, 10_000), (0.1, 9), (1.0, 4)])
+def test_meeting_splits_hot_blocks(spark, ratio, share):
+    """One value in every row, a size on each side of a class's bounds, a key's row given twice: all pairs once, no block left out."""
+    rows = [("hot", k, 1 + k % 40) for k in range(150)] + [("hot", 3, 4)] + [(f"t{k % 7}", k, 1 + k % 40) for k in range(60)] + [("alone", 900, 5), ("hot", None, 5), ("hot", 901, 0)]
+    table = written(spark.createDataFrame(rows, "t string, key long, n int"), "rows")
+    got = sorted(map(tuple, cluster.meeting(table, ratio, share).collect()))
+    fits = lambda x, y: min(x, y) * 100 >= max(x, y) * round(ratio * 100)
+    assert got == sorted((a, b) for a in range(150) for b in range(a + 1, 150) if fits(1 + a % 40, 1 + b % 40))
+    assert cluster.meeting(table.limit(0), ratio, share).count() == 0
+
+
+def test_jaccard_in_thousandths(spark):
+    got = spark.createDataFrame([(1, 3), (0, 0), (2, 2), (1, 2000)], "c int, u int").select(text.jaccard(F.col("c"), F.col("u")).alias("j"))
+    assert [r.j for r in got.collect()] == [333, 0, 1000, 1]
 
 
 def test_elements_with_any_form_of_attribute(spark):
@@ -138,6 +159,9 @@ def test_near_clusters(spark):
     texts = spark.createDataFrame(rows, "id long, t string")
     got = sorted(tuple(r) for r in cluster.near_clusters(texts, "id", "t").collect())
     assert got == [(2, 2, 3), (5, 2, 3), (9, 2, 3)]
+    many = [(k, f"{base} t{k}") for k in range(30)] + [(100 + k, f"{base} " + " ".join(f"u{k}x{i}" for i in range(60))) for k in range(3)]
+    for share in (4, 4096):
+        assert sorted(tuple(r) for r in cluster.near_clusters(spark.createDataFrame(many, "id long, t string"), "id", "t", share=share).collect()) == [(k, 0, 30) for k in range(30)]
     assert cluster.near_clusters(texts.limit(0), "id", "t").count() == 0
 
 

@@ -56,7 +56,20 @@ def test_index_changes_parses_only_what_is_new(spark):
         stream = spark.readStream.schema(schema).parquet(folder)
         index_changes(stream, table, ["path", "sha1"], parse).awaitTermination()
     assert parsed == [2, 1]
-    assert {tuple(r) for r in spark.read.parquet(table).collect()} == {("a", "1"), ("b", "2"), ("b", "3")}
+    assert {tuple(r) for r in spark.read.parquet(table).select("path", "sha1").collect()} == {("a", "1"), ("b", "2"), ("b", "3")}
+
+
+def test_index_changes_writes_a_lost_batch_again(spark):
+    """Rows that a batch left before it was lost are written over, not kept beside those of its next run; a batch without new rows adds none."""
+    folder, table = new_path(spark, "in"), new_path(spark, "table")
+    schema = "path string, sha1 string"
+    spark.createDataFrame([("half", "0")], schema).withColumn("_bucket", F.lit(5)).write.partitionBy("_bucket").parquet(f"{table}/_batch=0")
+    for more in ([("a", "1"), (None, "2")], [("a", "1")], [("c", "1")]):
+        spark.createDataFrame(more, schema).coalesce(1).write.mode("append").parquet(folder)
+        index_changes(spark.readStream.schema(schema).parquet(folder), table, ["path", "sha1"], lambda rows: rows, buckets=8).awaitTermination()
+    got = spark.read.schema(f"{schema}, _batch int, _bucket int").parquet(table)
+    assert sorted((r.path or "", r.sha1, r["_batch"]) for r in got.collect()) == [("", "2", 0), ("a", "1", 0), ("c", "1", 2)]
+    assert {r["_bucket"] for r in got.collect() if r.path is None} == {-1}
 
 
 def test_settings_of_projects(spark, tmp_path):
