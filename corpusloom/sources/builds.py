@@ -81,7 +81,11 @@ def build(files: DataFrame, root: str, context: str, parse: Callable[[DataFrame]
     done = Build(before, changed, sum(r.new for r in counts), sum(r.same for r in counts if r.gone or r.new), sum(r.gone for r in counts))
     if changed:
         done.version = before + 1
-        fresh = parse(files.join(states.where("state = 'new'").select("path"), "path", "left_semi")).withColumn("context", F.lit(context))
+        # Whole texts travel only where some of their files stay: none do in a first build or another context, and none of other buckets.
+        new = files.where("path is not null")
+        if any(r.same for r in counts):
+            new = new.where(bucket_of(F.col("path"), buckets).isin(changed)).join(states.where("state = 'new'").select("path"), "path", "left_semi")
+        fresh = parse(new).withColumn("context", F.lit(context))
         kept = read_build(spark, root, stored, only=changed, version=before).join(states.where("state = 'same'").select("path"), "path", "left_semi")
         columns = [*[f.name for f in spark.createDataFrame([], stored).schema.fields]]
         rows = fresh.select(columns).unionByName(kept.select(columns)).withColumn("bucket", bucket_of(F.col("path"), buckets))
@@ -90,8 +94,8 @@ def build(files: DataFrame, root: str, context: str, parse: Callable[[DataFrame]
         where, store = folder_of(spark, data)
         there = spark.read.parquet(data).groupBy("bucket").agg(F.count("*").alias("n_rows")) if any(x.isDirectory() for x in store.listStatus(where)) else None
         rest = manifest(spark, root, before).where(~F.col("bucket").isin(changed))
-        new = there.select("bucket", F.lit(done.version).alias("version"), "n_rows") if there is not None else spark.createDataFrame([], MANIFEST)
-        rest.unionByName(new).coalesce(1).write.parquet(f"{root}/manifest/v={done.version}")
+        written_now = there.select("bucket", F.lit(done.version).alias("version"), "n_rows") if there is not None else spark.createDataFrame([], MANIFEST)
+        rest.unionByName(written_now).coalesce(1).write.parquet(f"{root}/manifest/v={done.version}")
     discarded(keys)
     discarded(states)
     return done
