@@ -81,13 +81,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """The hash of each window of `width` consecutive word hashes; window i starts at word i."""
+    """The hash of each window of `width` consecutive word hashes, in their order; window i starts at word i."""
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = mix64(out + words[k : k + n]) if k % 4 == 3 else out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n]
+        if k % 4 == 3:
+            out = mix64(out)
     return mix64(out)
 
 

@@ -50,9 +50,9 @@ def doubled(chunk: Chunk, repeated: np.ndarray, width: int, longer: int) -> np.n
     """Windows of the longer width whose first and last `width` words are repeated windows both."""
     step = longer - width
     both = repeated.copy()
-    both[: len(both) - step] &= repeated[step:]
-    if step:
-        both[len(both) - step :] = False
+    last = max(len(both) - step, 0)  # a chunk may have fewer words than the step
+    both[:last] &= repeated[step:]
+    both[last:] = False
     return both & starts_mask(chunk, longer)
 
 

@@ -228,6 +228,25 @@ def test_substring_dedup(docs, rows):
     assert substring_dedup.widths_of(20, 5) == [5, 10, 20] and substring_dedup.widths_of(7, 2) == [2, 4, 7]
 
 
+def test_windows_differ_by_the_order_of_their_words(spark):
+    own = np.array([3, 5, 7, 11, 13, 17, 19, 23], np.uint64)
+    for k in range(7):
+        swapped = own.copy()
+        swapped[[k, k + 1]] = swapped[[k + 1, k]]
+        assert common.window_hashes(own, 8)[0] != common.window_hashes(swapped, 8)[0]
+    first = [f"w{k}" for k in range(20)]
+    other = first[:2] + ["w3", "w2"] + first[4:]
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(1, " ".join(first)), (2, " ".join(other)), (3, " ".join(first))], "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_substring_dedup_of_chunks_with_few_words(spark):
+    for n in range(1, 7):
+        text = " ".join("abcdef"[:n])
+        got = substring_dedup.substring_dedup(spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string").repartition(3))
+        assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got.collect()) == [(k, n, 0) for k in range(3)]
+
+
 def test_longer_doubling_agrees(docs):
     assert substring_dedup.substring_dedup.__defaults__[:2] == (20, 5)
     a = substring_dedup.substring_dedup(docs, 20, 20, chunk_bytes=20_000, bucket_hashes=700).drop("spans")
