@@ -46,7 +46,8 @@ def possible_bases(specs: DataFrame, aliases: DataFrame | None, by: list[str]) -
     )
     begins = specs.withColumn("prefix", F.explode(F.transform(F.sequence(F.lit(0), F.length("source")), lambda n: F.substring("source", F.lit(1), n))))
     fits = F.when(F.col("open"), F.endswith("source", "suffix")).otherwise(F.col("source") == F.col("prefix"))
-    both = begins.join(known, [*by, "prefix"]).where(fits)
+    # One project's aliases go to the specifiers; those of many projects meet theirs by key. The specifiers, many more once they are cut, go to all tasks in neither case.
+    both = (begins.hint("merge").join(known, [*by, "prefix"]) if by else begins.join(F.broadcast(known), "prefix")).where(fits)
     middle = F.expr("substring(source, length(prefix) + 1, greatest(length(source) - length(prefix) - length(suffix), 0))")
     at = F.instr("target", "*")
     filled = F.when(F.col("open") & (at > 0), F.concat(F.expr("substring(target, 1, instr(target, '*') - 1)"), middle, F.expr("substring(target, instr(target, '*') + 1)"))).otherwise(F.col("target"))
@@ -103,14 +104,15 @@ def resolve_modules(imports: DataFrame, files: DataFrame, aliases: DataFrame | d
         ), lambda x: x.isNotNull(),
     )
     known = files.select(*keys, F.col("path").alias("file")).distinct().select(*keys, "file", F.inline(answers))
-    hits = asked.join(known, [*keys, "key", "kind"])
+    # Both sides grow with the files. Their size is guessed from the table's bytes, before each row becomes several paths, so that one could be sent to all tasks.
+    hits = asked.join(known.hint("merge"), [*keys, "key", "kind"])
     best = hits.groupBy(*keys, "source", "folder").agg(F.min_by("file", F.struct("alias_place", "target_place", "rank", "nth")).alias("resolved"))
     own = imports.withColumn("_folder", F.when(F.startswith("source", F.lit(".")), folder))
     found = best.select(*[F.col(k).alias(f"_by_{k}") for k in keys], F.col("source").alias("_source"), F.col("folder").alias("_of"), "resolved")
     meets = (F.col("source") == F.col("_source")) & F.col("_folder").eqNullSafe(F.col("_of"))
     for k in keys:
         meets = meets & (F.col(k) == F.col(f"_by_{k}"))
-    return own.join(found, meets, "left").select(*imports.columns, "resolved")
+    return own.join(found.hint("merge"), meets, "left").select(*imports.columns, "resolved")
 
 
 def last_binding(local: DataFrame, imported: DataFrame, keys: list[str], order: str) -> DataFrame:

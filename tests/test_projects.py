@@ -4,6 +4,8 @@ import posixpath
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from corpusloom.operators import components, ignore, resolve, types
 
 
@@ -194,3 +196,12 @@ def test_members_of_types(spark):
         missing |= {(f, t, n) for n in gone}
     assert {(r.file, r.type, r.member): (r.declared_in, r.kind) for r in resolved.collect()} == want
     assert {tuple(r) for r in unresolved.collect()} == missing and missing
+
+
+def test_resolution_sends_only_aliases_to_all_tasks(spark):
+    """Specifiers and files grow with the code base, whatever Spark guesses their size to be."""
+    files = spark.range(50).select(F.concat(F.lit("src/f"), "id", F.lit(".ts")).alias("path"))
+    imports = files.select("path", F.explode(F.array(F.lit("./f1"), F.lit("@/f2"), F.lit("lodash"))).alias("source"))
+    found = resolve.resolve_modules(imports, files, {"@/": "src/"})
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
+    assert {(r.source, r.resolved) for r in found.collect()} == {("./f1", "src/f1.ts"), ("@/f2", "src/f2.ts"), ("lodash", None)}
