@@ -206,3 +206,28 @@ def test_audits(spark):
     assert {tuple(r) for r in audit.missing_siblings(files, "s", "k", ["loading", "error", "not-found"]).collect()} == {("s", "not-found"), ("t", "loading"), ("t", "error"), ("t", "not-found")}
     traps = spark.createDataFrame([([("isOpen", None), ("has_x", "x"), ("island", "y"), ("show", "string | boolean")],)], "n array<struct<name:string,type:string>>")
     assert traps.select(audit.boolean_traps(F.col("n"))).first()[0] == 2
+
+
+def test_class_pairs_keep_all_links_of_copies(spark):
+    """Many copies: a row for each and no pair between them, while all links between entities follow."""
+    import random
+
+    rng = random.Random(5)
+    kinds = [([], [], [])] + [tuple(rng.sample("abcdef", rng.randint(0, 4)) for _ in range(3)) for _ in range(25)]
+    rows = [(k, *[rng.sample(c, len(c)) for c in kinds[k % 26]]) for k in range(130)]
+    parts = [("x", 50), ("y", 30), ("z", 20)]
+    e = spark.createDataFrame(rows, "id long, x array<string>, y array<string>, z array<string>")
+    every = [(r.a, r.b) for r in cluster.weighted_pairs(e, "id", parts).collect()]
+    links, cluster_of = {k: 0 for k in range(130)}, {k: k for k in range(130)}
+    for a, b in every:
+        links[a] += 1
+        links[b] += 1
+    for _ in range(130):
+        for a, b in every:
+            cluster_of[a] = cluster_of[b] = min(cluster_of[a], cluster_of[b])
+    members, pairs = cluster.class_pairs(e, "id", parts)
+    same = lambda r: tuple(tuple(sorted(c)) for c in r[1:])
+    classes = {r[0]: min(q[0] for q in rows if same(q) == same(r)) for r in rows}
+    got = {r.id: (r["class"], r.links, r.cluster) for r in cluster.linked_members(members, pairs, "id").collect()}
+    assert got == {k: (classes[k], links[k], cluster_of[k]) for k in range(130)}
+    assert pairs.count() == len({(min(classes[a], classes[b]), max(classes[a], classes[b])) for a, b in every}) < len(every) / 5
