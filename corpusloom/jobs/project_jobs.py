@@ -84,7 +84,6 @@ def order_types(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     types = orders.select(file, name(F.col("n")).alias("type"))
     lines = orders.join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     members = lines.select(file, name(F.col("n")).alias("type"), F.col("l_linenumber").alias("place"), F.lower(F.replace("p_brand", F.lit("Brand#"), F.lit("m"))).alias("member"))
-    members = members.groupBy("file", "type", "member").agg(F.min("place").alias("place"))
     parents = F.array(
         F.when(F.col("n") > 1, F.struct(F.lit(0).alias("place"), F.concat(name(F.floor(F.col("n") / 2)), F.lit("<Row>")).alias("parent"))),
         F.when((F.col("n") > 1) & (F.col("n") % 2 == 1), F.struct(F.lit(1).alias("place"), name(F.col("n") - 1).alias("parent"))),
@@ -97,9 +96,7 @@ def order_types(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def type_members(spark, d) -> DataFrame:
     """The members of each type and where they are declared, with the names that its file doesn't declare."""
-    resolved, unresolved = T.resolved_members(*order_types(spark, d))
-    missing = unresolved.select("file", "type", F.col("name").alias("member"), F.lit(None).cast("string").alias("declared_in"))
-    return resolved.select("file", "type", "member", "declared_in").unionByName(missing)
+    return T.walked_members(*order_types(spark, d)).drop("found")
 
 
 FOUND_IN = """

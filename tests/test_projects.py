@@ -198,6 +198,20 @@ def test_members_of_types(spark):
     assert {tuple(r) for r in unresolved.collect()} == missing and missing
 
 
+def test_members_of_types_meet_once_and_large_files_are_dealt_out(spark):
+    """A file's rows are shuffled once, not in rounds; a file with many types is walked by several tasks, with the same result."""
+    rng = random.Random(3)
+    types_ = [(f, f"T{k}") for f, n in (("f", 60), ("g", 5), ("h", 1)) for k in range(n)]
+    size = {"f": 60, "g": 5, "h": 1}
+    members = [(f, t, p, rng.choice("uvwxyz")) for f, t in types_ for p in range(rng.randint(0, 3))]
+    refs = [(f, t, p, f"T{rng.randrange(size[f] + 1)}") for f, t in types_ for p in range(rng.randint(0, 2))]
+    tables = spark.createDataFrame(types_, "file string, type string"), spark.createDataFrame(members, "file string, type string, place int, member string"), spark.createDataFrame(refs, "file string, type string, place int, parent string")
+    whole = types.walked_members(*tables)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(file") == 2  # rows, and numbers of types
+    rows = sorted(map(str, whole.collect()))
+    assert rows == sorted(map(str, types.walked_members(*tables, starts=7).collect())) and len(rows) > 200
+
+
 def test_resolution_sends_only_aliases_to_all_tasks(spark):
     """Specifiers and files grow with the code base, whatever Spark guesses their size to be."""
     files = spark.range(50).select(F.concat(F.lit("src/f"), "id", F.lit(".ts")).alias("path"))
