@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..sources.storage import written
 from .audit import complexity
 from .rules import COMPONENT_RULES, ELEMENT_RULES, NEXT_RULES, Rule, elements
 
@@ -68,21 +69,26 @@ def colour_findings(lines: DataFrame, tokens: DataFrame | None = None) -> DataFr
     return found(rows, [finding("STYLE-HARDCODED-COLOR", "low", F.lit(1))])
 
 
-def import_findings(lines: DataFrame, client_files: DataFrame, is_next: bool = False) -> DataFrame:
-    rows = imports(lines)
+def import_findings(lines: DataFrame) -> DataFrame:
     whole = F.col("namespace").isNotNull() | F.col("default_name").isNotNull()
-    out = found(rows, [finding("PERF-HEAVY-IMPORT", "medium", (F.col("source").isin(V.HEAVY_PACKAGES) & whole).cast("int"))])
-    if is_next:
-        server = rows.where(F.col("source").rlike(V.SERVER_MODULE)).join(client_files, "file", "left_semi")
-        out = out.unionByName(found(server, [finding("NEXT-SERVER-MODULE-IN-CLIENT", "critical", F.lit(1))]))
-    return out
+    return found(imports(lines), [finding("PERF-HEAVY-IMPORT", "medium", (F.col("source").isin(V.HEAVY_PACKAGES) & whole).cast("int"))])
+
+
+def server_imports(lines: DataFrame) -> DataFrame:
+    """Imports of modules that only a server has: findings where their file is a client's."""
+    return found(imports(lines).where(F.col("source").rlike(V.SERVER_MODULE)), [finding("NEXT-SERVER-MODULE-IN-CLIENT", "critical", F.lit(1))])
+
+
+#: What file_findings() sums up over a file's lines.
+COUNTED = {"leaks": V.LEAKS, "teardowns": V.TEARDOWN, "suppressed": V.DEPS_SUPPRESSED, "client": V.CLIENT_ONLY, "handlers": r"<[^<>]*\son[A-Z]"}
 
 
-def file_findings(lines: DataFrame, client_files: DataFrame, is_next: bool = False) -> DataFrame:
-    """Findings on line 1 of a file, from sums over its lines."""
-    count = lambda p: F.sum(F.regexp_count("text", F.lit(p)))
-    sums = lines.groupBy("file").agg(count(V.LEAKS).alias("leaks"), count(V.TEARDOWN).alias("teardowns"), count(V.DEPS_SUPPRESSED).alias("suppressed"), count(V.CLIENT_ONLY).alias("client"), count(r"<[^<>]*\son[A-Z]").alias("handlers"))
-    rows = sums.join(client_files.withColumn("is_client", F.lit(True)), "file", "left").withColumn("line", F.lit(1))
+def file_findings(lines: DataFrame, texts: DataFrame, client_files: DataFrame, is_next: bool = False) -> DataFrame:
+    """Findings on line 1 of a file, from sums over its lines; texts (text) are the distinct ones, each counted in once."""
+    counts = texts.select("text", *[F.regexp_count("text", F.lit(p)).alias(name) for name, p in COUNTED.items()])
+    counts = written(counts.where(sum((F.col(name) for name in COUNTED), F.lit(0)) > 0), "text-counts")
+    sums = lines.join(counts, "text").groupBy("file").agg(*[F.sum(name).alias(name) for name in COUNTED])
+    rows = sums.join(client_files.withColumn("is_client", F.lit(True)), "file", "full_outer").na.fill(0, [*COUNTED]).withColumn("line", F.lit(1))
     is_client = F.col("is_client").isNotNull()
     rules = [
         finding("LEAK-NO-TEARDOWN", "high", F.when(F.col("teardowns") == 0, F.col("leaks")).otherwise(0)),
@@ -123,10 +129,16 @@ def jsx_findings(lines: DataFrame, is_next: bool = False) -> DataFrame:
 
 
 def code_findings(lines: DataFrame, tokens: DataFrame | None = None, is_next: bool = False, tailwind: bool = False) -> DataFrame:
-    """All of these rules over source lines."""
-    client_files = directives(lines).where("directive = 'use client'").select("file")
-    parts = [line_findings(lines, tailwind), colour_findings(lines, tokens), import_findings(lines, client_files, is_next), file_findings(lines, client_files, is_next), jsx_findings(lines, is_next)]
-    out = parts[0]
+    """All of these rules over source lines. What a text breaks is found once for each distinct one and joined to the lines that have it."""
+    texts = written(lines.where("text is not null").select("text").distinct(), "distinct-texts")
+    one = texts.select(F.col("text").alias("file"), F.lit(0).alias("line"), "text")
+    parts = [line_findings(one, tailwind), colour_findings(one, tokens), import_findings(one), jsx_findings(one, is_next), *([server_imports(one)] if is_next else [])]
+    by_text = parts[0]
     for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        by_text = by_text.unionByName(p)
+    by_text = written(by_text.withColumnRenamed("file", "text").drop("line"), "text-findings")
+    client_files = written(directives(lines).where("directive = 'use client'").select("file"), "client-files")
+    broken = lines.select("file", "line", "text").join(by_text, "text").select(FINDING)
+    server = F.col("rule") == "NEXT-SERVER-MODULE-IN-CLIENT"
+    out = broken.where(~server).unionByName(broken.where(server).join(client_files, "file", "left_semi").select(FINDING))
+    return out.unionByName(file_findings(lines, texts, client_files, is_next))

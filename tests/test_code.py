@@ -218,3 +218,19 @@ def test_file_counts_and_neighbourhood(spark):
     assert got == {"a": (3, 2, 1, 0, False, 3), "b": (1, 0, 0, 0, True, 1)}
     findings = spark.createDataFrame([("a", "high"), ("a", "low"), ("b", "high")], "file string, severity string")
     assert [tuple(r) for r in code_rules.neighbourhood(spark.createDataFrame([("a",), ("a",)], "file string"), findings).collect()] == [("a", 0, 1, 0, 1)]
+
+
+def test_what_a_text_breaks_is_found_once_for_each_distinct_text(spark):
+    """Lines with the same text have the same findings in every file, but for those that hang on the file; a rule's pattern meets a text once."""
+    texts = ["'use client';", "import fs from 'fs';", "eval(x); eval(y);", "<img src='a.png'>", "setTimeout(run, 5);", "nothing", None]
+    files = [("app/a/page.tsx", texts), ("src/b.tsx", texts[1:])]
+    lines = spark.createDataFrame([(f, n + 1, t) for f, rows in files for n, t in enumerate(rows * 3)], "file string, line int, text string")
+    out = code_rules.code_findings(lines, None, is_next=True)
+    got = {(r.rule, r.file, r.line, r.hits) for r in out.collect()}
+    for f, rows in files:
+        at = [n + 1 for n, t in enumerate(rows * 3) if t == "eval(x); eval(y);"]
+        assert {x for x in got if x[:2] == ("SEC-EVAL", f)} == {("SEC-EVAL", f, n, 2) for n in at}
+        assert ("LEAK-NO-TEARDOWN", f, 1, 3) in got
+    assert {x[1] for x in got if x[0] in ("NEXT-SERVER-MODULE-IN-CLIENT", "NEXT-CLIENT-BOUNDARY-TOO-HIGH")} == {"app/a/page.tsx"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "eval" not in plan and "setTimeout" not in plan
