@@ -31,18 +31,21 @@ def impact_layers(edges: DataFrame, seeds: DataFrame, layers: int = 12, src: str
 def simple_cycles(edges: DataFrame, longest: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """size, path: all simple cycles of 2 to `longest` nodes, once each, as an array that begins with its least node.
 
-    Paths grow from their least node on by joins, and close back on it; the length bound is part of the operator.
+    Paths grow from their least node on by joins, a column for each node, and close back on it; the length bound is part of the operator.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct()
-    paths = e.where("b > a").select(F.array("a", "b").alias("path"), F.col("b").alias("last"))
+    e = written(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b").distinct(), "edges")
+    paths = e.where("b > a").select(F.col("a").alias("n0"), F.col("b").alias("n1"))
     out = None
     for size in range(2, longest + 1):
-        closing = paths.join(e, F.col("last") == F.col("a")).where(F.col("b") == F.col("path")[0])
-        found = closing.select(F.lit(size).alias("size"), "path")
+        nodes = [f"n{k}" for k in range(size)]
+        closing = paths.join(e, (F.col(nodes[-1]) == F.col("a")) & (F.col("n0") == F.col("b")))
+        found = closing.select(F.lit(size).alias("size"), F.array(*nodes).alias("path"))
         out = found if out is None else out.unionByName(found)
         if size < longest:
-            grown = paths.join(e, F.col("last") == F.col("a")).where((F.col("b") > F.col("path")[0]) & ~F.array_contains("path", F.col("b")))
-            paths = written(grown.select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("last")), "paths")
+            grown = paths.join(e, F.col(nodes[-1]) == F.col("a")).where((F.col("b") > F.col("n0")) & ~F.col("b").isin(*[F.col(n) for n in nodes[1:]]))
+            grown = grown.select(*nodes, F.col("b").alias(f"n{size}"))
+            # The longest ones, by far the most, are read once, to close them.
+            paths = written(grown, "paths") if size + 1 < longest else grown
     return out
 
 

@@ -231,3 +231,19 @@ def test_class_pairs_keep_all_links_of_copies(spark):
     got = {r.id: (r["class"], r.links, r.cluster) for r in cluster.linked_members(members, pairs, "id").collect()}
     assert got == {k: (classes[k], links[k], cluster_of[k]) for k in range(130)}
     assert pairs.count() == len({(min(classes[a], classes[b]), max(classes[a], classes[b])) for a, b in every}) < len(every) / 5
+
+
+def test_longest_paths_of_cycles_are_not_held(spark):
+    """Cycles up to a length take no table of the paths of that length: these close at once."""
+    import random
+
+    from corpusloom.operators import graph
+
+    rng = random.Random(4)
+    pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(50)}
+    edges = spark.createDataFrame([*pairs], "src long, dst long")
+    found = graph.simple_cycles(edges, 3)
+    want = {(a, b) for a, b in pairs if a < b and (b, a) in pairs}
+    want |= {(a, b, c) for a, b in pairs for c in range(12) if a < min(b, c) and b != c and (b, c) in pairs and (c, a) in pairs}
+    assert {tuple(r.path) for r in found.collect()} == want and len(want) > 8
+    assert not any("/paths-" in f for f in found.inputFiles())
