@@ -122,6 +122,13 @@ def jsx_elements(lines: DataFrame) -> DataFrame:
     return elements(lines.withColumn("at", F.struct("file", "line", "text")), "at", "text", fold=False).select("at.file", "at.line", "place", "tag", "attrs", "raw")
 
 
+def elements_by_text(lines: DataFrame) -> DataFrame:
+    """The same as jsx_elements(), each distinct text being searched once and joined to the lines that have it."""
+    texts = lines.where("text is not null").select("text").distinct()
+    found = written(jsx_elements(texts.select(F.col("text").alias("file"), F.lit(0).alias("line"), "text")).withColumnRenamed("file", "text").drop("line"), "text-elements")
+    return lines.select("file", "line", "text").join(found, "text").select("file", "line", "place", "tag", "attrs", "raw")
+
+
 def jsx_findings(lines: DataFrame, is_next: bool = False) -> DataFrame:
     rules: list[Rule] = [*ELEMENT_RULES[:10], *COMPONENT_RULES, *(NEXT_RULES if is_next else [])]
     rows = jsx_elements(lines).withColumn("attrs", F.transform("attrs", F.lower))

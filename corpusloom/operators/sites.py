@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import META_ATTRIBUTES
+from ..sources.storage import written
 from .audit import boolean_traps
 from .resolve import owners
 from .usage import attribute_stats, site_sample
@@ -31,6 +32,7 @@ def call_sites(elements: DataFrame, bindings: DataFrame, spans: DataFrame | None
     sites = sites.select("file", "line", "place", "target", contract_attributes(F.col("attrs")).alias("attrs"), F.col("raw").contains("{...").alias("spread"), "raw")
     if spans is None:
         return sites
+    sites = written(sites, "call-sites")  # they are read again where their owners are joined
     held = owners(sites.select("file", "line").distinct(), spans, "file", "line", "first", "last", "owner")
     return sites.join(held, ["file", "line"], "left")
 

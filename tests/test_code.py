@@ -243,3 +243,12 @@ def test_the_gate_joins_orders_and_lines_once(spark):
     for name in ("secrets", "findings", "forbidden"):
         assert "lineitem.parquet" not in checks[name]._jdf.queryExecution().executedPlan().toString()
         assert not any(f.endswith("lineitem.parquet") for f in checks[name].inputFiles())
+
+
+def test_elements_by_text_are_those_of_each_line(spark):
+    rows = [(f, n, t) for f in "abc" for n, t in enumerate(["<W a={b} /><X.Y c />", "<W a={b} /><X.Y c />", "plain", None, "<img src='x' />"])]
+    lines = spark.createDataFrame(rows, "file string, line int, text string")
+    plain = lambda df: sorted(map(str, df.select("file", "line", "place", "tag", "attrs", "raw").collect()))
+    found = code_rules.elements_by_text(lines)
+    assert plain(found) == plain(code_rules.jsx_elements(lines)) and found.count() == 15
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()  # elements were searched before, once for a text
