@@ -182,6 +182,28 @@ def test_jaccard_in_many_chunks_and_blocks(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 20
 
 
+def test_circles_open_without_whole_sets(spark):
+    """Members of open circles come with the sketches that known has; elements need not be there, n."""
+    drawn = jaccard_join.sketched([np.arange(k, k + 20, dtype=np.uint64).tobytes() for k in range(3)])
+    known = spark.createDataFrame([(k + 1, 20, [1], drawn[k]) for k in range(3)], "set_id long, n long, circles array<long>, sketch binary")
+    links = spark.createDataFrame([(1, 2)], "a long, b long")
+    rest = jaccard_join.open_circles(known, links)
+    assert {(r.circle, r.set_id, r.n_shingles, r.asks, bytes(r.sketch)) for r in rest.collect()} == {(1, k + 1, 20, k == 2, drawn[k]) for k in range(3)}
+    pairs = jaccard_join.across_components(jaccard_join.open_circles(known, links, spark.createDataFrame([(3,)], "set_id long")), 75)
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 3), (2, 3)}
+    several = spark.createDataFrame([(k + 1, 20, [1, 7, 8], drawn[k]) for k in range(3)], "set_id long, n long, circles array<long>, sketch binary")
+    found = jaccard_join.across_components(jaccard_join.open_circles(several, links), 75, nearest=True).collect()
+    assert [(r.a, r.b, r.several) for r in found] == [(3, 2, True)]
+
+
+def test_sketches_in_slices_are_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (3, 500, 1, 40, 900, 7)]
+    whole = jaccard_join.sketches(np.concatenate(sets), np.array([len(x) for x in sets]))
+    monkeypatch.setattr(jaccard_join, "SIGNED_ELEMENTS", 50)
+    assert jaccard_join.sketched([x.tobytes() for x in sets]) == whole and jaccard_join.sketched([]) == []
+
+
 def test_sketches_bound_from_below():
     rng = np.random.default_rng(2)
     sets = [rng.choice(3000, n, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for n in (1, 5, 40, 130, 300, 700, 1500)]
