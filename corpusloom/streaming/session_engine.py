@@ -17,6 +17,10 @@ COMMANDS = "run string, at long, seq long, session string, action string, step s
 AUDIT = "run string, at long, seq long, session string, action string, outcome string, held_by string, done long, spent long"
 STATE = "holder string, beat long, ever boolean, done long, spent long"
 NOTHING = (None, 0, False, 0, 0)
+#: Commands that wait, packed: a row of columns as arrays for each frame that came.
+WAITING = "at array<long>, seq array<long>, session array<string>, action array<string>, step array<string>, spent array<long>"
+#: Commands in one packed row, at most, as those that wait on are written back.
+PACKED = 10_000
 LEASE = LEASE_MINUTES * 60 * 1_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -65,13 +69,25 @@ def run_through(state: tuple, commands: list[tuple], until: int) -> tuple[tuple,
 
 
 def audit_frame(run: str, rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame([(run, *r) for r in rows], columns=[c.split()[0] for c in AUDIT.split(", ")]).astype({"at": "int64", "seq": "int64", "done": "int64", "spent": "int64"})
+    run_column, *others = [c.split()[0] for c in AUDIT.split(", ")]
+    columns = dict(zip(others, zip(*rows, strict=True), strict=True)) if rows else {c: [] for c in others}
+    return pd.DataFrame({run_column: [run] * len(rows)} | {c: list(v) for c, v in columns.items()}).astype({"at": "int64", "seq": "int64", "done": "int64", "spent": "int64"})
+
+
+def columns_of(frame: pd.DataFrame) -> tuple[list, ...]:
+    """Commands as a list for each column but the run; missing values are None."""
+    out = []
+    for name in ("at", "seq", "session", "action", "step", "spent"):
+        column, kind = frame[name], int if name in ("at", "seq", "spent") else lambda v: v
+        values = column.tolist()
+        missing = column.isna().tolist() if column.hasnans else [False] * len(values)
+        out.append([None if gone else kind(v) for v, gone in zip(values, missing, strict=True)])
+    return tuple(out)
 
 
 def plain(frame: pd.DataFrame) -> list[tuple]:
     """Commands as tuples without the run; missing values are None."""
-    columns = ["at", "seq", "session", "action", "step", "spent"]
-    return [tuple(None if pd.isna(v) else int(v) if k in (0, 1, 5) else v for k, v in enumerate(r)) for r in frame[columns].itertuples(index=False)]
+    return list(zip(*columns_of(frame), strict=True))
 
 
 def audited(commands: DataFrame, until: int) -> DataFrame:
@@ -90,17 +106,22 @@ class RunProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("run", STATE)
-        self.waiting = handle.getListState("waiting", "at long, seq long, session string, action string, step string, spent long")
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        commands = [c for frame in rows for c in plain(frame)]
-        self.waiting.appendList(commands)
-        self.watch([*self.waiting.get()])
+        # The timer stands for all that waited before, so that they need not be read.
+        ends = []
+        for frame in rows:
+            packed = columns_of(frame)
+            if packed[0]:
+                self.waiting.appendValue(packed)
+                ends.append(min(packed[0]) // 1000 + 1)
+        self.watch(ends, [*self.handle.listTimers()])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(c) for c in self.waiting.get()]
+        waiting = [c for packed in self.waiting.get() for c in zip(*packed, strict=True)]
         due, later = [c for c in waiting if c[0] < until], [c for c in waiting if c[0] >= until]
         state = tuple(self.state.get()) if self.state.exists() else NOTHING
         state, rows = run_through(state, due, until - 1)
@@ -108,19 +129,23 @@ class RunProcessor(StatefulProcessor):
         if due:
             self.waiting.clear()
             if later:
-                self.waiting.put(later)
-        self.watch(later)
+                self.waiting.put([tuple(map(list, zip(*later[k : k + PACKED], strict=True))) for k in range(0, len(later), PACKED)])
+        ends = [min(c[0] for c in later)] if later else []
+        ends += [state[1] + LEASE] if state[0] is not None else []
+        for t in [*self.handle.listTimers()]:
+            self.handle.deleteTimer(t)
+        self.watch([t // 1000 + 1 for t in ends], [])
         if rows:
             yield audit_frame(key[0], rows)
 
-    def watch(self, waiting: list[tuple]) -> None:
-        """One timer at a time: past the first command that waits and the end of the lease, whichever is first."""
-        state = tuple(self.state.get()) if self.state.exists() else NOTHING
-        ends = [c[0] for c in waiting] + ([state[1] + LEASE] if state[0] is not None else [])
-        for t in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(t)
-        if ends:
-            self.handle.registerTimer(min(ends) // 1000 + 1)
+    def watch(self, ends: list[int], timers: list[int]) -> None:
+        """One timer at a time, in milliseconds: past the first command that waits and the end of the lease, whichever is first; timers are those that stand."""
+        first = min([*ends, *timers], default=None)
+        for t in timers:
+            if t != first:
+                self.handle.deleteTimer(t)
+        if first is not None and first not in timers:
+            self.handle.registerTimer(first)
 
     def close(self) -> None:
         pass

@@ -47,3 +47,54 @@ def test_stream_in_late_batches_equals_the_batch(spark):
     want = [tuple(r) for r in E.audited(before, mark - 1).collect()]
     key = lambda r: (r[0], r[1], r[2], r[3])
     assert sorted(got, key=key) == sorted(want, key=key) and {r[5] for r in got} == {"started", "attached", "refused", "not held", "recorded", "alive", "ended", "expired"}
+
+
+def test_waiting_commands_are_packed_and_not_read_back():
+    """A frame of commands becomes one row of state, and the timer moves without the commands that wait being read; later ones are written back packed."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows, self.reads, self.value = [], 0, None
+
+        def appendValue(self, row):
+            self.rows.append(row)
+
+        def get(self):
+            self.reads += 1
+            return self.value or iter(self.rows)
+
+        def put(self, rows):
+            self.rows = list(rows)
+
+        def clear(self):
+            self.rows = []
+
+        def exists(self):
+            return self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+
+        listTimers = lambda self: sorted(self.timers)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+        registerTimer = lambda self, t: self.timers.add(t)
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 15
+
+    p = E.RunProcessor()
+    p.handle, p.state, p.waiting = Handle(), State(), State()
+    frame = lambda rows: pd.DataFrame([("r", *r) for r in rows], columns=["run", "at", "seq", "session", "action", "step", "spent"])
+    first = [(20_000, 2, "a", "checkpoint", None, 3), (10_000, 1, "a", "start", "w", None)]
+    assert list(p.handleInputRows(("r",), iter([frame(first), frame([(30_000, 3, "a", "end", None, 1)])]), None)) == []
+    assert list(p.handleInputRows(("r",), iter([frame([(40_000, 4, "b", "start", None, None)])]), None)) == []
+    assert (len(p.waiting.rows), p.waiting.reads, p.handle.timers) == (3, 0, {11})
+    assert p.waiting.rows[0] == ([20_000, 10_000], [2, 1], ["a", "a"], ["checkpoint", "start"], [None, "w"], [3, None])
+    (out,) = p.handleExpiredTimer(("r",), Times(), None)
+    assert out[["run", "at", "outcome", "held_by"]].values.tolist() == [["r", 10_000, "started", "a"]]
+    assert p.waiting.rows == [([20_000, 30_000, 40_000], [2, 3, 4], ["a", "a", "b"], ["checkpoint", "end", "start"], [None] * 3, [3, 1, None])] and p.handle.timers == {21}
