@@ -53,7 +53,7 @@ def import_components(spark, d) -> DataFrame:
     """For each part the cycle of followers, of any length, that it is on: its least part and its size."""
     found = K.strongly_connected(follower_edges(spark, d))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
-    return found.join(sizes, "component").select(F.col("node").alias("part"), "component", "size")
+    return found.join(sizes.hint("merge"), "component").select(F.col("node").alias("part"), "component", "size")
 
 
 #: Rules of the root, of folders of the first level and of those of the second.

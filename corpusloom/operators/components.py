@@ -14,14 +14,15 @@ def least_labels(pulls: DataFrame) -> DataFrame:
     Every round, a node takes the least label of its neighbours and then that label's own label, so that labels
     travel at least twice as far each round. Labels are written to shared storage, which
     cuts the lineage, and those of the round before are deleted; a hub's rows meet only in partial minima and in joins that adaptive execution can split.
+    Both sides of all joins grow with the nodes, so that they meet by sort and merge: labels that are small enough for a broadcast would pass the driver in each join of each round.
     """
     ends = pulls.select(F.col("a").alias("node"), "b").union(pulls.select(F.col("b").alias("node"), F.col("b")))
     labels = held = written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        near = pulls.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        lower = labels.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("next"))
+        near = pulls.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")).hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        lower = labels.join(near.hint("merge"), "node", "left").select("node", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = written(lower.join(jump, "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
+        moved = written(lower.join(jump.hint("merge"), "next", "left").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") < F.col("label")).alias("moved")), "labels")
         discarded(held)
         held, labels = moved, moved.select("node", "label")
         if moved.where("moved").isEmpty():
@@ -75,18 +76,18 @@ def strongly_connected(edges: DataFrame, src: str = "src", dst: str = "dst", tri
     while True:
         for _ in range(trims):
             into, out = live.select(F.col("d").alias("s")).distinct(), live.select(F.col("s").alias("d")).distinct()
-            live = live.join(into, "s", "left_semi").join(out, "d", "left_semi").select("s", "d")
+            live = live.join(into.hint("merge"), "s", "left_semi").join(out.hint("merge"), "d", "left_semi").select("s", "d")
         live = written(live, "live-edges")
         if live.isEmpty():
             break
         colours = least_labels(live.select(F.col("d").alias("a"), F.col("s").alias("b")))
-        of = lambda end, name: colours.select(F.col("node").alias(end), F.col("label").alias(name))  # noqa: E731, B023
+        of = lambda end, name: colours.select(F.col("node").alias(end), F.col("label").alias(name)).hint("merge")  # noqa: E731, B023
         same = written(live.join(of("s", "x"), "s").join(of("d", "y"), "d").where("x = y").select("s", "d", "x"), "coloured-edges")
         back = least_labels(same.select(F.col("s").alias("a"), F.col("d").alias("b")))
-        component = written(back.join(colours.withColumnRenamed("label", "colour"), "node").where("label = colour").select("node", F.col("colour").alias("component")), "components")
+        component = written(back.join(colours.withColumnRenamed("label", "colour").hint("merge"), "node").where("label = colour").select("node", F.col("colour").alias("component")), "components")
         found = component if found is None else found.unionByName(component)
-        gone = component.select("node")
+        gone = component.select("node").hint("merge")
         live = same.select("s", "d").join(gone.withColumnRenamed("node", "s"), "s", "left_anti").join(gone.withColumnRenamed("node", "d"), "d", "left_anti")
     if found is None:
         return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return nodes.join(found.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -36,6 +36,16 @@ def test_strongly_connected(spark):
     assert components.strongly_connected(df.limit(0)).count() == 0
 
 
+def test_components_pass_no_labels_through_the_driver(spark, monkeypatch):
+    """Joins of labels and edges are no broadcasts, however small the tables are; a cycle and an edge out of it."""
+    plans, real = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    found = components.strongly_connected(spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long"))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {r.node: r.component for r in found.collect()} == {1: 1, 2: 1, 3: 3}
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def undirected(edges):
     both = edges + [(b, a) for a, b in edges]
     return {n: min(reach(both, n)) for e in edges for n in e}
