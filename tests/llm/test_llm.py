@@ -196,6 +196,33 @@ def test_circles_open_without_whole_sets(spark):
     assert [(r.a, r.b, r.several) for r in found] == [(3, 2, True)]
 
 
+def test_last_circles_cost_a_row_a_set(spark):
+    """Sets that are all nearly alike, linked or not: rows follow sets, not pairs, and what is linked is joined, in blocks and pieces too."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.sort(np.concatenate((rng.choice(base, 52, replace=False), rng.integers(0, 1 << 63, 1, dtype=np.uint64)))) for _ in range(40)]
+    elements = [x.tobytes() for x in sets]
+    known = spark.createDataFrame([(k, len(sets[k]), [7, 9], e, d) for k, (e, d) in enumerate(zip(elements, jaccard_join.sketched(elements), strict=True))], "set_id long, n long, circles array<long>, elements binary, sketch binary")
+    linked = [(a, b) for a in range(40) for b in range(a) if jaccard_join.linked(len(np.intersect1d(sets[a], sets[b])), 53, 53, 75)]
+    rest = jaccard_join.open_circles(known, spark.createDataFrame([linked[0]], "a long, b long"), known.select("set_id")).cache()
+    pairs = jaccard_join.across_components(rest, 75).select("a", "b").distinct().count()
+    assert pairs > 300 and 50 < len(linked) < pairs
+
+    def components(links):
+        label = list(range(40))
+        for a, b in [linked[0], *links]:
+            label = [label[a] if x == label[b] else x for x in label]
+        return len(set(label))
+
+    for block, piece in ((4096, 1 << 21), (7, 1 << 21), (4096, 600), (7, 60)):
+        parts = jaccard_join.may_link(rest, 75, block, piece).cache()
+        groups = parts.select("home", "i", "j", "root", "p", "q").distinct().count()
+        found = [tuple(r) for r in jaccard_join.joining_links(parts.join(known.select("set_id", "elements"), "set_id"), 75).collect()]
+        assert components(found) == components(linked) and set(found) <= {(b, a) for a, b in linked}
+        assert len(found) <= parts.count() - groups
+    assert jaccard_join.may_link(rest, 75).count() == 40
+
+
 def test_sketches_in_slices_are_the_same(monkeypatch):
     rng = np.random.default_rng(5)
     sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (3, 500, 1, 40, 900, 7)]
