@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import packed, rows_of, unpacked
+from ..functions.chunks import packed, rows_of, unpacked
 from .common import spread, written
 
 #: Rows of a block of candidates, anchors of a tile, anchors scored at once, and blocks that meet a tile in one task, about.

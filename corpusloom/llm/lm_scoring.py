@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BUCKET_HASHES, CHUNK_BYTES, QUESTION, Chunk, in_order, packed, per_bucket, question, rows_of, unpacked, word_chunks
+from ..functions.chunks import BUCKET_HASHES, CHUNK_BYTES, QUESTION, Chunk, in_order, packed, per_bucket, question, rows_of, unpacked, word_chunks
 from .common import mix64, spread, written
 
 #: Word classes (0 holds the end of a text alone) and groups of a class: both are chosen by softmax, over as many weights in a row.

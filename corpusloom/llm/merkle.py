@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import packed, rows_of, unpacked
+from ..functions.chunks import packed, rows_of, unpacked
 from .common import written
 
 #: Children of a node, levels that one task reduces at once, and the leaves of such a group.

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BUCKET_HASHES, CHUNK, CHUNK_BYTES, QUESTION, Chunk, answered, in_order, packed, question, rows_of, seen_twice, word_chunks
+from ..functions.chunks import BUCKET_HASHES, CHUNK, CHUNK_BYTES, QUESTION, Chunk, answered, in_order, packed, question, rows_of, seen_twice, word_chunks
 from .common import discarded, spread, window_hashes, written
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,end:long>>"

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BUCKET_HASHES, CHUNK_BYTES, QUESTION, Chunk, answered, in_order, question, rows_of, seen_twice, word_chunks
+from ..functions.chunks import BUCKET_HASHES, CHUNK_BYTES, QUESTION, Chunk, answered, in_order, question, rows_of, seen_twice, word_chunks
 from .common import mix64, spread, window_hashes, written
 
 RESULT = "doc_id long, start_word long, end_word long, n_words long, partner_id long"

@@ -1,5 +1,7 @@
 """Operators on small fixtures: nulls, ties, empty tables and edge cases."""
 
+import random
+import re
 from datetime import datetime
 
 import pytest
@@ -165,6 +167,37 @@ def test_near_clusters(spark):
     assert cluster.near_clusters(texts.limit(0), "id", "t").count() == 0
 
 
+def test_near_pairs_explode_only_sets_that_can_link(spark, monkeypatch):
+    """Pairs are those of all texts compared with all, while texts with few shingles that others have never come out of their packed chunks."""
+    rng = random.Random(4)
+    draw = lambda n: [f"{rng.choice('ÄÖéab')}{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [" ".join(draw(rng.randint(1, 40))) for _ in range(60)] + [None, "", "a b c d", "a b c d", "x\x1cy b\tc\x0bd e", "one two three four five"]
+    for _ in range(12):
+        base = draw(60)
+        for k in range(3):
+            near = base[:]
+            near[20 * k : 20 * k + k] = draw(k)
+            texts += [" ".join(near), " ".join(near).upper()]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, texts[70])]
+    rng.shuffle(rows)
+    sets = {}
+    for k, t in rows:
+        w = [x for x in re.split("[ \t\n\x0b\f\r]+", (t or "").lower()) if x]
+        if len(w) >= 5 and k is not None:
+            key = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+            sets[key] = min(k, sets.get(key, k))
+    want = {(a, b, len(x & y), len(x | y)) for x, a in sets.items() for y, b in sets.items() if a < b and 100 * len(x & y) >= 75 * len(x | y)}
+    made, real = {}, cluster.written
+    monkeypatch.setattr(cluster, "written", lambda df, name: made.setdefault(name, real(df, name)))
+    small = cluster.described_sets
+    monkeypatch.setattr(cluster, "described_sets", lambda *a, **b: small(*a, **b, chunk_bytes=2000, bucket_hashes=300))
+    members, pairs = cluster.near_pairs(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t")
+    assert {tuple(r) for r in pairs.collect()} == want and len(want) > 20
+    assert {(r.key, r["class"]) for r in members.collect() if r.key in (66, 67, 71)} == {(66, 66), (67, 66), (71, 70)}
+    whole = {r.key for r in made["able-sets"].select("key").collect()}
+    assert {k for a, b, *_ in want for k in (a, b)} <= whole and len(whole) < 45
+
+
 def test_gate(spark):
     status = spark.createDataFrame([("M\tsrc/a.ts",), ("R100\told.ts\tnew.ts",), (" M b.ts",), ("?? c.ts",), ("R  x.ts -> y.ts",)], "value string")
     assert [r.path for r in gate.status_rows(status).collect()] == ["src/a.ts", "new.ts", "b.ts", "c.ts", "y.ts"]
