@@ -198,6 +198,22 @@ def test_near_pairs_explode_only_sets_that_can_link(spark, monkeypatch):
     assert {k for a, b, *_ in want for k in (a, b)} <= whole and len(whole) < 45
 
 
+def test_near_pairs_list_copies_too(spark):
+    """All pairs of texts alike enough, those of equal shingles and those that a copy has with others, against all texts compared with all; classes larger than a row of keys are split."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(40)]
+    near = lambda n: [f"z{rng.randrange(99)}" for _ in range(n)] + base[n:]
+    texts = [base] * 9 + [near(1)] * 5 + [near(2), near(3), near(30)] + [base + base[:4]] * 2 + [["a", "b"]] * 2
+    rows = [(3 * k, " ".join(t)) for k, t in enumerate(texts)] + [(None, " ".join(base)), (500, None)]
+    rng.shuffle(rows)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, (t or "").split()) for k, t in rows) if k is not None}
+    want = sorted((a, b, len(x & y), len(x | y)) for a, x in sets.items() for b, y in sets.items() if a < b and x and 100 * len(x & y) >= 75 * len(x | y))
+    members, pairs = cluster.near_pairs(spark.createDataFrame(rows, "id long, t string").repartition(3), "id", "t")
+    for share in (2, 1024):
+        got = cluster.listed_pairs(members, cluster.same_and_near(members, pairs), share)
+        assert sorted(map(tuple, got.select("a", "b", "common", "union").collect())) == want and len(want) > 100
+
+
 def test_gate(spark):
     status = spark.createDataFrame([("M\tsrc/a.ts",), ("R100\told.ts\tnew.ts",), (" M b.ts",), ("?? c.ts",), ("R  x.ts -> y.ts",)], "value string")
     assert [r.path for r in gate.status_rows(status).collect()] == ["src/a.ts", "new.ts", "b.ts", "c.ts", "y.ts"]
