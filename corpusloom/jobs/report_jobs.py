@@ -209,7 +209,7 @@ def precedent_clusters(spark, d) -> DataFrame:
 
 def duplicates_report(spark, d) -> DataFrame:
     """The forty largest clusters of suppliers with like contracts, with the best of each."""
-    return C.duplicates(C.contract_clusters(contracts(spark, d))[1])
+    return C.duplicates(C.contract_members(contracts(spark, d)))
 
 
 CLUSTERS = """
