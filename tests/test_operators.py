@@ -306,6 +306,24 @@ def test_weighted_pairs_both_ways(spark):
         assert {r.id: r.component for r in got} == component
 
 
+def test_suppliers_are_paired_with_their_copies(spark, tmp_path):
+    """All pairs of suppliers, those that deliver the same too, each with its similarity; and all that each twentieth is like."""
+    from corpusloom.jobs import graph_jobs
+
+    kinds = {0: [1, 2, 3], 1: [1, 2], 2: [9]}
+    suppliers = {k: kinds[k % 3] for k in range(0, 70, 5)}
+    spark.createDataFrame([(k,) for k in suppliers], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(p, f"b{p}", f"t{p}", p) for p in range(10)], "p_partkey long, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(k, p) for k, own in suppliers.items() for p in own * 2], "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    # Two thirds of .5, .3 and .2, rounded each.
+    like = lambda a, b: 1000 if a % 3 == b % 3 else 333 + 200 + 133 if {a % 3, b % 3} == {0, 1} else 0
+    want = {(a, b, like(a, b), 5 if a % 3 == 2 else 0) for a in suppliers for b in suppliers if a < b and like(a, b)}
+    got = graph_jobs.supplier_pairs(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("a", "b", "similarity", "cluster").collect())) == sorted(want) and len(want) > 40
+    sides = [(x, y, s) for a, b, s, _ in want for x, y in ((a, b), (b, a)) if x % 20 == 0]
+    assert sorted(map(tuple, graph_jobs.contract_similarity(spark, str(tmp_path)).select("asked", "other", "similarity").collect())) == sorted(sides)
+
+
 def test_longest_paths_of_cycles_are_not_held(spark):
     """Cycles up to a length take no table of the paths of that length: these close at once."""
     import random
