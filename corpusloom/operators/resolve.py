@@ -11,6 +11,10 @@ from ..sources.storage import written
 EXTENSIONS = [".tsx", ".ts", ".jsx", ".js", ".mjs", ".cjs", ".mts", ".cts"]
 # Fixed value: extensions that may stand for one of those above.
 SWAPPED = r"\.(js|jsx|mjs)$"
+#: How a path answers, in the order in which these are tried: as it is, with an extension, or as a folder's index; after a swap it is tried with an extension, before an index.
+FILE, STEM, SWAPPED_RANK, INDEX = range(4)
+#: Which answers a specifier takes.
+ANY, INDEX_ALONE, SWAPPED_STEM = range(3)
 #: After all aliases.
 LAST = 1 << 30
 
@@ -64,55 +68,55 @@ def resolve_modules(imports: DataFrame, files: DataFrame, aliases: DataFrame | d
     these columns and only rows that agree in them meet.
 
     Of a path, these are tried: as it is written, if it has an extension; with each of EXTENSIONS; without .js, .jsx or .mjs and with each of them; as a folder
-    with an index file. Files are known under the paths that they answer to, so that a specifier is a few rows, not one for each try.
+    with an index file. Files are known under the paths that they answer to, and how, so that a specifier is a row for each path that it may mean, and one more without .js, .jsx or .mjs, not one for each try.
     A path that leads out of the tree, or ends in a slash without a folder's index, is external.
     """
     keys = list(by)
     if isinstance(aliases, dict):
         aliases = alias_rows(imports.sparkSession, aliases)
-    distinct = imports.select(*keys, "path", "source").distinct()
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    relative = distinct.where(F.startswith("source", F.lit("."))).select(*keys, "source", folder.alias("folder")).distinct()
+    relative_source, folder = F.startswith("source", F.lit(".")), F.regexp_replace("path", r"[^/]*$", "")
+    relative = imports.where(relative_source).select(*keys, "source", folder.alias("folder")).distinct()
     relative = relative.select(*keys, "source", "folder", F.concat("folder", "source").alias("base"), F.lit(0).alias("alias_place"), F.lit(0).alias("target_place"))
-    others = possible_bases(distinct.where(~F.startswith("source", F.lit("."))).select(*keys, "source").distinct(), aliases, keys)
+    others = possible_bases(imports.where(~relative_source).select(*keys, "source").distinct(), aliases, keys)
     if bases is not None:
         below = bases.select(*keys, F.col("base").alias("root_folder"))
         others = others.join(below, keys, "left") if keys else others.join(below, F.lit(True), "left")
         others = others.withColumn("base", F.when(F.col("alias_place") == LAST, F.concat_ws("/", F.nullif("root_folder", F.lit("")), "base")).otherwise(F.col("base"))).drop("root_folder")
     outside = F.startswith("source", F.lit("/"))
-    rows = relative.unionByName(others.where(~outside).withColumn("folder", F.lit(None).cast("string")))
+    # Only relative specifiers begin with a dot, so that others are told from them without a null folder: all meet by plain equality, and what is found is not shuffled again for it.
+    rows = relative.unionByName(others.where(~outside).withColumn("folder", F.lit("")))
     slash, whole = F.col("base").rlike("(^|/)$"), normal_path(F.col("base"))
-    rows = rows.withColumn("open", slash & (F.col("folder").isNotNull())).withColumn("base", whole)
+    rows = rows.withColumn("open", slash & relative_source).withColumn("base", whole)
     swapped = F.regexp_replace("base", SWAPPED, "")
-    row = lambda key, kind, rank: F.struct(key.alias("key"), F.lit(kind).alias("kind"), F.lit(rank).alias("rank"))
-    asks = F.filter(
-        F.array(
-            F.when(~F.col("open"), row(F.col("base"), "file", 0)), F.when(~F.col("open"), row(F.col("base"), "stem", 1)),
-            F.when(~F.col("open") & (swapped != F.col("base")), row(swapped, "stem", 2)), row(F.col("base"), "index", 3),
-        ), lambda x: x.isNotNull(),
-    )
+    ask = lambda key, way: F.struct(key.alias("key"), way.alias("way"))
+    other = F.when(~F.col("open") & (swapped != F.col("base")), ask(swapped, F.lit(SWAPPED_STEM)))
+    asks = F.filter(F.array(ask(F.col("base"), F.when(F.col("open"), INDEX_ALONE).otherwise(ANY)), other), lambda x: x.isNotNull())
     asked = rows.select(*keys, "source", "folder", "alias_place", "target_place", F.inline(asks))
     place = F.create_map(*[F.lit(x) for k, e in enumerate(EXTENSIONS) for x in (e, k)])
     extension = F.regexp_extract("file", r"(\.[a-z]+)$", 1)
     stem, nth = F.expr("substring(file, 1, length(file) - length(regexp_extract(file, '([.][a-z]+)$', 1)))"), F.try_element_at(place, extension)
-    answer = lambda key, kind, n: F.struct(key.alias("key"), F.lit(kind).alias("kind"), n.alias("nth"))
+    answer = lambda key, rank, n: F.struct(key.alias("key"), F.lit(rank).alias("rank"), n.alias("nth"))
     answers = F.filter(
         F.array(
-            F.when(F.col("file").rlike(r"(^|/)[^/]+\.[^/]*$"), answer(F.col("file"), "file", F.lit(0))),
-            F.when(nth.isNotNull(), answer(stem, "stem", nth)),
-            F.when(nth.isNotNull() & stem.rlike("(^|/)index$"), answer(F.regexp_replace(stem, "/?index$", ""), "index", nth)),
+            F.when(F.col("file").rlike(r"(^|/)[^/]+\.[^/]*$"), answer(F.col("file"), FILE, F.lit(0))),
+            F.when(nth.isNotNull(), answer(stem, STEM, nth)),
+            F.when(nth.isNotNull() & stem.rlike("(^|/)index$"), answer(F.regexp_replace(stem, "/?index$", ""), INDEX, nth)),
         ), lambda x: x.isNotNull(),
     )
     known = files.select(*keys, F.col("path").alias("file")).distinct().select(*keys, "file", F.inline(answers))
     # Both sides grow with the files. Their size is guessed from the table's bytes, before each row becomes several paths, so that one could be sent to all tasks.
-    hits = asked.join(known.hint("merge"), [*keys, "key", "kind"])
-    best = hits.groupBy(*keys, "source", "folder").agg(F.min_by("file", F.struct("alias_place", "target_place", "rank", "nth")).alias("resolved"))
-    own = imports.withColumn("_folder", F.when(F.startswith("source", F.lit(".")), folder))
+    way, rank = F.col("way"), F.col("rank")
+    hits = asked.join(known.hint("merge"), [*keys, "key"]).where((way == ANY) | ((way == INDEX_ALONE) & (rank == INDEX)) | ((way == SWAPPED_STEM) & (rank == STEM)))
+    first = F.struct("alias_place", "target_place", F.when(way == SWAPPED_STEM, SWAPPED_RANK).otherwise(rank), "nth")
+    best = hits.groupBy(*keys, "source", "folder").agg(F.min_by("file", first).alias("resolved"))
+    # A path goes as its folder and the rest of it, as it meets its relative specifiers by folder.
+    own = imports.withColumn("_folder", F.when(relative_source, folder).otherwise(F.lit(""))).withColumn("path", F.expr("substring(path, length(_folder) + 1)"))
     found = best.select(*[F.col(k).alias(f"_by_{k}") for k in keys], F.col("source").alias("_source"), F.col("folder").alias("_of"), "resolved")
-    meets = (F.col("source") == F.col("_source")) & F.col("_folder").eqNullSafe(F.col("_of"))
+    meets = (F.col("source") == F.col("_source")) & (F.col("_folder") == F.col("_of"))
     for k in keys:
         meets = meets & (F.col(k) == F.col(f"_by_{k}"))
-    return own.join(found.hint("merge"), meets, "left").select(*imports.columns, "resolved")
+    whole = own.join(found.hint("merge"), meets, "left").withColumn("path", F.concat("_folder", "path"))
+    return whole.select(*imports.columns, "resolved")
 
 
 def last_binding(local: DataFrame, imported: DataFrame, keys: list[str], order: str) -> DataFrame:

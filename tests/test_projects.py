@@ -229,3 +229,35 @@ def test_resolution_sends_only_aliases_to_all_tasks(spark):
     found = resolve.resolve_modules(imports, files, {"@/": "src/"})
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1
     assert {(r.source, r.resolved) for r in found.collect()} == {("./f1", "src/f1.ts"), ("@/f2", "src/f2.ts"), ("lodash", None)}
+
+
+def test_resolution_shuffles_few_rows(spark, tmp_path):
+    """A specifier goes out once for each path that it may mean, not for each kind of answer, and what is found comes back once; orders with nulls are files as others are."""
+    from datetime import datetime
+
+    from corpusloom.jobs import project_jobs
+
+    rng = random.Random(2)
+    orders = [(k, rng.randint(1, 9), rng.choice(list(project_jobs.PRIORITIES)), datetime(1990 + rng.randrange(9), 1, 1)) for k in range(300)]
+    orders += [(301, None, "2-HIGH", datetime(1995, 1, 1)), (302, 3, "2-HIGH", None), (303, 4, "none", datetime(1995, 1, 1)), (304, 5, "none", datetime(1995, 1, 1)), (None, 6, "2-HIGH", datetime(1997, 1, 1)), (-5, 6, "5-LOW", datetime(1997, 1, 1))]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate timestamp").repartition(2).write.parquet(f"{tmp_path}/orders.parquet")
+    found = project_jobs.resolved_files(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*\b(kind|isnull)", plan)
+    rows = [(r.path, r.source, r.resolved) for r in found.collect()]
+    want = set()
+    paths = {(c, k, d and d.year): c and d and project_jobs.PRIORITIES.get(p) and f"src/c{c}/{d.year}{project_jobs.PRIORITIES[p]}" for k, c, p, d in orders}
+    for (c, k, y), path in paths.items():
+        up = ["..", "../x/.."][k % 3] if k is not None and 0 <= k and k % 3 < 2 else "../../src"
+        with_year = [f"./{y}", f"./{y}/", f"./{y}.tsx"] if y else []
+        with_both = [f"{up}/c{c + 1}/{y}.js", f"@/c{c + 1}/{y}", f"~{c + 1}/{y}.view", f"src/c{c + 1}/{y}.mjs", f"../../../c{c}/{y}"] if y and c else []
+        missing = [None] if not (y and c) else []
+        want |= {(path, source) for source in [*with_year, *with_both, *missing, "home", "@scope/lib/x"]}
+    assert len(rows) == len(want) and {r[:2] for r in rows} == want
+    files = {p for p in paths.values() if p}
+    aliases = {}
+    for _, pattern, _, target in sorted(project_jobs.ALIASES):
+        aliases.setdefault(pattern, []).append(target)
+    for path, source, resolved in rows:
+        if path and source:
+            assert resolved == meant(files, list(aliases.items()), "", path, source)
